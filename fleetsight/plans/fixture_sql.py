@@ -59,7 +59,7 @@ TABLES = {
     "gallery": "SELECT vec_id AS entry_id, * EXCLUDE (vec_id) FROM vectors WHERE vec_id % 2 = 0",
     "gallery_queries": "SELECT vec_id AS query_id, * EXCLUDE (vec_id) FROM vectors WHERE vec_id % 2 = 1",
     "jittered_queries": """SELECT vec_id AS query_id, object_id, camera_id, primary_class, ts,
- list_transform(range(1, len(embedding) + 1), i -> embedding[i] + 0.01::DOUBLE * ((i * vec_id) % 7 - 3)) AS embedding
+ list_transform(range(1, len(embedding) + 1), lambda i: embedding[i] + 0.01::DOUBLE * ((i * vec_id) % 7 - 3)) AS embedding
  FROM vectors""",
     "stage_timings": """SELECT event_id // 5 AS frame_id, event_type AS stage, value AS duration_ms,
  (event_id // 5) % 11 = 0 AS skipped, ts, event_id FROM events""",
