@@ -49,7 +49,7 @@ def blockwise(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: s
     def cut(df, own, other, own_id, own_n, other_n):
         return (df.withColumn(own, F.pmod(F.xxhash64(own_id), own_n).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)))
-                .drop("_bl", "_br"))
+                .drop("_bl", "_br").transform(lambda x: x.toDF(*x.columns)))
 
     lhs = cut(lhs, "_lb", "_rb", left_id, nl_col, nr_col)
     rhs = cut(rhs, "_rb", "_lb", right_id, nr_col, nl_col)

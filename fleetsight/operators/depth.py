@@ -1,10 +1,125 @@
-"""Depth images as long pixel tables: edges, regions and masks."""
+"""Depth images as long pixel tables: edges, regions, masks and their refinement.
+
+Frames are dense grids of ``height`` x ``width`` pixels.  Work is keyed by image row or by mask, never
+by frame alone, so one frame can spread over many tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from fleetsight.operators.graph import components
+from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
+
+# Depth range in metres, gradient limit and depth spread.
+MIN_DEPTH, MAX_DEPTH = 0.1, 10.0
+GRADIENT, SPREAD = 0.1, 0.1
+
+
+def valid_depth(raw: Column, low: float = MIN_DEPTH, high: float = MAX_DEPTH) -> Column:
+    return (raw > low * 1000) & (raw < high * 1000)
+
+
+def image_rows(pixels: DataFrame, value: Column) -> DataFrame:
+    """One array per image row, in column order."""
+    cells = F.array_sort(F.collect_list(F.struct("u", value.alias("x"))))
+    return pixels.groupBy("frame_key", "v").agg(cells.alias("c")).select(
+        "frame_key", "v", F.transform("c", lambda e: e["x"]).alias("x"))
+
+
+def neighbour_rows(rows: DataFrame, height: int) -> DataFrame:
+    """Every row with the rows above and below it; the border mirrors the second row."""
+    v = F.col("v")
+    roles = F.array(
+        F.struct(F.lit(0).alias("role"), v.alias("at")),
+        F.struct(F.lit(-1).alias("role"), (v + 1).alias("at")),
+        F.struct(F.lit(1).alias("role"), (v - 1).alias("at")),
+        F.struct(F.lit(-1).alias("role"), F.when(v == 1, 0).otherwise(-1).alias("at")),
+        F.struct(F.lit(1).alias("role"), F.when(v == height - 2, height - 1).otherwise(-1).alias("at")))
+    sent = rows.select("frame_key", "x", F.explode(roles).alias("t")).filter(
+        (F.col("t.at") >= 0) & (F.col("t.at") < height))
+    pick = lambda r: F.first(F.when(F.col("t.role") == r, F.col("x")), ignorenulls=True)
+    return sent.groupBy("frame_key", F.col("t.at").alias("v")).agg(
+        pick(-1).alias("up"), pick(0).alias("x"), pick(1).alias("down"))
+
+
+def sobel(rows3: DataFrame, width: int) -> DataFrame:
+    """3x3 Sobel gradients, as one array of (x, gx, gy) per image row."""
+    def at(i: Column) -> Column:
+        left = F.when(i == 0, 1).otherwise(i - 1)
+        right = F.when(i == width - 1, width - 2).otherwise(i + 1)
+        g = lambda name, j: F.get(name, j.cast("int"))
+        gx = ((g("up", right) - g("up", left)) + 2 * (g("x", right) - g("x", left))
+              + (g("down", right) - g("down", left)))
+        gy = ((g("down", left) + 2 * g("down", i) + g("down", right))
+              - (g("up", left) + 2 * g("up", i) + g("up", right)))
+        return F.struct(g("x", i).alias("x"), gx.alias("gx"), gy.alias("gy"))
+
+    return rows3.select("frame_key", "v",
+                        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at).alias("g"))
+
+
+def _edge_rows(pixels: DataFrame, width: int, height: int, gradient: float, relative: bool) -> DataFrame:
+    raw = F.col("depth_raw")
+    rows = image_rows(pixels, F.when(valid_depth(raw), raw).otherwise(0))
+    g = sobel(neighbour_rows(rows, height), width)
 
-from fleetsight.operators.masks import MAX_AREA, MIN_AREA
+    def flag(e: Column) -> Column:
+        size = F.sqrt((e["gx"] * e["gx"] + e["gy"] * e["gy"]).cast("double"))
+        limit = e["x"] * gradient if relative else F.lit(gradient * 1000)
+        return F.struct(e["x"].alias("x"), ((e["x"] > 0) & (size > limit)).alias("edge"))
+
+    return g.select("frame_key", "v", F.transform("g", flag).alias("e"))
+
+
+def edges(pixels: DataFrame, width: int, height: int, gradient: float = GRADIENT,
+          relative: bool = False) -> DataFrame:
+    """Pixels whose depth gradient exceeds the limit (absolute, or a fraction of the depth)."""
+    rows = _edge_rows(pixels, width, height, gradient, relative)
+    return rows.select("frame_key", "v", F.posexplode("e").alias("u", "e")).filter("e.edge").select(
+        "frame_key", "v", "u")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Horizontal runs of valid pixels that are not edges."""
+    on = F.transform("e", lambda e: (e["x"] > 0) & ~e["edge"])
+    r = rows.select("frame_key", "v", on.alias("on"))
+    idx = F.sequence(F.lit(0), F.size("on") - 1)
+    is_on = lambda i: F.coalesce(F.get("on", i), F.lit(False))
+    starts = F.filter(idx, lambda i: is_on(i) & ~F.when(i > 0, is_on(i - 1)).otherwise(False))
+    ends = F.filter(idx, lambda i: is_on(i) & ~is_on(i + 1))
+    z = F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b")))
+    return r.select("frame_key", "v", z.alias("z")).select(
+        "frame_key", "v", F.col("z.a").alias("u0"), F.col("z.b").alias("u1"))
+
+
+def run_id(key: Column, v: Column, u: Column) -> Column:
+    """One number per run; keeps the order (key, v, u) and needs images below 65,536 pixels wide."""
+    return key * F.lit(1 << 32) + v.cast("long") * F.lit(1 << 16) + u.cast("long")
+
+
+def label_runs(runs: DataFrame, key: str, reach: int = 1) -> DataFrame:
+    """Component of every run; runs of neighbouring rows touch within ``reach`` columns."""
+    r = runs.withColumn("id", run_id(F.col(key), F.col("v"), F.col("u0")))
+    above = r.select(key, (F.col("v") + 1).alias("v"), F.col("u0").alias("a0"),
+                     F.col("u1").alias("a1"), F.col("id").alias("a"))
+    touch = r.join(above, [key, "v"]).filter(
+        (F.col("a0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("a1") + reach))
+    found = components(touch.select("a", F.col("id").alias("b")))
+    return r.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "label", F.coalesce("component", "id")).drop("component", "id")
+
+
+def connected_regions(pixels: DataFrame, width: int, height: int, gradient: float = GRADIENT) -> DataFrame:
+    """8-connected regions of valid pixels between the depth edges, as labelled runs."""
+    return label_runs(_runs(_edge_rows(pixels, width, height, gradient, False)), "frame_key")
+
+
+def run_pixels(labelled: DataFrame, name: str = "mask_id") -> DataFrame:
+    return labelled.select("frame_key", F.col("label").alias(name), "v",
+                           F.explode(F.sequence("u0", "u1")).alias("u"))
 
 
 def extract_masks(label_pixels: DataFrame, pixels: DataFrame, min_area: int = MIN_AREA,
@@ -18,3 +133,157 @@ def extract_masks(label_pixels: DataFrame, pixels: DataFrame, min_area: int = MI
         F.coalesce(F.median(valid) / 1000, F.lit(0.0)).alias("depth_median"))
     return g.filter(F.col("area").between(min_area, max_area)).withColumn(
         "confidence", F.lit(confidence))
+
+
+def _lloyd(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Weighted one-dimensional k-means from evenly spaced starts; label per distinct value."""
+    centers = np.linspace(values.min(), values.max(), k)
+    for _ in range(10):
+        label = np.abs(values[:, None] - centers[None, :]).argmin(1)
+        moved = np.array([np.average(values[label == c], weights=weights[label == c])
+                          if (label == c).any() else centers[c] for c in range(k)])
+        if np.abs(moved - centers).max() < 0.5:
+            break
+        centers = moved
+    return np.abs(values[:, None] - centers[None, :]).argmin(1)
+
+
+def depth_clusters(counts: DataFrame) -> DataFrame:
+    """Cluster of every (mask, depth value): ``counts(frame_key, mask_id, k, depth_raw, n)``.
+
+    The input holds one row per distinct millimetre of a mask, so a group has at most 65,536 rows
+    whatever the size of the mask.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["depth_raw"].to_numpy(np.float64)
+        part = _lloyd(x, pdf["n"].to_numpy(np.float64), int(pdf["k"].iloc[0]))
+        return pdf.assign(part=part.astype("int32"))[["frame_key", "mask_id", "depth_raw", "part"]]
+
+    return counts.groupBy("frame_key", "mask_id").applyInPandas(
+        run, "frame_key long, mask_id long, depth_raw int, part int")
+
+
+def split_by_depth(label_pixels: DataFrame, pixels: DataFrame, k: Column, spread: float,
+                   min_valid: int) -> DataFrame:
+    """Parts of masks whose depth varies more than ``spread``: adds ``part`` (null where whole)."""
+    d = pixels.filter("depth_raw > 0").select("frame_key", "v", "u", "depth_raw")
+    j = label_pixels.join(d, ["frame_key", "v", "u"], "left")
+    ids = ["frame_key", "mask_id"]
+    stats = j.groupBy(*ids).agg((F.stddev_pop("depth_raw") / 1000).alias("std_m"),
+                                F.count("depth_raw").alias("valid_px"))
+    wide = stats.filter((F.col("std_m") >= spread) & (F.col("valid_px") >= min_valid)).select(
+        *ids, k.cast("int").alias("k"))
+    counts = (j.filter(F.col("depth_raw").isNotNull()).groupBy(*ids, "depth_raw")
+              .agg(F.count(F.lit(1)).alias("n")).join(wide, ids))
+    parts = depth_clusters(counts)
+    return j.join(parts, [*ids, "depth_raw"], "left").join(
+        wide.select(*ids, F.lit(True).alias("split")), ids, "left").select(
+        *ids, "v", "u", "depth_raw", F.coalesce("split", F.lit(False)).alias("split"), "part")
+
+
+def refine_labels(label_pixels: DataFrame, pixels: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """Regions whose depth varies too much fall into a near and a far part, each its own label."""
+    s = split_by_depth(label_pixels, pixels, F.lit(2), spread, 10)
+    far = F.coalesce(F.col("part") == 1, F.lit(False))
+    return s.select("frame_key", F.when(far, -F.col("mask_id") - 1).otherwise(F.col("mask_id"))
+                    .alias("mask_id"), "v", "u")
+
+
+def segment(pixels: DataFrame, width: int, height: int, min_area: int = MIN_AREA,
+            max_area: int = MAX_AREA) -> DataFrame:
+    """Edges, regions, depth split and masks in one go."""
+    labels = run_pixels(connected_regions(pixels, width, height))
+    return extract_masks(refine_labels(labels, pixels), pixels, min_area, max_area)
+
+
+# --- morphology on pixel sets -----------------------------------------------------------------
+
+def _spread(px: DataFrame, ids: list[str], axis: str, reach: int, size: int) -> DataFrame:
+    other = "v" if axis == "u" else "u"
+    near = F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - reach),
+                                F.least(F.lit(size - 1), F.col(axis) + reach)))
+    return px.select(*ids, other, near.alias(axis))
+
+
+def dilate(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
+    for axis, size in (("u", width), ("v", height)):
+        px = _spread(px, ids, axis, reach, size).distinct()
+    return px.select(*ids, "v", "u")
+
+
+def erode(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
+    """Pixels whose whole neighbourhood inside the image is set."""
+    for axis, size in (("u", width), ("v", height)):
+        inside = (F.least(F.lit(size - 1), F.col(axis) + reach)
+                  - F.greatest(F.lit(0), F.col(axis) - reach) + 1)
+        other = "v" if axis == "u" else "u"
+        px = (_spread(px, ids, axis, reach, size).groupBy(*ids, other, axis)
+              .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == inside).drop("_n"))
+    return px.select(*ids, "v", "u")
+
+
+def close_open(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
+    size = (width, height)
+    closed = erode(dilate(px, ids, reach, *size), ids, reach, *size)
+    return dilate(erode(closed, ids, reach, *size), ids, reach, *size)
+
+
+def consistent_pixels(mask_pixels: DataFrame, pixels: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """Pixels near the median depth, for the masks whose depth varies (others are left out)."""
+    ids = ["frame_key", "mask_id"]
+    stats = depth_stats(mask_pixels, pixels).filter(
+        (F.col("valid_px") >= 10) & (F.col("std_m") >= spread)).select(*ids, "median_m")
+    d = pixels.filter("depth_raw > 0").select("frame_key", "v", "u", "depth_raw")
+    j = mask_pixels.join(stats, ids).join(d, ["frame_key", "v", "u"])
+    near = F.abs(F.col("depth_raw") - F.col("median_m") * 1000) < 2000 * spread
+    return j.filter(near).select(*ids, "v", "u")
+
+
+def refine_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,
+                 spread: float = SPREAD, least: int = 100) -> DataFrame:
+    """Masks without the pixels that do not fit their depth; too small a rest keeps the mask."""
+    ids = ["frame_key", "mask_id"]
+    cleaned = close_open(consistent_pixels(mask_pixels, pixels, spread), ids, 2, width, height)
+    big = shape(cleaned).filter(F.col("area") >= least).select(*ids)
+    kept = cleaned.join(big, ids, "left_semi")
+    return kept.unionByName(mask_pixels.join(big, ids, "left_anti").select(*ids, "v", "u"))
+
+
+def split_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,
+                spread: float = SPREAD, least: int = 100, most: int = 3) -> DataFrame:
+    """Masks over several depths fall into parts; a mask without a large enough part stays whole."""
+    ids = ["frame_key", "mask_id"]
+    k = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.round(F.col("std_m") / spread, 9))))
+    s = split_by_depth(mask_pixels, pixels, k, 2 * spread, least)
+    sized = s.filter(F.col("part").isNotNull()).groupBy(*ids, "part").agg(
+        F.count(F.lit(1)).alias("n"), (F.median("depth_raw") / 1000).alias("depth_median")).filter(
+        F.col("n") >= least).drop("n")
+    pid = [*ids, "part"]
+    parts = s.join(sized.select(*pid), pid, "left_semi").select(*pid, "v", "u")
+    closed = erode(dilate(parts, pid, 2, width, height), pid, 2, width, height)
+    whole = s.join(sized.select(*ids).distinct(), ids, "left_anti").select(
+        *ids, F.lit(-1).alias("part"), "v", "u")
+    return shape(closed.unionByName(whole), tuple(pid)).join(sized, pid, "left")
+
+
+def fill_holes(px: DataFrame, key: str) -> DataFrame:
+    """Adds the background pixels of each mask that no path to the outside reaches."""
+    box = px.groupBy(key).agg(F.min("u").alias("x1"), F.max("u").alias("x2"),
+                              F.min("v").alias("y1"), F.max("v").alias("y2"))
+    rows = px.groupBy(key, "v").agg(F.array_sort(F.collect_set("u")).alias("us"))
+    grid = box.withColumn("v", F.explode(F.sequence(F.col("y1") - 1, F.col("y2") + 1)))
+    g = grid.join(rows, [key, "v"], "left").withColumn(
+        "us", F.coalesce("us", F.array().cast("array<int>")))
+    starts = F.concat(F.array(F.col("x1") - 1), F.transform("us", lambda u: u + 1))
+    ends = F.concat(F.transform("us", lambda u: u - 1), F.array(F.col("x2") + 1))
+    # Shifted by one so that ids of the margin stay positive.
+    runs = g.select(key, (F.col("v") + 1).alias("v"), "x1", "y1",
+                    F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("z")).filter(
+        "z.a <= z.b").select(key, "v", (F.col("z.a") + 1).alias("u0"),
+                             (F.col("z.b") + 1).alias("u1"), "x1", "y1")
+    labelled = label_runs(runs, key, reach=0)
+    outside = labelled.filter(F.col("label") == run_id(F.col(key), F.col("y1"), F.col("x1")))
+    holes = labelled.join(outside.select(key, "label").distinct(), [key, "label"], "left_anti")
+    inner = holes.select(key, (F.col("v") - 1).alias("v"),
+                         F.explode(F.sequence(F.col("u0") - 1, F.col("u1") - 1)).alias("u"))
+    return px.select(key, "v", "u").unionByName(inner)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from fleetsight.plans import core, identity, masks, review, telemetry  # noqa: F401
+from fleetsight.plans import core, identity, masks, points, review, telemetry  # noqa: F401
 from fleetsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
