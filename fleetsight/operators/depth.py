@@ -16,6 +16,7 @@ from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
 # Depth range in metres, gradient limit and depth spread.
 MIN_DEPTH, MAX_DEPTH = 0.1, 10.0
 GRADIENT, SPREAD = 0.1, 0.1
+BAND = 64
 
 
 def valid_depth(raw: Column, low: float = MIN_DEPTH, high: float = MAX_DEPTH) -> Column:
@@ -45,46 +46,46 @@ def neighbour_rows(rows: DataFrame, height: int) -> DataFrame:
         pick(-1).alias("up"), pick(0).alias("x"), pick(1).alias("down"))
 
 
-def sobel(rows3: DataFrame, width: int) -> DataFrame:
-    """3x3 Sobel gradients, as one array of (x, gx, gy) per image row."""
-    def at(i: Column) -> Column:
-        left = F.when(i == 0, 1).otherwise(i - 1)
-        right = F.when(i == width - 1, width - 2).otherwise(i + 1)
-        g = lambda name, j: F.get(name, j.cast("int"))
-        gx = ((g("up", right) - g("up", left)) + 2 * (g("x", right) - g("x", left))
-              + (g("down", right) - g("down", left)))
-        gy = ((g("down", left) + 2 * g("down", i) + g("down", right))
-              - (g("up", left) + 2 * g("up", i) + g("up", right)))
-        return F.struct(g("x", i).alias("x"), gx.alias("gx"), gy.alias("gy"))
+def sobel(up: np.ndarray, mid: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """3x3 Sobel gradients of stacked image rows; the border mirrors the second column."""
+    left = lambda r: np.concatenate([r[:, 1:2], r[:, :-1]], axis=1)
+    right = lambda r: np.concatenate([r[:, 1:], r[:, -2:-1]], axis=1)
+    across = lambda r: right(r) - left(r)
+    smooth = lambda r: left(r) + 2 * r + right(r)
+    return across(up) + 2 * across(mid) + across(down), smooth(down) - smooth(up)
 
-    return rows3.select("frame_key", "v",
-                        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), at).alias("g"))
 
-
-def _edge_rows(pixels: DataFrame, width: int, height: int, gradient: float, relative: bool) -> DataFrame:
+def _edge_rows(pixels: DataFrame, height: int, gradient: float, relative: bool) -> DataFrame:
+    """Per image row: which pixels have a valid depth, and which of them are edges."""
     raw = F.col("depth_raw")
-    rows = image_rows(pixels, F.when(valid_depth(raw), raw).otherwise(0))
-    g = sobel(neighbour_rows(rows, height), width)
+    rows3 = neighbour_rows(image_rows(pixels, F.when(valid_depth(raw), raw).otherwise(0)), height)
 
-    def flag(e: Column) -> Column:
-        size = F.sqrt((e["gx"] * e["gx"] + e["gy"] * e["gy"]).cast("double"))
-        limit = e["x"] * gradient if relative else F.lit(gradient * 1000)
-        return F.struct(e["x"].alias("x"), ((e["x"] > 0) & (size > limit)).alias("edge"))
+    def run(batches):
+        for b in batches:
+            # Frames of different widths do not stack; each width is handled on its own.
+            for _, part in b.groupby(b["x"].map(len)):
+                up, mid, down = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("up", "x", "down"))
+                gx, gy = sobel(up, mid, down)
+                size = np.sqrt((gx * gx + gy * gy).astype(np.float64))
+                limit = mid * gradient if relative else gradient * 1000
+                yield pd.DataFrame({
+                    "frame_key": part["frame_key"], "v": part["v"], "valid": list(mid > 0),
+                    "edge": list((mid > 0) & (size > limit))})
 
-    return g.select("frame_key", "v", F.transform("g", flag).alias("e"))
+    return rows3.mapInPandas(run, "frame_key long, v int, valid array<boolean>, edge array<boolean>")
 
 
-def edges(pixels: DataFrame, width: int, height: int, gradient: float = GRADIENT,
+def edges(pixels: DataFrame, height: int, gradient: float = GRADIENT,
           relative: bool = False) -> DataFrame:
     """Pixels whose depth gradient exceeds the limit (absolute, or a fraction of the depth)."""
-    rows = _edge_rows(pixels, width, height, gradient, relative)
-    return rows.select("frame_key", "v", F.posexplode("e").alias("u", "e")).filter("e.edge").select(
+    rows = _edge_rows(pixels, height, gradient, relative)
+    return rows.select("frame_key", "v", F.posexplode("edge").alias("u", "e")).filter("e").select(
         "frame_key", "v", "u")
 
 
 def _runs(rows: DataFrame) -> DataFrame:
     """Horizontal runs of valid pixels that are not edges."""
-    on = F.transform("e", lambda e: (e["x"] > 0) & ~e["edge"])
+    on = F.zip_with("valid", "edge", lambda x, e: x & ~e)
     r = rows.select("frame_key", "v", on.alias("on"))
     idx = F.sequence(F.lit(0), F.size("on") - 1)
     is_on = lambda i: F.coalesce(F.get("on", i), F.lit(False))
@@ -107,14 +108,17 @@ def label_runs(runs: DataFrame, key: str, reach: int = 1) -> DataFrame:
                      F.col("u1").alias("a1"), F.col("id").alias("a"))
     touch = r.join(above, [key, "v"]).filter(
         (F.col("a0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("a1") + reach))
-    found = components(touch.select("a", F.col("id").alias("b")))
+    # Bands of image rows have a bounded number of runs; an edge on a band's first row leaves it.
+    band = F.when(F.col("v") % BAND != 0, F.floor(F.col("v") / BAND))
+    found = components(touch.select("a", F.col("id").alias("b"), band.alias("band"),
+                                    F.col(key).alias("image")), ["band", "image"])
     return r.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "label", F.coalesce("component", "id")).drop("component", "id")
 
 
-def connected_regions(pixels: DataFrame, width: int, height: int, gradient: float = GRADIENT) -> DataFrame:
+def connected_regions(pixels: DataFrame, height: int, gradient: float = GRADIENT) -> DataFrame:
     """8-connected regions of valid pixels between the depth edges, as labelled runs."""
-    return label_runs(_runs(_edge_rows(pixels, width, height, gradient, False)), "frame_key")
+    return label_runs(_runs(_edge_rows(pixels, height, gradient, False)), "frame_key")
 
 
 def run_pixels(labelled: DataFrame, name: str = "mask_id") -> DataFrame:
@@ -189,43 +193,77 @@ def refine_labels(label_pixels: DataFrame, pixels: DataFrame, spread: float = SP
                     .alias("mask_id"), "v", "u")
 
 
-def segment(pixels: DataFrame, width: int, height: int, min_area: int = MIN_AREA,
+def segment(pixels: DataFrame, height: int, min_area: int = MIN_AREA,
             max_area: int = MAX_AREA) -> DataFrame:
     """Edges, regions, depth split and masks in one go."""
-    labels = run_pixels(connected_regions(pixels, width, height))
+    labels = run_pixels(connected_regions(pixels, height))
     return extract_masks(refine_labels(labels, pixels), pixels, min_area, max_area)
 
 
 # --- morphology on pixel sets -----------------------------------------------------------------
 
-def _spread(px: DataFrame, ids: list[str], axis: str, reach: int, size: int) -> DataFrame:
-    other = "v" if axis == "u" else "u"
-    near = F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - reach),
-                                F.least(F.lit(size - 1), F.col(axis) + reach)))
-    return px.select(*ids, other, near.alias(axis))
-
-
-def dilate(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
-    for axis, size in (("u", width), ("v", height)):
-        px = _spread(px, ids, axis, reach, size).distinct()
-    return px.select(*ids, "v", "u")
-
-
-def erode(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
-    """Pixels whose whole neighbourhood inside the image is set."""
-    for axis, size in (("u", width), ("v", height)):
-        inside = (F.least(F.lit(size - 1), F.col(axis) + reach)
-                  - F.greatest(F.lit(0), F.col(axis) - reach) + 1)
-        other = "v" if axis == "u" else "u"
-        px = (_spread(px, ids, axis, reach, size).groupBy(*ids, other, axis)
-              .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == inside).drop("_n"))
-    return px.select(*ids, "v", "u")
-
+def _box_count(m: np.ndarray, reach: int) -> np.ndarray:
+    """Set pixels in the square around each pixel, cut at the border."""
+    for axis in (0, 1):
+        n = m.shape[axis]
+        run = np.concatenate([np.zeros_like(m.take([0], axis)), m.cumsum(axis)], axis)
+        at = np.arange(n)
+        m = run.take(np.minimum(n, at + reach + 1), axis) - run.take(np.maximum(0, at - reach), axis)
+    return m
+
+
+def _flood(free: np.ndarray) -> np.ndarray:
+    """Free pixels that the border reaches over free pixels (4-connected)."""
+    seen = np.zeros_like(free)
+    seen[[0, -1], :], seen[:, [0, -1]] = free[[0, -1], :], free[:, [0, -1]]
+    while True:
+        before = seen.sum()
+        for view, open_ in ((seen, free), (seen.T, free.T)):
+            for step in (1, -1):
+                s, o = view[::step], open_[::step]
+                for i in range(1, len(s)):
+                    s[i] |= s[i - 1] & o[i]
+        if seen.sum() == before:
+            return seen
+
+
+def morphology(px: DataFrame, ids: list[str], steps: list[tuple[str, int]], width: int,
+               height: int) -> DataFrame:
+    """Dilations, erosions and hole filling of pixel sets, with square neighbourhoods.
+
+    ``steps`` is a list like ``[("dilate", 2), ("erode", 2), ("fill", 0)]``.  The pixels of a mask
+    are distinct places of one image, so a group is never larger than an image.  Beyond the border
+    there is nothing to erode from.
+    """
+    margin = sum(r for what, r in steps if what == "dilate") + 1
 
-def close_open(px: DataFrame, ids: list[str], reach: int, width: int, height: int) -> DataFrame:
-    size = (width, height)
-    closed = erode(dilate(px, ids, reach, *size), ids, reach, *size)
-    return dilate(erode(closed, ids, reach, *size), ids, reach, *size)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, u = pdf["v"].to_numpy(), pdf["u"].to_numpy()
+        top, left = max(0, v.min() - margin), max(0, u.min() - margin)
+        rows, cols = min(height, v.max() + margin + 1) - top, min(width, u.max() + margin + 1) - left
+        m = np.zeros((rows, cols), np.int64)
+        m[v - top, u - left] = 1
+        for what, reach in steps:
+            if what == "dilate":
+                m = (_box_count(m, reach) > 0).astype(np.int64)
+            elif what == "erode":
+                # A cut window is inside the image as well, because the margin covers every step.
+                whole = _box_count(np.ones_like(m), reach)
+                m = (_box_count(m, reach) == whole).astype(np.int64)
+            else:
+                ring = np.pad(m, 1)
+                m = 1 - _flood(ring == 0)[1:-1, 1:-1].astype(np.int64)
+        vs, us = np.nonzero(m)
+        out = {c: np.repeat(pdf[c].to_numpy()[:1], len(vs)) for c in ids}
+        return pd.DataFrame({**out, "v": (vs + top).astype("int32"), "u": (us + left).astype("int32")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in px.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ids) + ", v int, u int"
+    return px.select(*ids, "v", "u").groupBy(*ids).applyInPandas(run, schema)
+
+
+CLOSE = [("dilate", 2), ("erode", 2)]
+OPEN = [("erode", 2), ("dilate", 2)]
 
 
 def consistent_pixels(mask_pixels: DataFrame, pixels: DataFrame, spread: float = SPREAD) -> DataFrame:
@@ -243,7 +281,8 @@ def refine_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height:
                  spread: float = SPREAD, least: int = 100) -> DataFrame:
     """Masks without the pixels that do not fit their depth; too small a rest keeps the mask."""
     ids = ["frame_key", "mask_id"]
-    cleaned = close_open(consistent_pixels(mask_pixels, pixels, spread), ids, 2, width, height)
+    cleaned = morphology(consistent_pixels(mask_pixels, pixels, spread), ids, CLOSE + OPEN, width,
+                         height)
     big = shape(cleaned).filter(F.col("area") >= least).select(*ids)
     kept = cleaned.join(big, ids, "left_semi")
     return kept.unionByName(mask_pixels.join(big, ids, "left_anti").select(*ids, "v", "u"))
@@ -260,30 +299,8 @@ def split_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: i
         F.col("n") >= least).drop("n")
     pid = [*ids, "part"]
     parts = s.join(sized.select(*pid), pid, "left_semi").select(*pid, "v", "u")
-    closed = erode(dilate(parts, pid, 2, width, height), pid, 2, width, height)
+    closed = morphology(parts, pid, CLOSE, width, height)
     whole = s.join(sized.select(*ids).distinct(), ids, "left_anti").select(
         *ids, F.lit(-1).alias("part"), "v", "u")
     return shape(closed.unionByName(whole), tuple(pid)).join(sized, pid, "left")
 
-
-def fill_holes(px: DataFrame, key: str) -> DataFrame:
-    """Adds the background pixels of each mask that no path to the outside reaches."""
-    box = px.groupBy(key).agg(F.min("u").alias("x1"), F.max("u").alias("x2"),
-                              F.min("v").alias("y1"), F.max("v").alias("y2"))
-    rows = px.groupBy(key, "v").agg(F.array_sort(F.collect_set("u")).alias("us"))
-    grid = box.withColumn("v", F.explode(F.sequence(F.col("y1") - 1, F.col("y2") + 1)))
-    g = grid.join(rows, [key, "v"], "left").withColumn(
-        "us", F.coalesce("us", F.array().cast("array<int>")))
-    starts = F.concat(F.array(F.col("x1") - 1), F.transform("us", lambda u: u + 1))
-    ends = F.concat(F.transform("us", lambda u: u - 1), F.array(F.col("x2") + 1))
-    # Shifted by one so that ids of the margin stay positive.
-    runs = g.select(key, (F.col("v") + 1).alias("v"), "x1", "y1",
-                    F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("z")).filter(
-        "z.a <= z.b").select(key, "v", (F.col("z.a") + 1).alias("u0"),
-                             (F.col("z.b") + 1).alias("u1"), "x1", "y1")
-    labelled = label_runs(runs, key, reach=0)
-    outside = labelled.filter(F.col("label") == run_id(F.col(key), F.col("y1"), F.col("x1")))
-    holes = labelled.join(outside.select(key, "label").distinct(), [key, "label"], "left_anti")
-    inner = holes.select(key, (F.col("v") - 1).alias("v"),
-                         F.explode(F.sequence(F.col("u0") - 1, F.col("u1") - 1)).alias("u"))
-    return px.select(key, "v", "u").unionByName(inner)

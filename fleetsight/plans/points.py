@@ -42,14 +42,14 @@ e AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS mag FROM g)
 @query("V01_depth_edges", SOBEL + """
 SELECT frame_key, v, count(*) AS n, sum(u)::BIGINT AS sum_u FROM e WHERE x > 0 AND mag > 100 GROUP BY 1, 2""")
 def v01(spark, d):
-    e = dp.edges(src.pixels(spark, d), W, H)
+    e = dp.edges(src.pixels(spark, d), H)
     return e.groupBy("frame_key", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("sum_u"))
 
 
 @query("V02_relative_edges", SOBEL + """
 SELECT frame_key, v, count(*) AS n, sum(u)::BIGINT AS sum_u FROM e WHERE x > 0 AND mag > x * 0.6::DOUBLE GROUP BY 1, 2""")
 def v02(spark, d):
-    e = dp.edges(src.pixels(spark, d), W, H, 0.6, relative=True)
+    e = dp.edges(src.pixels(spark, d), H, 0.6, relative=True)
     return e.groupBy("frame_key", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("sum_u"))
 
 
@@ -70,7 +70,7 @@ cc(id, label) USING KEY (id) AS (SELECT id, id FROM runs UNION
 @query("V03_connected_regions", REGIONS + """
 SELECT runs.frame_key, label, count(*) AS runs, sum(u1 - u0 + 1)::BIGINT AS area FROM runs JOIN cc USING (id) GROUP BY ALL""")
 def v03(spark, d):
-    r = dp.connected_regions(src.pixels(spark, d), W, H)
+    r = dp.connected_regions(src.pixels(spark, d), H)
     return r.groupBy("frame_key", "label").agg(
         F.count(F.lit(1)).alias("runs"), F.sum(F.col("u1") - F.col("u0") + 1).alias("area"))
 
@@ -83,13 +83,13 @@ SELECT frame_key, label, area, round(cx, 4) AS cx, round(cy, 4) AS cy, round(m,
  (SELECT count(*) FROM e WHERE e.frame_key = k.frame_key AND x > 0 AND mag > 100) AS edge_pixels FROM k""")
 def a33(spark, d):
     px = src.pixels(spark, d)
-    label = dp.run_pixels(dp.connected_regions(px, W, H), "label")
+    label = dp.run_pixels(dp.connected_regions(px, H), "label")
     j = label.join(px.select("frame_key", "v", "u", "depth_raw"), ["frame_key", "v", "u"])
     k = j.groupBy("frame_key", "label").agg(
         F.count(F.lit(1)).alias("area"), F.round(F.avg("u"), 4).alias("cx"),
         F.round(F.avg("v"), 4).alias("cy"),
         F.round(F.median("depth_raw") / 1000, 4).alias("depth_median"))
-    e = dp.edges(px, W, H).groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
+    e = dp.edges(px, H).groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
     return k.join(e, "frame_key", "left").withColumn(
         "edge_pixels", F.coalesce("edge_pixels", F.lit(0)))
 
@@ -97,13 +97,13 @@ def a33(spark, d):
 @query("V04_split_regions")
 def v04(spark, d):
     px = src.pixels(spark, d)
-    labels = dp.run_pixels(dp.connected_regions(px, W, H, gradient=2.5))
+    labels = dp.run_pixels(dp.connected_regions(px, H, gradient=2.5))
     return mk.shape(dp.refine_labels(labels, px))
 
 
 @query("V34_segment_depth")
 def v34(spark, d):
-    return dp.segment(src.pixels(spark, d), W, H, min_area=20)
+    return dp.segment(src.pixels(spark, d), H, min_area=20)
 
 
 @query("V06_depth_to_points", f"""

@@ -7,6 +7,7 @@ import time
 
 import duckdb
 
+SPENT = {"spark": 0.0}
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings "
                "pages benchmark labels conversations").split()
 
@@ -37,8 +38,11 @@ def _rows(names, rows):
 
 def difference(spark, con, sf_dir, fn, sql):
     """None if equal, else a short text."""
+    start = time.time()
     df = fn(spark, sf_dir)
-    got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    rows = [tuple(r) for r in df.collect()]
+    SPENT["spark"] = time.time() - start
+    got = _rows(df.columns, rows)
     if sql is None:
         return None if got else "no rows"
     rel = con.execute(sql)
@@ -63,7 +67,7 @@ def check(spark, con, sf_dir, names, queries, oracles):
         except Exception as ex:  # noqa: BLE001
             d = f"{type(ex).__name__}: {str(ex)[:1500]}"
         mark = "ok " if d is None else "BAD"
-        print(f"{mark} {name:44s} {time.time() - t:6.2f}s{'' if oracles.get(name) else '  (no sql)'}",
+        print(f"{mark} {name:44s} {time.time() - t:6.2f}s spark {SPENT['spark']:6.2f}s{'' if oracles.get(name) else '  (no sql)'}",
               flush=True)
         if d is not None:
             print("   ", d, flush=True)
