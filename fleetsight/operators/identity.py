@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetsight.functions.windows import latest
+from fleetsight.operators.graph import MAX_ROUNDS, NotConverged
 from fleetsight.operators.nearest import Search, search
+from fleetsight.session import checkpoint
 
 # Distance limits of the two matchers and how many embeddings an object keeps.
 SAME_CAMERA, CROSS_CAMERA, KEEP = 0.3, 0.25, 10
@@ -90,6 +92,53 @@ def retrieve(queries: DataFrame, gallery: DataFrame, metadata: DataFrame, k: int
     return latest(hit, ["query_id"], [F.asc("rank")], k, "position")
 
 
+def assign_identities(queries: DataFrame, gallery: DataFrame, same: float = SAME_CAMERA,
+                      cross: float = CROSS_CAMERA) -> DataFrame:
+    """Known object per query, or a new one: (query_id, object_id, similarity, is_new).
+
+    Queries are taken in id order and every new object can be found by later queries.  A query is
+    new if neither the gallery nor an earlier new query matches it; rounds settle all queries whose
+    earlier neighbours are settled, without ever listing the neighbours.
+    """
+    known = with_last_camera(last_embeddings(gallery).drop("rn"))
+    limits = {"metric": "cosine", "below_same": same, "below_cross": cross}
+    hit = search(queries, known, Search(k=1, per="object_id", **limits))
+    open_ = checkpoint(queries.join(hit.select("query_id").distinct(), "query_id", "left_anti")
+                       .select("query_id", "camera_id", "embedding"))
+    entry = lambda df: df.select(
+        F.col("query_id").alias("entry_id"), F.concat(F.lit("new_"), F.col("query_id").cast("string"))
+        .alias("object_id"), "camera_id", "embedding")
+    first = Search(k=1, earlier=True, **limits)
+    seeds: list[DataFrame] = []
+    for _ in range(MAX_ROUNDS):
+        if open_.isEmpty():
+            break
+        waiting = search(open_, entry(open_), first).select("query_id")
+        new = checkpoint(open_.join(waiting, "query_id", "left_anti"))
+        seeds.append(new)
+        rest = open_.join(new.select("query_id"), "query_id", "left_anti")
+        found = search(rest, entry(new), first).select("query_id")
+        open_ = checkpoint(rest.join(found, "query_id", "left_anti"))
+    else:
+        raise NotConverged("identities")
+    pool = known.select((-1 - F.col("entry_id")).alias("entry_id"), "object_id", "camera_id", "embedding")
+    fresh = None
+    for s in seeds:
+        fresh = s if fresh is None else fresh.unionByName(s)
+    if fresh is not None:
+        pool = pool.unionByName(entry(fresh))
+    best = search(queries, pool, Search(k=1, per="object_id", earlier=True, **limits))
+    out = queries.select("query_id").join(
+        best.select("query_id", "object_id", (1.0 - F.col("dist")).alias("similarity")), "query_id", "left")
+    if fresh is None:
+        return out.withColumn("is_new", F.lit(False))
+    out = out.join(fresh.select("query_id", F.lit(True).alias("_new")), "query_id", "left")
+    new = F.coalesce("_new", F.lit(False))
+    own = F.concat(F.lit("new_"), F.col("query_id").cast("string"))
+    return out.select("query_id", F.when(new, own).otherwise(F.col("object_id")).alias("object_id"),
+                      F.when(~new, F.col("similarity")).alias("similarity"), new.alias("is_new"))
+
+
 def handoffs(sightings: DataFrame) -> DataFrame:
     """Sightings (with the previous one) at which an object changed its camera."""
     from fleetsight.operators.tracking import steps

@@ -30,6 +30,7 @@ class Search:
     cameras: ``any``, ``same`` or ``other`` camera than the query's.
     below_same / below_cross: distance limits, by whether the cameras agree; None is no limit.
     per: ``entry_id`` for entries, ``object_id`` for the best entry of each object.
+    earlier: only entries with an id below the query's.
     """
 
     k: int = 5
@@ -39,6 +40,7 @@ class Search:
     below_cross: float | None = None
     per: str = "entry_id"
     skip_self: bool = False
+    earlier: bool = False
 
     def radius(self) -> float | None:
         limits = {"any": (self.below_same, self.below_cross), "same": (self.below_same,),
@@ -78,6 +80,8 @@ def _kernel(s: Search):
             same if s.cameras == "same" else ~same)
         if s.skip_self:
             ok &= left["query_id"].to_numpy()[:, None] != right["entry_id"].to_numpy()[None, :]
+        if s.earlier:
+            ok &= left["query_id"].to_numpy()[:, None] > right["entry_id"].to_numpy()[None, :]
         if s.below_same is not None:
             ok &= ~same | (d < s.below_same)
         if s.below_cross is not None:
@@ -167,7 +171,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, span: pd.DataFrame, near: pd
     where = np.searchsorted(cells, n_cell)
     radius = s.radius()
     # A bound from k entries is only valid if each of them counts on its own.
-    bounded = s.per == "entry_id" and s.below_same is None and s.below_cross is None
+    bounded = s.per == "entry_id" and s.below_same is None and s.below_cross is None and not s.earlier
 
     def run(batches):
         for b in batches:

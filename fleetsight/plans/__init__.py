@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from fleetsight.plans import core, identity, masks, points, review, telemetry, tracking  # noqa: F401
+from fleetsight.plans import attributes, core, identity, masks, points, review, streams, telemetry, tracking  # noqa: F401
 from fleetsight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

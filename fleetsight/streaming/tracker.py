@@ -1,0 +1,57 @@
+"""The tracker as keyed state per camera and region, for frames that arrive as a stream."""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from fleetsight.operators.tracking import Replay, Rules
+
+_OUT = ("camera_id string, region long, frame_no long, det_id long, birth_id long, state string, age int, "
+        "hits int, missed int")
+_STATE = "last long, tracks string"
+
+
+def _load(rules: Rules, state: GroupState) -> Replay:
+    machine = Replay(rules)
+    if state.exists:
+        last, text = state.get
+        machine.last = int(last)
+        machine.tracks = [[t[0], np.array(t[1]), *t[2:6], tuple(t[6]) if t[6] else None] for t in json.loads(text)]
+    return machine
+
+
+def _dump(machine: Replay) -> str:
+    return json.dumps([[int(t[0]), [float(x) for x in t[1]], t[2], int(t[3]), int(t[4]), int(t[5]),
+                        list(t[6]) if t[6] else None] for t in machine.tracks])
+
+
+def stream_tracks(det: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Track rows for a stream of detections with ``camera_id, region, frame_no, det_id`` and a box.
+
+    State holds only live tracks.  Frames of a key must arrive in order across micro-batches; rows of a
+    frame that is already past are dropped, like any late data.
+    """
+    def step(key, frames, state: GroupState):
+        machine = _load(rules, state)
+        pdf = pd.concat(list(frames)).sort_values(["frame_no", "det_id"])
+        if machine.last is not None:
+            pdf = pdf[pdf["frame_no"] > machine.last]
+        out = []
+        for number, part in pdf.groupby("frame_no", sort=True):
+            boxes = part[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)
+            for ident, (t, missed) in zip(part["det_id"], machine.frame(int(number), boxes)):
+                if t[0] is None:
+                    t[0] = int(ident)
+                out.append((*key, int(number), int(ident), t[0], t[2], t[3], t[4], missed))
+        if machine.last is not None:
+            state.update((machine.last, _dump(machine)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+
+    active = det.filter(F.col("confidence") >= rules.activate)
+    return active.groupBy("camera_id", "region").applyInPandasWithState(
+        step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
