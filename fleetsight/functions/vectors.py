@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it is used inside another lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -19,8 +24,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    scaled = lambda a, n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return bind(v, lambda a: bind(norm(a), lambda n: scaled(a, n)))
 
 
 def fit_dimension(v: Column, dim: int) -> Column:
@@ -29,8 +34,17 @@ def fit_dimension(v: Column, dim: int) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    na, nb = norm(a), norm(b)
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
+    size = norm(a) * norm(b)
+    return bind(size, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n))
+
+
+def softmax_weights(v: Column) -> Column:
+    """Exponentials relative to the largest entry (not yet divided by their sum)."""
+    return bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
 def dist_sq_l2(a: Column, b: Column) -> Column:

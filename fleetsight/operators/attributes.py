@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.functions import color
 from fleetsight.functions.scalar import clamp
-from fleetsight.functions.vectors import l2_normalize
+from fleetsight.functions.vectors import bind, l2_normalize, softmax_weights, total
 from fleetsight.functions.windows import latest
-from fleetsight.operators.depth import sobel
+from fleetsight.operators.depth import image_rows, neighbour_rows, sobel
 
 # Key points in order of the pose vector.
 KEYPOINTS = ("nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder",
@@ -55,8 +55,8 @@ def dominant_colors(crop: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` most common color names of each crop with their share."""
     c = with_hsv(crop).groupBy("mask_id", color.pixel_color(F.col("hue"), F.col("sat"), F.col("val")).alias(
         "color")).agg(F.count(F.lit(1)).alias("n"))
-    total = c.groupBy("mask_id").agg(F.sum("n").alias("_total"))
-    top = latest(c.join(total, "mask_id"), ["mask_id"], [F.desc("n"), F.asc("color")], n, "position")
+    sums = c.groupBy("mask_id").agg(F.sum("n").alias("_total"))
+    top = latest(c.join(sums, "mask_id"), ["mask_id"], [F.desc("n"), F.asc("color")], n, "position")
     top = top.withColumn("share", F.col("n") / F.col("_total"))
     lots = top.groupBy("mask_id").agg(
         ((F.count(F.lit(1)) > 2) | (F.coalesce(F.max(F.when(F.col("position") == 2, F.col("share"))),
@@ -261,10 +261,8 @@ def top_classes(rows: DataFrame, key: str, scores: str, k: int = 5) -> DataFrame
     """The ``k`` most likely classes; scores become probabilities unless they already are."""
     s = F.col(scores)
     raw = (F.array_max(s) > 1.0) | (F.array_min(s) < 0.0)
-    top = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    p = F.when(raw, F.transform(e, lambda x: x / total)).otherwise(s)
+    soft = bind(softmax_weights(s), lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
+    p = F.when(raw, soft).otherwise(s)
     # k of a vector of fixed length: sort inside the row, nothing is shuffled.
     ranked = F.slice(F.array_sort(F.transform(p, lambda x, i: F.struct(
         (-x).alias("m"), i.alias("i")))), 1, k)
@@ -330,35 +328,60 @@ def physical_size(boxes: DataFrame, crop: DataFrame, focal: float = 600.0) -> Da
 
 # --- embeddings -----------------------------------------------------------------------------------
 
+def _gradient_bins(crop: DataFrame, bins: int) -> DataFrame:
+    """Bin of gradient size and direction for every pixel of every crop row."""
+    y = color.gray(F.col("b"), F.col("g"), F.col("r"))
+    ids = ["mask_id", "h"]
+    rows3 = neighbour_rows(image_rows(crop, y, ids), ids, F.col("h"))
+
+    def run(batches):
+        for b in batches:
+            for _, part in b.groupby(b["x"].map(len)):
+                up, mid, down = (np.stack(part[c].to_numpy()).astype(np.int64) for c in ("up", "x", "down"))
+                gx, gy = sobel(up, mid, down)
+                size = np.sqrt((gx * gx + gy * gy).astype(np.float64))
+                turn = (np.arctan2(gy, gx) + math.pi) / (2 * math.pi) * bins
+                # Sizes beyond 255 fall outside the histogram.
+                a = np.where(size <= 255, np.minimum(bins - 1, size / 255 * bins), -1).astype("int32")
+                d = np.minimum(bins - 1, np.floor(np.round(turn, 9))).astype("int32")
+                yield pd.DataFrame({"mask_id": part["mask_id"], "size_bin": list(a), "turn_bin": list(d)})
+
+    return rows3.select("mask_id", "up", "x", "down").mapInPandas(
+        run, "mask_id long, size_bin array<int>, turn_bin array<int>")
+
+
 def histogram_embeddings(crop: DataFrame, bins: int = 32, dim: int = 512) -> DataFrame:
     """Unit vector per crop: hue, saturation and value histograms plus gradient size and direction.
 
-    Rows of a crop are gathered first; a crop is a part of one image, so the group that sees its
-    gradients is bounded by the image.
+    Everything is counted per (crop, bin) with partial aggregation; only the five short histograms of
+    a crop are gathered.
     """
-    c = with_hsv(crop).withColumn("y", color.gray(F.col("b"), F.col("g"), F.col("r")))
-    cell = F.array_sort(F.collect_list(F.struct("u", "hue", "sat", "val", "y")))
-    rows = c.groupBy("mask_id", "v").agg(cell.alias("c")).select(
-        "mask_id", "v", *[F.col(f"c.{n}").alias(n) for n in ("hue", "sat", "val", "y")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        img = {n: np.stack(pdf[n].to_numpy()).astype(np.float64) for n in ("hue", "sat", "val", "y")}
-        y = np.pad(img["y"], ((0, 0), (0, 1 if img["y"].shape[1] == 1 else 0)), mode="edge")
-        up = np.concatenate([y[1:2] if len(y) > 1 else y[:1], y[:-1]])
-        down = np.concatenate([y[1:], y[-2:-1] if len(y) > 1 else y[:1]])
-        gx, gy = (g[:, :img["y"].shape[1]] for g in sobel(up, y, down))
-        parts = []
-        for values, low, high in ((img["hue"], 0, 180), (img["sat"], 0, 256), (img["val"], 0, 256),
-                                  (np.sqrt(gx ** 2 + gy ** 2), 0, 255), (np.arctan2(gy, gx), -math.pi, math.pi)):
-            n = np.histogram(values, bins=bins, range=(low, high))[0].astype(np.float64)
-            parts.append(n / max(n.sum(), 1.0))
-        e = np.concatenate(parts)[:dim]
-        e = np.pad(e, (0, dim - len(e)))
-        size = np.linalg.norm(e)
-        return pd.DataFrame({"mask_id": pdf["mask_id"].iloc[:1], "embedding": [e / size if size > 0 else e]})
-
-    return rows.groupBy("mask_id").applyInPandas(run, "mask_id long, embedding array<double>")
+    c = with_hsv(crop)
+    slot = lambda n, top, k: F.least(F.lit(bins - 1), F.floor(F.col(n) * bins / top).cast("int")) + k * bins
+    hsv = c.select("mask_id", F.explode(F.array(slot("hue", 180, 0), slot("sat", 256, 1),
+                                                slot("val", 256, 2))).alias("slot"))
+    g = _gradient_bins(crop, bins)
+    shift = lambda name, k: F.transform(F.filter(name, lambda x: x >= 0), lambda x: x + k * bins)
+    grad = g.select("mask_id", F.explode(F.concat(shift("size_bin", 3), shift("turn_bin", 4))).alias("slot"))
+    n = hsv.unionByName(grad).groupBy("mask_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.floor(F.col("slot") / bins)
+    sums = n.groupBy("mask_id", kind.alias("kind")).agg(F.sum("n").alias("total"))
+    share = n.withColumn("kind", kind).join(sums, ["mask_id", "kind"]).select(
+        "mask_id", "slot", (F.col("n") / F.col("total")).alias("x"))
+    gathered = share.filter(F.col("slot") < dim).groupBy("mask_id").agg(
+        F.collect_list("slot").alias("slots"), F.collect_list("x").alias("xs"))
+
+    def fill(batches):
+        for g in batches:
+            out = np.zeros((len(g), dim))
+            sizes = [len(x) for x in g["slots"]]
+            if len(g):
+                row = np.repeat(np.arange(len(g)), sizes)
+                out[row, np.concatenate(g["slots"].to_numpy())] = np.concatenate(g["xs"].to_numpy())
+                out /= np.linalg.norm(out, axis=1, keepdims=True)
+            yield pd.DataFrame({"mask_id": g["mask_id"], "embedding": list(out)})
+
+    return gathered.mapInPandas(fill, "mask_id long, embedding array<double>")
 
 
 def object_embeddings(boxes: DataFrame, crop: DataFrame, deep: DataFrame, dim: int = 512) -> DataFrame:
@@ -379,11 +402,8 @@ def decode_boxes(rows: DataFrame, dist: str, bins: int = 16) -> DataFrame:
     """Boxes from four distance distributions per anchor (columns ``stride``, ``gx``, ``gy``)."""
     def expected(side: int) -> Column:
         part = F.slice(dist, side * bins + 1, bins)
-        top = F.array_max(part)
-        e = F.transform(part, lambda x: F.exp(x - top))
-        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        mean = F.aggregate(F.transform(e, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-        return mean / total * F.col("stride")
+        mean = bind(softmax_weights(part), lambda e: total(F.transform(e, lambda x, i: x * i)) / total(e))
+        return mean * F.col("stride")
 
     cx, cy = (F.col("gx") + 0.5) * F.col("stride"), (F.col("gy") + 0.5) * F.col("stride")
     return rows.withColumns({"x1": cx - expected(0), "y1": cy - expected(1),

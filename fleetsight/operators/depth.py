@@ -23,31 +23,31 @@ def valid_depth(raw: Column, low: float = MIN_DEPTH, high: float = MAX_DEPTH) ->
     return (raw > low * 1000) & (raw < high * 1000)
 
 
-def image_rows(pixels: DataFrame, value: Column) -> DataFrame:
-    """One array per image row, in column order."""
-    cells = F.array_sort(F.collect_list(F.struct("u", value.alias("x"))))
-    return pixels.groupBy("frame_key", "v").agg(cells.alias("c")).select(
-        "frame_key", "v", F.transform("c", lambda e: e["x"]).alias("x"))
-
-
-def neighbour_rows(rows: DataFrame, height: int) -> DataFrame:
-    """Every row with the rows above and below it; the border mirrors the second row."""
+def neighbour_rows(rows: DataFrame, ids: list[str], height: Column) -> DataFrame:
+    """Every image row ``(ids, v, x)`` with the rows above and below it; the border mirrors the second
+    row."""
     v = F.col("v")
-    roles = F.array(
-        F.struct(F.lit(0).alias("role"), v.alias("at")),
-        F.struct(F.lit(-1).alias("role"), (v + 1).alias("at")),
-        F.struct(F.lit(1).alias("role"), (v - 1).alias("at")),
-        F.struct(F.lit(-1).alias("role"), F.when(v == 1, 0).otherwise(-1).alias("at")),
-        F.struct(F.lit(1).alias("role"), F.when(v == height - 2, height - 1).otherwise(-1).alias("at")))
-    sent = rows.select("frame_key", "x", F.explode(roles).alias("t")).filter(
-        (F.col("t.at") >= 0) & (F.col("t.at") < height))
+    to = lambda role, at, ok: F.when(ok, F.struct(F.lit(role).alias("role"), at.cast("int").alias("at")))
+    roles = F.array(to(0, v, F.lit(True)), to(-1, v + 1, v + 1 < height), to(1, v - 1, v > 0),
+                    to(-1, F.lit(0), v == 1), to(1, height - 1, v == height - 2))
+    sent = rows.withColumn("t", F.explode(roles)).filter(F.col("t").isNotNull())
     pick = lambda r: F.first(F.when(F.col("t.role") == r, F.col("x")), ignorenulls=True)
-    return sent.groupBy("frame_key", F.col("t.at").alias("v")).agg(
-        pick(-1).alias("up"), pick(0).alias("x"), pick(1).alias("down"))
+    return sent.groupBy(*ids, F.col("t.at").alias("v")).agg(
+        pick(-1).alias("up"), pick(0).alias("x"), pick(1).alias("down")).withColumns(
+        {"up": F.coalesce("up", "x"), "down": F.coalesce("down", "x")})
+
+
+def image_rows(pixels: DataFrame, value: Column, ids: list[str]) -> DataFrame:
+    """One array per image row, in column order; a row is as long as its image is wide."""
+    cells = F.array_sort(F.collect_list(F.struct("u", value.alias("x"))))
+    return pixels.groupBy(*ids, "v").agg(cells.alias("c")).select(*ids, "v", F.col("c.x").alias("x"))
 
 
 def sobel(up: np.ndarray, mid: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """3x3 Sobel gradients of stacked image rows; the border mirrors the second column."""
+    if mid.shape[1] == 1:
+        up, mid, down = (np.repeat(r, 3, axis=1) for r in (up, mid, down))
+        return tuple(g[:, 1:2] for g in sobel(up, mid, down))
     left = lambda r: np.concatenate([r[:, 1:2], r[:, :-1]], axis=1)
     right = lambda r: np.concatenate([r[:, 1:], r[:, -2:-1]], axis=1)
     across = lambda r: right(r) - left(r)
@@ -58,7 +58,9 @@ def sobel(up: np.ndarray, mid: np.ndarray, down: np.ndarray) -> tuple[np.ndarray
 def _edge_rows(pixels: DataFrame, height: int, gradient: float, relative: bool) -> DataFrame:
     """Per image row: which pixels have a valid depth, and which of them are edges."""
     raw = F.col("depth_raw")
-    rows3 = neighbour_rows(image_rows(pixels, F.when(valid_depth(raw), raw).otherwise(0)), height)
+    ids = ["frame_key"]
+    rows3 = neighbour_rows(image_rows(pixels, F.when(valid_depth(raw), raw).otherwise(0), ids), ids,
+                           F.lit(height))
 
     def run(batches):
         for b in batches:

@@ -350,11 +350,25 @@ def v35(spark, d):
 
 # --- embeddings and identities --------------------------------------------------------------------
 
-@query("V23_histogram_embeddings")
+SHOWN = (0, 40, 70, 96, 97, 100, 130, 144)
+
+
+@query("V23_histogram_embeddings", f"""
+WITH {CROP}, y AS (SELECT mask_id, v, u, hue, sat, val, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 AS y FROM c),
+a AS (SELECT *, coalesce(lag(y) OVER k, lead(y) OVER k) AS l, coalesce(lead(y) OVER k, lag(y) OVER k) AS q FROM y WINDOW k AS (PARTITION BY mask_id, v ORDER BY u)),
+s AS (SELECT *, q - l AS dx, l + 2 * y + q AS sm FROM a),
+g AS (SELECT *, coalesce(lag(dx) OVER k, lead(dx) OVER k) + 2 * dx + coalesce(lead(dx) OVER k, lag(dx) OVER k) AS gx,
+ coalesce(lead(sm) OVER k, lag(sm) OVER k) - coalesce(lag(sm) OVER k, lead(sm) OVER k) AS gy FROM s WINDOW k AS (PARTITION BY mask_id, u ORDER BY v)),
+e AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS size, (atan2(gy, gx) + pi()) / (2 * pi()) * 32 AS turn FROM g),
+t AS (SELECT mask_id, unnest([least(31, hue * 32 // 180), 32 + sat * 32 // 256, 64 + val * 32 // 256,
+ CASE WHEN size <= 255 THEN 96 + least(31, floor(size / 255 * 32))::INTEGER END, 128 + least(31, floor(round(turn, 9)))::INTEGER]) AS slot FROM e),
+n AS (SELECT mask_id, slot, count(*) AS n FROM t WHERE slot IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT mask_id, slot, n / sum(n) OVER (PARTITION BY mask_id, slot // 32) AS x FROM n)
+SELECT mask_id, 512 AS dim, {', '.join(f"round(coalesce(max(x) FILTER (slot = {i}), 0) / sqrt(sum(x * x)), 6) AS e{i}" for i in SHOWN)} FROM x GROUP BY 1""")
 def v23(spark, d):
     e = at.histogram_embeddings(_crops(spark, d))
     return e.select("mask_id", F.size("embedding").alias("dim"), *[
-        F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in (0, 40, 70, 100, 130)])
+        F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in SHOWN])
 
 
 def _boxes(spark, d):
