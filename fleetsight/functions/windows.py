@@ -79,46 +79,34 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
-                     ranks: dict[str, Column], accuracy: int = 10000) -> DataFrame:
-    """Exact order statistics per key without sorting or collecting a whole key.
+                     percents: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank percentiles (0-based rank ``floor(n * p / 100)``, at most the last row).
 
-    ``ranks`` maps a name to a 0-based rank as an expression over the group size ``n``.  A
-    bounded-error sketch brackets each rank; only the distinct values inside a bracket are
-    counted and walked, and the rows below it are only counted.
+    No key is sorted or collected as a whole: a sketch with a bounded error brackets each rank, values
+    are counted, everything below a bracket folds into one row, and only the distinct values inside
+    it are walked.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, F.array(*[F.lit(i / 1000) for i in range(1001)]),
-                            F.lit(accuracy)).alias("_grid"))
-    slack = F.ceil(F.lit(2.0) * F.col("n") / accuracy) + 1
+    error, slack = 10_000, 0.002
+    ends = {n: (p / 100 - slack, p / 100 + slack) for n, p in percents.items()}
+    asked = sorted({x for e in ends.values() for x in e if 0 < x < 1})
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(
+        value, F.array(*[F.lit(x) for x in asked]), F.lit(error)).alias("_q"))
+    at = lambda x: F.get("_q", asked.index(x)) if 0 < x < 1 else F.lit(None).cast("double")
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("stat"),
-                 F.least(F.greatest(rank, F.lit(0)), F.col("n") - 1).cast("long").alias("rank"))
-        for name, rank in ranks.items()])
-    grid = lambda r: F.greatest(F.lit(0), F.least(F.lit(1000), r)).cast("int")
-    lo_i = grid(F.floor((F.col("w.rank") - slack) * 1000 / F.col("n")) - 1)
-    hi_i = grid(F.ceil((F.col("w.rank") + slack) * 1000 / F.col("n")) + 1)
-    brackets = (
-        sizes.filter(F.col("n") > 0)
-        .withColumn("w", F.explode(wanted))
-        .select(*keys, F.col("w.stat").alias("stat"), F.col("w.rank").alias("rank"),
-                F.when(lo_i > 0, F.get("_grid", lo_i)).alias("_lo"),
-                F.when(hi_i < 1000, F.get("_grid", hi_i)).alias("_hi"))
-    )
-    counted = df.filter(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    j = counted.join(brackets, keys)
-    below = F.coalesce(F.col("_v") < F.col("_lo"), F.lit(False))
-    above = F.coalesce(F.col("_v") > F.col("_hi"), F.lit(False))
-    base = j.filter(below).groupBy(*keys, "stat").agg(F.sum("_c").alias("_below"))
-    inside = j.filter(~below & ~above)
-    w = W.partitionBy(*keys, "stat").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    walked = (
-        inside.withColumn("_cum", F.sum("_c").over(w))
-        .join(base, [*keys, "stat"], "left")
-        .withColumn("_end", F.col("_cum") + F.coalesce("_below", F.lit(0)))
-        .filter((F.col("_end") > F.col("rank")) & (F.col("_end") - F.col("_c") <= F.col("rank")))
-    )
-    return walked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("stat") == name, F.col("_v"))).alias(name) for name in ranks])
+        F.struct(F.lit(n).alias("stat"), at(ends[n][0]).alias("lo"), at(ends[n][1]).alias("hi"),
+                 F.least(F.floor(F.col("_n") * F.lit(float(p)) / 100.0), F.col("_n") - 1).alias("rank"))
+        for n, p in percents.items()])
+    brackets = sizes.filter("_n > 0").select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    j = counted.join(brackets, keys).filter(F.col("hi").isNull() | (F.col("_v") <= F.col("hi")))
+    below = F.coalesce(F.col("_v") < F.col("lo"), F.lit(False))
+    folded = j.groupBy(*keys, "stat", "rank", F.when(~below, F.col("_v")).alias("_v")).agg(
+        F.sum("_c").alias("_c"))
+    w = W.partitionBy(*keys, "stat").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
+        W.unboundedPreceding, 0)
+    hit = folded.withColumn("_end", F.sum("_c").over(w)).filter(
+        F.col("_v").isNotNull() & (F.col("_end") > F.col("rank")))
+    return hit.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("stat") == n, F.col("_v"))).alias(n) for n in percents])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.operators.graph import components
 from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
+from fleetsight.session import checkpoint
 
 # Depth range in metres, gradient limit and depth spread.
 MIN_DEPTH, MAX_DEPTH = 0.1, 10.0
@@ -295,7 +296,7 @@ def split_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: i
     """Masks over several depths fall into parts; a mask without a large enough part stays whole."""
     ids = ["frame_key", "mask_id"]
     k = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.round(F.col("std_m") / spread, 9))))
-    s = split_by_depth(mask_pixels, pixels, k, 2 * spread, least)
+    s = checkpoint(split_by_depth(mask_pixels, pixels, k, 2 * spread, least))
     sized = s.filter(F.col("part").isNotNull()).groupBy(*ids, "part").agg(
         F.count(F.lit(1)).alias("n"), (F.median("depth_raw") / 1000).alias("depth_median")).filter(
         F.col("n") >= least).drop("n")

@@ -24,18 +24,13 @@ BASE_COST = (("low", 30.0), ("medium", 50.0), ("high", 80.0), ("extreme", 120.0)
 MODE_FACTOR = (("full", 1.0), ("balanced", 0.7), ("fast", 0.4), ("minimal", 0.25))
 
 
-def nearest_rank(percent: float) -> Column:
-    """0-based position ``int(n * p / 100)`` in the sorted values."""
-    return F.floor(F.col("n") * F.lit(percent) / F.lit(100.0)).cast("long")
-
-
 def stage_stats(timings: DataFrame) -> DataFrame:
     """Count, total, extremes, mean, population deviation and nearest-rank percentiles."""
     d = F.col("duration_ms")
     basic = timings.groupBy("stage").agg(
         F.count(F.lit(1)).alias("count"), F.sum(d).alias("total_ms"), F.min(d).alias("min_ms"),
         F.max(d).alias("max_ms"), F.avg(d).alias("mean_ms"), F.stddev_pop(d).alias("std_ms"))
-    ranks = {f"p{p}_ms": nearest_rank(p) for p in (50, 95, 99)}
+    ranks = {f"p{p}_ms": float(p) for p in (50, 95, 99)}
     return basic.join(order_statistics(timings, ["stage"], "duration_ms", ranks), "stage")
 
 
