@@ -10,12 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = 2048
 _TASK_ROWS = 128
 
 
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python strings; chunked text columns do not convert back in every version."""
+    text = [c for c in pdf.columns if isinstance(pdf[c].dtype, pd.StringDtype)]
+    return pdf.astype({c: object for c in text}) if text else pdf
+
+
 def _count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from fleetsight.functions.vectors import l2_normalize
-from fleetsight.operators.blocks import BLOCK, blockwise
+from fleetsight.operators.blocks import BLOCK, blockwise, plain
 
 MAX_PIVOTS = 1024
 PRUNE_FROM = 16 * BLOCK
@@ -71,7 +71,7 @@ def _kernel(s: Search):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "entry_id", "object_id", "gallery_camera", "dist"]
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: np.array([], t) for c, t in zip(cols, ("i8", "i8", object, object, "f8"))})
         # Objects in code order, so that equal distances fall to the smaller id.
         right = right.sort_values("entry_id", kind="stable").reset_index(drop=True)
         d = np.round(_distances(_matrix(left["vec"]), _matrix(right["vec"]), s.metric), 9)
@@ -111,10 +111,10 @@ def _kernel(s: Search):
         out = out.sort_values(["r", "dist", "j"], kind="stable")
         out = out[out.groupby("r").cumcount() < k]
         hit = right.iloc[pick[out["r"].to_numpy(), out["j"].to_numpy()]]
-        return pd.DataFrame({
+        return plain(pd.DataFrame({
             "query_id": left["query_id"].to_numpy()[out["r"].to_numpy()],
             "entry_id": hit["entry_id"].to_numpy(), "object_id": hit["object_id"].to_numpy(),
-            "gallery_camera": hit["camera_id"].to_numpy(), "dist": out["dist"].to_numpy()})
+            "gallery_camera": hit["camera_id"].to_numpy(), "dist": out["dist"].to_numpy()}))
 
     return run
 
@@ -140,7 +140,7 @@ def _assign(gallery: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(b):
                 d = _to_pivots(pivots, _matrix(b["vec"]))
                 cell = d.argmin(1)
-                yield b.assign(cell=cell.astype("int32"), dp=d[np.arange(len(b)), cell])
+                yield plain(b.assign(cell=cell.astype("int32"), dp=d[np.arange(len(b)), cell]))
 
     return gallery.mapInPandas(run, _with(gallery.schema, ("cell", T.IntegerType()),
                                           ("dp", T.DoubleType())))
@@ -199,7 +199,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, span: pd.DataFrame, near: pd
                 floor = np.maximum.reduce([d - high[None, :], low[None, :] - d, plane])
                 look = floor <= reach[:, None] + 1e-9
             r, c = np.nonzero(look)
-            yield b.iloc[r].assign(cell=cells[c].astype("int32"))
+            yield plain(b.iloc[r].assign(cell=cells[c].astype("int32")))
 
     return queries.mapInPandas(run, _with(queries.schema, ("cell", T.IntegerType())))
 

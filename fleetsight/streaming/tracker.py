@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fleetsight.operators.blocks import plain
 from fleetsight.operators.tracking import Replay, Rules
 
 _OUT = ("camera_id string, region long, frame_no long, det_id long, birth_id long, state string, age int, "
@@ -50,7 +51,8 @@ def stream_tracks(det: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 out.append((*key, int(number), int(ident), t[0], t[2], t[3], t[4], missed))
         if machine.last is not None:
             state.update((machine.last, _dump(machine)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+        if out:
+            yield plain(pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]))
 
     active = det.filter(F.col("confidence") >= rules.activate)
     return active.groupBy("camera_id", "region").applyInPandasWithState(
