@@ -16,6 +16,7 @@ from fleetsight.functions import color
 from fleetsight.functions.scalar import clamp
 from fleetsight.functions.vectors import bind, l2_normalize, softmax_weights, total
 from fleetsight.functions.windows import latest
+from fleetsight.operators.blocks import gathered
 from fleetsight.operators.depth import image_rows, neighbour_rows, sobel
 
 # Key points in order of the pose vector.
@@ -299,17 +300,16 @@ def shape_features(mask_pixels: DataFrame, ids: tuple[str, ...] = ("frame_key",
     rows = mask_pixels.groupBy(*ids, "v").agg(F.min("u").alias("a"), (F.max("u") + 1).alias("b"),
                                               F.count(F.lit(1)).alias("n"))
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy()
-        x = np.concatenate([pdf["a"], pdf["a"], pdf["b"], pdf["b"]])
-        y = np.concatenate([v, v + 1, v, v + 1])
-        return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in ids}, "hull": [_hull_area(x, y)]})
+    def hull(key, c):
+        x = np.concatenate([c["a"], c["a"], c["b"], c["b"]])
+        y = np.concatenate([c["v"], c["v"] + 1, c["v"], c["v"] + 1])
+        return {**{n: [k] for n, k in zip(ids, key)}, "hull": [_hull_area(x, y)]}
 
     kinds = ", ".join(f"{c} long" for c in ids)
     g = rows.groupBy(*ids).agg(
         F.sum("n").alias("area"), (F.max("b") - F.min("a")).alias("w"),
         (F.max("v") - F.min("v") + 1).alias("h"))
-    h = rows.groupBy(*ids).applyInPandas(hull, f"{kinds}, hull double")
+    h = gathered(rows, ids, ["v", "a", "b"], hull, f"{kinds}, hull double")
     return g.join(h, list(ids)).select(
         *ids, "area", (F.col("w") / F.greatest(F.col("h"), F.lit(1))).alias("aspect_ratio"),
         (F.col("area") / F.greatest(F.col("w") * F.col("h"), F.lit(1))).alias("extent"),

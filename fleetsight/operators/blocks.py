@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +24,26 @@ def plain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.astype({c: object for c in text}) if text else pdf
 
 
+def gathered(df: DataFrame, ids: Sequence[str], columns: Sequence[str], run: Callable, schema: str) -> DataFrame:
+    """``run(key, arrays)`` for every group of a size bounded by one image, many groups per batch.
+
+    ``run`` gets the key values and a dict of numpy arrays and returns a dict of columns.  This is
+    grouped pandas without its cost per group, for jobs with very many small groups.
+    """
+    ids, columns = list(ids), list(columns)
+    rows = df.groupBy(*ids).agg(*[F.collect_list(c).alias(c) for c in columns])
+
+    def batch(batches):
+        for b in batches:
+            out = [run(row[:len(ids)], dict(zip(columns, row[len(ids):])))
+                   for row in b[[*ids, *columns]].itertuples(index=False, name=None)]
+            out = [o for o in out if len(next(iter(o.values())))]
+            if out:
+                yield plain(pd.DataFrame({c: np.concatenate([np.asarray(o[c]) for o in out]) for c in out[0]}))
+
+    return rows.mapInPandas(batch, schema)
+
+
 def _count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

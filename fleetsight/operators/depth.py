@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetsight.operators.blocks import gathered
 from fleetsight.operators.graph import components
 from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
 from fleetsight.session import checkpoint
@@ -161,13 +162,15 @@ def depth_clusters(counts: DataFrame) -> DataFrame:
     The input holds one row per distinct millimetre of a mask, so a group has at most 65,536 rows
     whatever the size of the mask.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["depth_raw"].to_numpy(np.float64)
-        part = _lloyd(x, pdf["n"].to_numpy(np.float64), int(pdf["k"].iloc[0]))
-        return pdf.assign(part=part.astype("int32"))[["frame_key", "mask_id", "depth_raw", "part"]]
+    ids = ["frame_key", "mask_id"]
+
+    def run(key, c):
+        part = _lloyd(c["depth_raw"].astype(np.float64), c["n"].astype(np.float64), int(c["k"][0]))
+        same = {n: np.repeat(k, len(part)) for n, k in zip(ids, key)}
+        return {**same, "depth_raw": c["depth_raw"], "part": part.astype("int32")}
 
-    return counts.groupBy("frame_key", "mask_id").applyInPandas(
-        run, "frame_key long, mask_id long, depth_raw int, part int")
+    return gathered(counts, ids, ["depth_raw", "n", "k"], run,
+                    "frame_key long, mask_id long, depth_raw int, part int")
 
 
 def split_by_depth(label_pixels: DataFrame, pixels: DataFrame, k: Column, spread: float,
@@ -240,8 +243,8 @@ def morphology(px: DataFrame, ids: list[str], steps: list[tuple[str, int]], widt
     """
     margin = sum(r for what, r in steps if what == "dilate") + 1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, u = pdf["v"].to_numpy(), pdf["u"].to_numpy()
+    def run(key, c):
+        v, u = c["v"], c["u"]
         top, left = max(0, v.min() - margin), max(0, u.min() - margin)
         rows, cols = min(height, v.max() + margin + 1) - top, min(width, u.max() + margin + 1) - left
         m = np.zeros((rows, cols), np.int64)
@@ -257,12 +260,12 @@ def morphology(px: DataFrame, ids: list[str], steps: list[tuple[str, int]], widt
                 ring = np.pad(m, 1)
                 m = 1 - _flood(ring == 0)[1:-1, 1:-1].astype(np.int64)
         vs, us = np.nonzero(m)
-        out = {c: np.repeat(pdf[c].to_numpy()[:1], len(vs)) for c in ids}
-        return pd.DataFrame({**out, "v": (vs + top).astype("int32"), "u": (us + left).astype("int32")})
+        same = {n: np.repeat(k, len(vs)) for n, k in zip(ids, key)}
+        return {**same, "v": (vs + top).astype("int32"), "u": (us + left).astype("int32")}
 
     kinds = {f.name: f.dataType.simpleString() for f in px.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ids) + ", v int, u int"
-    return px.select(*ids, "v", "u").groupBy(*ids).applyInPandas(run, schema)
+    return gathered(px, ids, ["v", "u"], run, schema)
 
 
 CLOSE = [("dilate", 2), ("erode", 2)]

@@ -122,7 +122,7 @@ SELECT event, epoch_us(ts) AS timestamp, det_id FROM (SELECT unnest(CASE WHEN co
  WHEN confidence < 0.5 THEN ['object_detected', 'review_needed'] ELSE ['object_detected'] END) AS event, ts, det_id FROM base_detections)""")
 def s17(spark, d):
     routed = routing.review_route(src.base_detections(spark, d))
-    e = jobs.pipeline_events(routed)
+    e = jobs.outgoing_events(routed)
     return e.select("event", micros(F.col("timestamp")).alias("timestamp"),
                     F.from_json("data", "det_id bigint")["det_id"].alias("det_id"))
 

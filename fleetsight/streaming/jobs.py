@@ -100,8 +100,8 @@ def sync_objects(batch: DataFrame, current: DataFrame) -> DataFrame:
     return store.upsert(current, batch)
 
 
-def pipeline_events(routed: DataFrame) -> DataFrame:
-    """One outgoing event per stage output: name, time and JSON payload."""
+def outgoing_events(routed: DataFrame) -> DataFrame:
+    """One event per stage output: name, time and JSON payload."""
     def event(name: str, cond, *cols: str) -> DataFrame:
         return routed.filter(cond).select(
             F.lit(name).alias("event"), F.col("ts").alias("timestamp"), F.to_json(F.struct(*cols)).alias("data"))
