@@ -1,6 +1,6 @@
 """Operators for the preparation of training text; nothing else in the library imports them."""
 
-from fleetsight.llm import quality_rules, substring_dedup  # noqa: F401
+from fleetsight.llm import decontamination, packing, quality_rules, substring_dedup  # noqa: F401
 from fleetsight.llm.frames import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
