@@ -1,7 +1,7 @@
 """Documents packed into windows by Karmarkar-Karp multiway differencing.
 
 A task tokenizes groups of a few megabytes of text.  A document's full windows stand alone; what
-is left of it is cut into pieces of a quarter window at most.  Each piece starts as a partial
+is left of it is cut into equal pieces of an eighth of a window at most.  Each piece starts as a partial
 partition with one filled window; the two partial partitions with the largest imbalance merge,
 the fullest windows of one onto the emptiest of the other, until one partition with near-equal
 windows is left.  The remainder of the group's tokens that fills no window goes to sequences of
@@ -34,7 +34,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_BYTES = 2 << 20
 #: Tokens a window that the first differencing leaves free on average, for the imbalance that remains.
-SLACK = 12
+SLACK = 8
 
 
 def differencing(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +106,10 @@ def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
                 m = min(n, room)
                 tail.append((d, start, m, number, filled))
                 start, n, room, filled = start + m, n - m, room - m, filled + m
-            while n:
-                m = min(n, max(1, capacity // 4))
-                items.append((d, start, m))
-                start, n = start + m, n - m
+            parts = -(-n // max(1, capacity // 8))
+            for k in range(parts):
+                a, b = n * k // parts, n * (k + 1) // parts
+                items.append((d, start + a, b - a))
         window, sums = differencing(np.array([x[2] for x in items], np.int64), windows) if windows else (None, None)
         if not items or (windows and sums.max() <= capacity):
             break
