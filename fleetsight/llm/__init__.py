@@ -1,7 +1,8 @@
 """Operators for the preparation of training text; nothing else in the library imports them."""
 
 from fleetsight.llm import (  # noqa: F401
-    decontamination, html_text, packing, passage_quality, quality_rules, substring_dedup, toxicity)
+    decontamination, html_text, packing, passage_quality, personal_data, quality_rules,
+    secrets, substring_dedup, toxicity)
 from fleetsight.llm.frames import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

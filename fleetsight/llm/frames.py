@@ -56,7 +56,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def scan(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-         schema: str) -> DataFrame:
+         schema) -> DataFrame:
     """``mapInArrow`` with the package on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(work, schema)

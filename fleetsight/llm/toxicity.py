@@ -1,6 +1,6 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
-A text's sparse features are the words it contains.  One weight vector gives a text its level;
+A text's sparse features are the words and word stems it contains.  One weight vector gives a text its level;
 ordered thresholds cut the level into grades, ``P(grade <= k) = sigmoid(threshold_k - level)``, so
 all grades share the weights.  The expected grade is the severity.  Weights and thresholds are
 fitted together by proximal gradient steps; an L1 term leaves few words with a weight, and only
@@ -31,14 +31,18 @@ from fleetsight.llm import bytetext as B
 from fleetsight.llm.frames import batch, query, read, scan, texts
 from fleetsight.llm.passage_quality import held_out
 
-MAX_DOCS = 6000
+MAX_DOCS = 20_000
 _BITS = 20
+STEM = 5
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, hashes of their stems, and the first word of each text.  A stem is a
+    word's first bytes with the length of the whole word; it covers rare words of one family."""
     low = B.LOWER[data]
     starts, ends, at = B.spans(low, offsets, B.ALNUM)
-    return B.hashes(low, starts, ends), at
+    stem = B.hashes(low, starts, np.minimum(ends, starts + STEM), seed=1)
+    return B.hashes(low, starts, ends), B.mixed(stem + (ends - starts).astype(np.uint64)), at
 
 
 @dataclass
@@ -51,8 +55,11 @@ class Model:
         self.flags = np.zeros(1 << _BITS, bool)
         self.flags[(self.words >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def levels(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Sum of the weights of the distinct words of each text."""
+    def levels(self, words: np.ndarray, stems: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sum of the weights of the distinct words and stems of each text."""
+        return self._levels(words, at) + self._levels(stems, at)
+
+    def _levels(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at) - 1)
         if not len(self.words) or not len(h):
             return out
@@ -75,16 +82,21 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -40, 40)))
 
 
-def fit(bags: list[np.ndarray], grade: np.ndarray, n_grades: int = 4, least_docs: int = 3, steps: int = 600,
-        rate: float = 0.3, l1: float = 4e-4) -> Model:
-    """Cumulative-link regression on the distinct words of each text."""
+def fit(bags: list[np.ndarray], grade: np.ndarray, n_grades: int = 4, least_docs: int = 3, screen: float = 3.0,
+        steps: int = 400, rate: float = 0.3, l1: float = 4e-4) -> Model:
+    """Cumulative-link regression on the distinct words of each text.  Words whose share of texts
+    differs between grade 0 and the others by less than ``screen`` standard errors are left out."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(1, n_grades - 1), 40.0))
     if not len(grade) or grade.max() == grade.min():
         return none
     flat = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     words, which, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count >= least_docs
+    bad = np.bincount(which, (grade > 0)[row], len(words))
+    p, q = bad / max(1, (grade > 0).sum()), (count - bad) / max(1, (grade == 0).sum())
+    both = count / len(grade)
+    spread = np.sqrt(both * (1 - both) * (1 / max(1, (grade > 0).sum()) + 1 / max(1, (grade == 0).sum()))) + 1e-12
+    often = (count >= least_docs) & (np.abs(p - q) > screen * spread)
     number = np.cumsum(often) - 1
     keep = often[which]
     row, col, words = row[keep], number[which[keep]], words[often]
@@ -150,23 +162,26 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in B.pieces(b.column("text")):
-                h, at = _words(data, offsets)
+                h, stems, at = _words(data, offsets)
                 rows = [np.unique(h[at[r]:at[r + 1]], return_counts=True) for r in range(last - first)]
+                more = [np.unique(stems[at[r]:at[r + 1]]) for r in range(last - first)]
                 yield batch(doc_id=b.column("doc_id").slice(first, last - first), y=b.column("y").slice(first, last - first),
                             words=pa.array([r[0].tobytes() for r in rows], pa.binary()),
-                            counts=pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()))
+                            counts=pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()),
+                            stems=pa.array([m.tobytes() for m in more], pa.binary()))
 
     # ``known`` has at most ``max_docs`` rows of two numbers, so it may be broadcast.
     rows = scan(texts(docs).join(F.broadcast(known), "doc_id"), work,
-                "doc_id long, y int, words binary, counts binary").collect()
+                "doc_id long, y int, words binary, counts binary, stems binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["words"]))
     bags = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    full = [np.concatenate([b, np.frombuffer(r["stems"], np.uint64)]) for b, r in zip(bags, rows)]
     y = np.array([r["y"] for r in rows], np.int64)
     if graded:
-        return fit(bags, np.maximum(y, 0), int(y.max(initial=1)) + 1)
+        return fit(full, np.maximum(y, 0), int(y.max(initial=1)) + 1)
     marks = marking_words(bags, y > 0)
     uses = np.array([np.frombuffer(r["counts"], "<i4")[np.isin(b, marks)].sum() for r, b in zip(rows, bags)])
-    return fit(bags, grades(uses, y > 0).astype(np.int64) if len(y) else y)
+    return fit(full, grades(uses, y > 0).astype(np.int64) if len(y) else y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
