@@ -2,7 +2,7 @@
 
 from fleetsight.llm import (  # noqa: F401
     decontamination, html_text, packing, passage_quality, personal_data, quality_rules,
-    secrets, substring_dedup, toxicity)
+    secret_scan, substring_dedup, toxicity)
 from fleetsight.llm.frames import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
