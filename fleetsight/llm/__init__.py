@@ -1,7 +1,7 @@
 """Operators for the preparation of training text; nothing else in the library imports them."""
 
 from fleetsight.llm import (  # noqa: F401
-    decontamination, html_text, packing, passage_quality, personal_data, quality_rules,
+    decontamination, html_text, near_dedup, packing, passage_quality, personal_data, quality_rules,
     secret_scan, substring_dedup, toxicity)
 from fleetsight.llm.frames import ORACLES, QUERIES
 
