@@ -246,6 +246,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return parts.groupBy("doc_id", "digest").applyInPandas(_join_blocks(len(shared)), "doc_id long, " + _DIGEST)
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows and columns of ``docs`` without those that hold a window of the benchmark."""
+    def work(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for first, _, data, offsets in B.pieces(b.column("text")):
+                    h, at = _words(data, offsets)
+                    clean[matches(shared.value, h, at, window)[0] + first] = False
+                yield b.filter(pa.array(clean))
+        return run
+
+    for block in blocks(benchmark, window, block_words):
+        docs = scan(docs, work(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 @query("op9_benchmark_decontamination")
 def op9(spark, sf_dir):
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -320,6 +320,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, cell: int
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+    """The rows and columns of ``docs`` with one document of each component, that of the smallest
+    ``doc_id``; documents without an id stay."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+
+
 @query("op5_near_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))

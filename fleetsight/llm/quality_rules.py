@@ -225,6 +225,19 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, report: Sequence[str
     return scan(texts(docs), work, f"doc_id long, {middle}kept boolean, rejected_by string")
 
 
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows and columns of ``docs`` that no rule rejects."""
+    ordered = [r for r, _, _ in order_rules(docs, rules)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [judge(Counts(Texts(data, offsets)), ordered) < 0 for _, _, data, offsets in B.pieces(b.column("text"))]
+            if kept:
+                yield b.filter(pa.array(np.concatenate(kept)))
+
+    return scan(docs, work, docs.schema)
+
+
 @query("op3_quality_rules")
 def op3(spark, sf_dir):
     return cascade(read(spark, sf_dir, "documents"),
