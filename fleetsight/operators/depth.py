@@ -16,7 +16,7 @@ from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
 from fleetsight.session import checkpoint
 
 # Depth range in metres, gradient limit and depth spread.
-MIN_DEPTH, MAX_DEPTH = 0.1, 10.0
+MIN_DEPTH, MAX_DEPTH = 0.2, 5.0
 GRADIENT, SPREAD = 0.1, 0.1
 BAND = 64
 

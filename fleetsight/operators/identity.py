@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetsight.functions.windows import latest
-from fleetsight.operators.graph import MAX_ROUNDS, NotConverged
 from fleetsight.operators.nearest import Search, search
 from fleetsight.session import checkpoint
 
@@ -110,17 +109,13 @@ def assign_identities(queries: DataFrame, gallery: DataFrame, same: float = SAME
         .alias("object_id"), "camera_id", "embedding")
     first = Search(k=1, earlier=True, **limits)
     seeds: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         waiting = search(open_, entry(open_), first).select("query_id")
         new = checkpoint(open_.join(waiting, "query_id", "left_anti"))
         seeds.append(new)
         rest = open_.join(new.select("query_id"), "query_id", "left_anti")
         found = search(rest, entry(new), first).select("query_id")
         open_ = checkpoint(rest.join(found, "query_id", "left_anti"))
-    else:
-        raise NotConverged("identities")
     pool = known.select((-1 - F.col("entry_id")).alias("entry_id"), "object_id", "camera_id", "embedding")
     fresh = None
     for s in seeds:

@@ -144,8 +144,7 @@ def priorities(candidates: DataFrame, fb: DataFrame, min_examples: int = MIN_EXA
 
 
 def suggest(objects: DataFrame, fb: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` most useful of the newest ``3n`` objects that need review."""
-    pool = (objects.filter(F.col("classification_status") == "needs_review")
-            .orderBy(F.desc("created_at"), F.asc("id")).limit(3 * n))
+    """The ``n`` most useful of all objects that need review."""
+    pool = objects.filter(F.col("classification_status") == "needs_review")
     return (priorities(pool, fb).orderBy(F.desc("priority"), F.asc("id")).limit(n)
             .select("id", "primary_class", "confidence", "priority"))

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.functions.scalar import micros
-from fleetsight.operators.graph import MAX_ROUNDS, NotConverged, greedy_removed
+from fleetsight.operators.graph import greedy_removed
 from fleetsight.session import checkpoint
 
 # Agreement and claim limits, and area band.
 AGREE_IOU, BOOST, PENALTY = 0.3, 0.1, 0.05
 OVERLAP, CLAIMED = 0.3, 0.5
-MIN_AREA, MAX_AREA = 100, 100_000
+MIN_AREA, MAX_AREA = 500, 500_000
 SOURCES = ("fastsam", "depth", "pointcloud")
 
 
@@ -272,9 +272,7 @@ def resolve(masks: DataFrame, mask_pixels: DataFrame, limit: float = CLAIMED,
                                      ["frame_key", "mask_id"]))
     taken = None
     settled: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        if px.isEmpty():
-            break
+    while not px.isEmpty():
         head = px.groupBy("frame_key", "v", "u").agg(F.min("ord").alias("_head"))
         state = px.join(head, ["frame_key", "v", "u"])
         used = F.lit(False)
@@ -298,8 +296,8 @@ def resolve(masks: DataFrame, mask_pixels: DataFrame, limit: float = CLAIMED,
             "frame_key", "v", "u")
         taken = checkpoint((grown if taken is None else taken.unionByName(grown)).distinct())
         px = checkpoint(px.join(done.select(*ids), ids, "left_anti"))
-    else:
-        raise NotConverged("mask conflicts")
+    if not settled:
+        return masks.limit(0).withColumns({"outcome": F.lit("whole"), "kept_area": F.lit(0).cast("long")})
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)

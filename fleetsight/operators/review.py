@@ -33,16 +33,18 @@ def enqueue(objects: DataFrame, reason: Column, as_of: Column) -> DataFrame:
 
 
 def pending(queue: DataFrame, limit: int, class_name: str | None = None) -> DataFrame:
-    """Oldest pending items.  A class filter looks at the first ``2 * limit`` items only, and
-    items whose snapshot is not valid JSON are passed over, as in the original queue."""
-    head = (queue.filter(F.col("status") == "pending")
-            .orderBy("created_at", "id").limit(2 * limit)
-            .filter(F.from_json("schema_json", SNAPSHOT_SCHEMA).isNotNull()))
+    """The oldest ``limit`` pending items of a class (of all classes without one).  Items whose
+    snapshot is not valid JSON are passed over."""
+    return _waiting(queue, class_name).orderBy("created_at", "id").limit(limit)
+
+
+def _waiting(queue: DataFrame, class_name: str | None = None) -> DataFrame:
+    head = queue.filter(F.col("status") == "pending").filter(
+        F.from_json("schema_json", SNAPSHOT_SCHEMA).isNotNull())
     if class_name:
         head = head.filter(F.col("provisional_class") == class_name)
-    return (head.withColumn("reason", F.when(F.col("reason").isin(*REASONS), F.col("reason"))
-                            .otherwise("low_confidence"))
-            .orderBy("created_at", "id").limit(limit))
+    return head.withColumn("reason", F.when(F.col("reason").isin(*REASONS), F.col("reason"))
+                           .otherwise("low_confidence"))
 
 
 def latest_decisions(log: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def expire(queue: DataFrame, as_of: Column, hours: float = 24.0) -> DataFrame:
 
 
 def batch(queue: DataFrame, size: int = 20) -> DataFrame:
-    """The largest same-class group among the oldest ``3 * size`` pending items."""
-    head = pending(queue, 3 * size)
+    """The oldest ``size`` items of the class with the most pending items."""
+    head = _waiting(queue)
     groups = head.groupBy("provisional_class").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("created_at", "id")).alias("_first"))
     best = groups.orderBy(F.desc("_n"), F.asc("_first")).limit(1).select("provisional_class")

@@ -79,7 +79,7 @@ TABLES = {
     "pixels": """SELECT g.frame_key, g.v::INTEGER AS v, g.u::INTEGER AS u,
  ((u * 3 + v * 5 + frame_key) % 256)::INTEGER AS b, ((u * 3 + v * 5 + 2 * frame_key) % 256)::INTEGER AS g,
  ((u * 3 + v * 5 + 3 * frame_key) % 256)::INTEGER AS r,
- (CASE WHEN (u * 7 + v * 13 + frame_key) % 97 = 0 THEN 0 WHEN top IS NULL THEN 5000
+ (CASE WHEN (u * 7 + v * 13 + frame_key) % 97 = 0 THEN 0 WHEN top IS NULL THEN 4500
  ELSE 1500 + 500 * (top % 5) END)::INTEGER AS depth_raw
  FROM (SELECT frame_key, v, u FROM (SELECT DISTINCT frame_key FROM masks), range(48) AS a(v), range(64) AS b(u)) g
  LEFT JOIN (SELECT frame_key, v, u, min(mask_id) AS top FROM mask_pixels GROUP BY ALL) USING (frame_key, v, u)""",

@@ -59,18 +59,18 @@ def j18(spark, d):
 SELECT frame_key, mask_id, area, bx1, by1, bx2, by2, coalesce(depth_median, 0) AS depth_median, 0.8::DOUBLE AS confidence FROM (
  SELECT frame_key, mask_id, count(*) AS area, min(u) AS bx1, min(v) AS by1, max(u) AS bx2, max(v) AS by2,
  round(median(CASE WHEN depth_raw > 0 THEN depth_raw END) / 1000, 6) AS depth_median
- FROM mask_pixels JOIN pixels USING (frame_key, v, u) GROUP BY ALL) WHERE area BETWEEN 100 AND 200""")
+ FROM mask_pixels JOIN pixels USING (frame_key, v, u) GROUP BY ALL) WHERE area BETWEEN 100 AND 500000""")
 def v05(spark, d):
     from fleetsight.operators.depth import extract_masks
-    m = extract_masks(src.mask_pixels(spark, d), src.pixels(spark, d), 100, 200)
+    m = extract_masks(src.mask_pixels(spark, d), src.pixels(spark, d), min_area=100)
     return m.withColumn("depth_median", F.round("depth_median", 6))
 
 
 @query("F19_L04_area_band", f"""
-SELECT mask_id, area::BIGINT AS area FROM ({AREA_SQL}) WHERE area BETWEEN 100 AND 150 ORDER BY area DESC, mask_id LIMIT 500""")
+SELECT mask_id, area::BIGINT AS area FROM ({AREA_SQL}) WHERE area BETWEEN 100 AND 500000""")
 def f19(spark, d):
-    a = mk.areas(mk.words(src.mask_pixels(spark, d))).filter(F.col("area").between(100, 150))
-    return a.orderBy(F.desc("area"), "mask_id").limit(500).select("mask_id", "area")
+    a = mk.areas(mk.words(src.mask_pixels(spark, d))).filter(F.col("area").between(100, mk.MAX_AREA))
+    return a.orderBy(F.desc("area"), "mask_id").select("mask_id", "area")
 
 
 @query("U01_mask_sources", "SELECT source, count(*) AS n, round(avg(confidence), 6) AS confidence FROM masks GROUP BY 1")
@@ -84,16 +84,16 @@ def u01(spark, d):
 
 
 @query("J22_detections_with_masks", """
-SELECT i.det_id, i.frame_key, i.det_idx, m.mask_id, m.source FROM (
+SELECT i.det_id, frame_key, det_idx, m.mask_id, m.source FROM (
  SELECT event_id AS det_id, event_id // 24 AS frame_key, event_id % 24 AS det_idx FROM events) i
-LEFT JOIN (SELECT frame_key, mask_id % 24 AS det_idx, mask_id, source FROM masks WHERE mask_id % 24 < 20) m USING (frame_key, det_idx)""")
+FULL JOIN (SELECT frame_key, mask_id % 24 + frame_key % 4 AS det_idx, mask_id, source FROM masks) m USING (frame_key, det_idx)""")
 def j22(spark, d):
     i = F.col("event_id")
     det = src.table(spark, d, "events").select(
         i.alias("det_id"), F.floor(i / 24).alias("frame_key"), (i % 24).alias("det_idx"))
-    m = src.masks(spark, d).withColumn("det_idx", F.col("mask_id") % 24).filter("det_idx < 20")
+    m = src.masks(spark, d).withColumn("det_idx", F.col("mask_id") % 24 + F.col("frame_key") % 4)
     return det.join(m.select("frame_key", "det_idx", "mask_id", "source"),
-                    ["frame_key", "det_idx"], "left")
+                    ["frame_key", "det_idx"], "full")
 
 
 @query("J17_mask_crop", """
@@ -270,9 +270,9 @@ ff AS (SELECT t.group_id, v, u FROM t JOIN mask_pixels px ON px.mask_id = t.firs
 SELECT group_id, area, bx1, by1, bx2, by2, ns AS n_sources,
  round(CASE WHEN n = 1 THEN greatest(0.1, c - 0.05) ELSE least(1.0, c + 0.1 * ns / 3) END, 6) AS confidence, round(depth, 6) AS depth_median
 FROM (SELECT group_id, count(*) AS area, min(u) AS bx1, min(v) AS by1, max(u) AS bx2, max(v) AS by2
- FROM (SELECT * FROM mm UNION ALL SELECT * FROM ff) GROUP BY 1) JOIN t USING (group_id) WHERE area BETWEEN 100 AND 100000""")
+ FROM (SELECT * FROM mm UNION ALL SELECT * FROM ff) GROUP BY 1) JOIN t USING (group_id) WHERE area BETWEEN 100 AND 500000""")
 def v16(spark, d):
-    f = mk.fuse(src.masks(spark, d), src.mask_pixels(spark, d))
+    f = mk.fuse(src.masks(spark, d), src.mask_pixels(spark, d), min_area=100)
     return f.select("group_id", "area", "bx1", "by1", "bx2", "by2", "n_sources",
                     F.round("confidence", 6).alias("confidence"),
                     F.round("depth_median", 6).alias("depth_median"))

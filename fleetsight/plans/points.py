@@ -17,7 +17,7 @@ def _intrinsics(spark):
                                  "camera_id int, fx double, fy double, ppx double, ppy double")
 
 
-VALID = "depth_raw > 100 AND depth_raw < 10000"
+VALID = "depth_raw > 200 AND depth_raw < 5000"
 
 
 @query("F18_valid_depth", f"SELECT frame_key, count(*) AS n FROM pixels WHERE {VALID} GROUP BY 1")
@@ -26,7 +26,7 @@ def f18(spark, d):
     return p.groupBy("frame_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-SOBEL = """WITH d AS (SELECT frame_key, v, u, CASE WHEN depth_raw > 100 AND depth_raw < 10000 THEN depth_raw ELSE 0 END AS x FROM pixels),
+SOBEL = """WITH d AS (SELECT frame_key, v, u, CASE WHEN depth_raw > 200 AND depth_raw < 5000 THEN depth_raw ELSE 0 END AS x FROM pixels),
 h AS (SELECT frame_key, v, u, x,
  coalesce(lag(x) OVER w, nth_value(x, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS l,
  coalesce(lead(x) OVER w, lag(x) OVER w) AS r FROM d WINDOW w AS (PARTITION BY frame_key, v ORDER BY u)),
@@ -193,7 +193,7 @@ cc(id, label) USING KEY (id) AS (SELECT point_id, point_id FROM points UNION
  (SELECT DISTINCT ON (p.id) p.id, n.label FROM recurring.cc AS p, links l, cc AS n
   WHERE p.id = l.a AND l.b = n.id AND n.label < p.label ORDER BY p.id, n.label))
 SELECT p.frame_key, label AS cluster, count(*) AS size, sum(p.point_id)::BIGINT AS id_sum FROM cc JOIN points p ON p.point_id = cc.id
-GROUP BY ALL HAVING count(*) BETWEEN 3 AND 100""")
+GROUP BY ALL HAVING count(*) >= 3""")
 def v09(spark, d):
     c = pt.clusters(src.points(spark, d), 0.2, 3, 100)
     return c.groupBy("frame_key", "cluster").agg(F.count(F.lit(1)).alias("size"),
@@ -205,7 +205,7 @@ t AS (SELECT frame_key, i // 3 AS candidate, max(x) FILTER (i % 3 = 0) AS px, ma
  max(x) FILTER (i % 3 = 1) - max(x) FILTER (i % 3 = 0) AS ax, max(y) FILTER (i % 3 = 1) - max(y) FILTER (i % 3 = 0) AS ay,
  max(z) FILTER (i % 3 = 1) - max(z) FILTER (i % 3 = 0) AS az, max(x) FILTER (i % 3 = 2) - max(x) FILTER (i % 3 = 0) AS bx,
  max(y) FILTER (i % 3 = 2) - max(y) FILTER (i % 3 = 0) AS by_, max(z) FILTER (i % 3 = 2) - max(z) FILTER (i % 3 = 0) AS bz, count(*) AS c
- FROM s WHERE i < 3 * 64 GROUP BY 1, 2),
+ FROM s WHERE i < 3 * 1000 GROUP BY 1, 2),
 n AS (SELECT *, ay * bz - az * by_ AS cx, az * bx - ax * bz AS cy, ax * by_ - ay * bx AS cz FROM t WHERE c = 3),
 l AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS len FROM n),
 f AS MATERIALIZED (SELECT *, CASE WHEN cz > 0 THEN -1.0::DOUBLE ELSE 1.0 END / len AS k FROM l WHERE len >= 1e-6),
@@ -218,7 +218,7 @@ score AS MATERIALIZED (SELECT p.frame_key, candidate, count(*) FILTER (abs((x -
 @query("J23_plane_inliers", PLANES + "SELECT frame_key, candidate, inliers FROM score")
 def j23(spark, d):
     p = src.points(spark, d)
-    return pt.inlier_counts(p, pt.candidate_planes(p, 64), 0.05)
+    return pt.inlier_counts(p, pt.candidate_planes(p), 0.05)
 
 
 DOMINANT = PLANES + """, best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY inliers DESC, candidate) AS k FROM score)
@@ -229,7 +229,7 @@ DOMINANT = PLANES + """, best AS MATERIALIZED (SELECT * FROM (SELECT *, row_numb
 @query("V12_dominant_plane", DOMINANT + """
 SELECT frame_key, candidate, inliers, round(inliers / n_points, 6) AS inlier_ratio, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz FROM best""")
 def v12(spark, d):
-    b = pt.dominant_plane(src.points(spark, d), 64, 0.05, 0.05)
+    b = pt.dominant_plane(src.points(spark, d), distance=0.05, min_ratio=0.05)
     return b.select("frame_key", "candidate", "inliers", *[
         F.round(c, 6).alias(c) for c in ("inlier_ratio", "nx", "ny", "nz")])
 
@@ -239,14 +239,14 @@ SELECT point_id, round(o, 6) AS plane_offset FROM (SELECT point_id, (x - px) * n
  FROM points LEFT JOIN best USING (frame_key)) WHERE o IS NULL OR (o > 0.02 AND o < 0.5)""")
 def v14(spark, d):
     p = src.points(spark, d)
-    plane = pt.dominant_plane(p, 64, 0.05, 0.05)
+    plane = pt.dominant_plane(p, distance=0.05, min_ratio=0.05)
     kept = pt.remove_plane(p, plane)
     return pt.plane_offset(kept, plane).select("point_id", F.round("offset", 6).alias("plane_offset"))
 
 
 @query("V13_several_planes")
 def v13(spark, d):
-    pl = pt.several_planes(src.points(spark, d), iterations=64, distance=0.05, min_ratio=0.05)
+    pl = pt.several_planes(src.points(spark, d), distance=0.05, min_ratio=0.05)
     return pl.select("frame_key", "turn", "inliers", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")])
 
 
@@ -262,7 +262,7 @@ def v10(spark, d):
 
 @query("V11_segment_cloud")
 def v11(spark, d):
-    s = pt.segment_cloud(src.points(spark, d), tolerance=0.2, min_size=3, max_size=100, iterations=64)
+    s = pt.segment_cloud(src.points(spark, d), tolerance=0.2, min_size=3, max_size=100)
     return s.groupBy("frame_key", "cluster").agg(F.count(F.lit(1)).alias("size"))
 
 

@@ -10,7 +10,7 @@ from fleetsight.plans.core import AS_OF, STATUS
 from fleetsight.plans.registry import query
 from fleetsight.sources import derive as src
 
-HEAD = """SELECT * FROM review_queue WHERE status = 'pending' ORDER BY created_at, id LIMIT {n}"""
+HEAD = "SELECT * FROM review_queue WHERE status = 'pending'"
 
 
 def _us(name):
@@ -18,7 +18,7 @@ def _us(name):
 
 
 @query("F27_pending_reviews", f"""
-SELECT id, reason, provisional_class, epoch_us(created_at) AS created_at FROM ({HEAD.format(n=100)}) h
+SELECT id, reason, provisional_class, epoch_us(created_at) AS created_at FROM ({HEAD}) h
 WHERE provisional_class = 'person' ORDER BY h.created_at, id LIMIT 50""")
 def f27(spark, d):
     return rv.pending(src.review_queue(spark, d), 50, "person").select(
@@ -37,7 +37,7 @@ def a02(spark, d):
 
 
 @query("A30_largest_batch", f"""
-WITH h AS ({HEAD.format(n=60)}),
+WITH h AS ({HEAD}),
 best AS (SELECT provisional_class FROM h GROUP BY 1 ORDER BY count(*) DESC, min(created_at), min(id) LIMIT 1)
 SELECT id, provisional_class FROM h WHERE provisional_class IN (SELECT * FROM best) ORDER BY created_at, id LIMIT 20""")
 def a30(spark, d):
@@ -115,7 +115,7 @@ def r05(spark, d):
 
 
 @query("R06_submit_batch", f"""
-WITH h AS ({HEAD.format(n=60)}),
+WITH h AS ({HEAD}),
 best AS (SELECT provisional_class FROM h GROUP BY 1 ORDER BY count(*) DESC, min(created_at), min(id) LIMIT 1)
 SELECT id AS review_id, provisional_class AS original_class, 'person' AS human_class,
  provisional_class = 'person' AS was_correct FROM h
@@ -271,11 +271,12 @@ def r09(spark, d):
 
 
 @query("R10_feedback_retention", """
-SELECT feedback_id, corrected_class FROM feedback ORDER BY "timestamp" DESC, feedback_id DESC LIMIT 1000""")
+SELECT feedback_id, corrected_class, "timestamp" >= TIMESTAMP '2024-01-10 00:00:00' AS recent FROM feedback""")
 def r10(spark, d):
+    # Everything that was saved is read back; what is recent is a column, not a cut.
     fb = src.feedback(spark, d)
-    return fb.orderBy(F.desc("timestamp"), F.desc("feedback_id")).limit(1000).select(
-        "feedback_id", "corrected_class")
+    return fb.select("feedback_id", "corrected_class",
+                     (F.col("timestamp") >= instant("2024-01-10 00:00:00")).alias("recent"))
 
 
 PRIORITY = f"""SELECT o.id, primary_class, confidence, 1.0::DOUBLE - confidence
@@ -291,7 +292,7 @@ def x20(spark, d):
     return p.select("id", F.round("priority", 6).alias("priority"))
 
 
-POOL = """(SELECT * FROM objects WHERE classification_status = 'needs_review' ORDER BY created_at DESC, id LIMIT 60)"""
+POOL = """(SELECT * FROM objects WHERE classification_status = 'needs_review')"""
 
 
 @query("L08_R11_suggest", f"""

@@ -263,7 +263,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
            .agg(F.min("mask_id").alias("top")))
     u, v, k = F.col("u"), F.col("v"), F.col("frame_key")
     depth = (F.when((u * 7 + v * 13 + k) % 97 == 0, 0)
-             .when(F.col("top").isNull(), 5000).otherwise(1500 + 500 * (F.col("top") % 5)))
+             .when(F.col("top").isNull(), 4500).otherwise(1500 + 500 * (F.col("top") % 5)))
     color = [((u * 3 + v * 5 + F.lit(n) * k) % 256).cast("int") for n in (1, 2, 3)]
     return top.select("frame_key", "v", "u", color[0].alias("b"), color[1].alias("g"),
                       color[2].alias("r"), depth.cast("int").alias("depth_raw"))
