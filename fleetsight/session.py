@@ -7,8 +7,12 @@ setting is absent, as in local tests, a private temporary folder is used.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +43,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_fleetsight_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fleetsight-")
+    path = os.path.join(folder, "fleetsight.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for base, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.join("fleetsight", os.path.relpath(full, top)))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(path)
+    context._fleetsight_shipped = True
+
+
 def _base_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get(_CONF, None) or spark.conf.get(_CONF, None)
     if base:
@@ -46,14 +69,31 @@ def _base_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{_CONF} must name a folder that all executors share; only a local master may do without it")
     base = tempfile.mkdtemp(prefix="fleetsight-", dir="/tmp")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that finished queries of this session wrote to the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{_base_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_base_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
