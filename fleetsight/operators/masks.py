@@ -155,6 +155,13 @@ def subtract_claims(masks: DataFrame, claims: DataFrame, stale_us: int) -> DataF
         "_taken").filter("bits <> 0")
 
 
+def live_at_last(claims: DataFrame, stale_us: int, by: tuple[str, ...] = ("scene",)) -> DataFrame:
+    """Claims that are not stale when the last claim of their scene is made."""
+    last = claims.groupBy(*by).agg(F.max("ts").alias("_last"))
+    return claims.join(last, list(by)).filter(
+        micros(F.col("_last")) - micros(F.col("ts")) <= stale_us).drop("_last")
+
+
 def composite(claims: DataFrame, by: tuple[str, ...] = ("scene",)) -> DataFrame:
     """Claimed area per scene: the union of its claims."""
     merged = claims.groupBy(*by, "v", "w").agg(F.bit_or("bits").alias("bits"))

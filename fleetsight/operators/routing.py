@@ -106,9 +106,9 @@ def priority_name(rank: Column) -> Column:
 def recover_class(boxes: DataFrame, det: DataFrame, frame_keys: list[str],
                   threshold: float = 0.5) -> DataFrame:
     """Class of the first detection of the same frame whose box matches (IoU above threshold)."""
-    d = det.select(*frame_keys, F.col("det_idx"), F.col("class_name"),
-                   *[F.col(c).alias(f"d_{c}") for c in ("x1", "y1", "x2", "y2")])
-    hit = iou(box(), box("d_")) > threshold
-    j = boxes.join(d, frame_keys).filter(hit)
+    from fleetsight.operators.tracking import box_pairs
+    names = det.select(*frame_keys, "det_idx", "class_name")
+    j = box_pairs(boxes, det, frame_keys, "box_id", "det_idx", threshold).filter(
+        F.col("iou") > threshold).join(names, [*frame_keys, "det_idx"])
     return j.groupBy(*frame_keys, "box_id").agg(
         F.min_by("class_name", "det_idx").alias("recovered_class"))
