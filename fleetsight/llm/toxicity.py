@@ -8,7 +8,8 @@ those are looked up when the corpus is scored.
 
 Where labels only tell toxic from clean, ``grades`` makes severity grades of them: the words
 that mark toxic labelled texts are found by their odds, and a toxic text is graded by how often it
-uses them (once; two or three times; more).  Both are fitted on at most ``max_docs`` labelled
+uses them (once; two or three times; more).  Words are counted in Spark; only those that tell toxic from
+clean are fitted.  The sample has at most ``max_docs`` labelled
 documents (those with the smallest hashed ids) outside the held-out fold.
 
 Defined cases: null and empty texts have no words and the base severity; a null ``doc_id`` is
@@ -34,6 +35,9 @@ from fleetsight.llm.passage_quality import held_out
 MAX_DOCS = 20_000
 _BITS = 20
 STEM = 5
+#: A word is learned from if so many sampled texts have it, and if its share of toxic and of clean
+#: texts differs by so many standard errors.
+LEAST_DOCS, SCREEN = 3, 3.0
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,21 +86,16 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -40, 40)))
 
 
-def fit(bags: list[np.ndarray], grade: np.ndarray, n_grades: int = 4, least_docs: int = 3, screen: float = 3.0,
-        steps: int = 400, rate: float = 0.3, l1: float = 4e-4) -> Model:
-    """Cumulative-link regression on the distinct words of each text.  Words whose share of texts
-    differs between grade 0 and the others by less than ``screen`` standard errors are left out."""
+def fit(bags: list[np.ndarray], grade: np.ndarray, n_grades: int = 4, least_docs: int = LEAST_DOCS, steps: int = 400,
+        rate: float = 0.3, l1: float = 4e-4) -> Model:
+    """Cumulative-link regression on the distinct words of each text."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(max(1, n_grades - 1), 40.0))
     if not len(grade) or grade.max() == grade.min():
         return none
     flat = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     words, which, count = np.unique(flat, return_inverse=True, return_counts=True)
-    bad = np.bincount(which, (grade > 0)[row], len(words))
-    p, q = bad / max(1, (grade > 0).sum()), (count - bad) / max(1, (grade == 0).sum())
-    both = count / len(grade)
-    spread = np.sqrt(both * (1 - both) * (1 / max(1, (grade > 0).sum()) + 1 / max(1, (grade == 0).sum()))) + 1e-12
-    often = (count >= least_docs) & (np.abs(p - q) > screen * spread)
+    often = count >= least_docs
     number = np.cumsum(often) - 1
     keep = often[which]
     row, col, words = row[keep], number[which[keep]], words[often]
@@ -134,16 +133,10 @@ def fit(bags: list[np.ndarray], grade: np.ndarray, n_grades: int = 4, least_docs
     return Model(words[used], w[used], theta)
 
 
-def marking_words(bags: list[np.ndarray], toxic: np.ndarray, least: int = 4, odds: float = 8.0) -> np.ndarray:
-    """Words whose presence multiplies the odds of the toxic label by ``odds`` at least."""
-    if not len(toxic) or not toxic.any() or toxic.all():
-        return np.zeros(0, np.uint64)
-    flat = np.concatenate(bags)
-    y = np.repeat(toxic, [len(b) for b in bags])
-    words, which = np.unique(flat, return_inverse=True)
-    bad, good = np.bincount(which, y, len(words)), np.bincount(which, ~y, len(words))
-    prior = toxic.sum() / (~toxic).sum()
-    return words[(bad >= least) & ((bad + 0.5) / (good + 0.5) >= odds * prior)]
+def marking(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, least: int = 4, odds: float = 8.0) -> np.ndarray:
+    """Words whose presence multiplies the odds of the toxic label by ``odds`` at least; the
+    arguments count the toxic and clean texts with the word, and all."""
+    return (bad >= least) & ((bad + 0.5) / (good + 0.5) >= odds * max(1, n_bad) / max(1, n_good))
 
 
 def grades(uses: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -159,29 +152,48 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool
              .groupBy("doc_id").agg(F.max("y").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # ``known`` has at most ``max_docs`` rows of two numbers, so it may be broadcast.
+    rows = texts(docs).join(F.broadcast(known), "doc_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in B.pieces(b.column("text")):
                 h, stems, at = _words(data, offsets)
-                rows = [np.unique(h[at[r]:at[r + 1]], return_counts=True) for r in range(last - first)]
-                more = [np.unique(stems[at[r]:at[r + 1]]) for r in range(last - first)]
+                y = np.asarray(b.column("y").slice(first, last - first)) > 0
+                own = [np.unique(np.concatenate([h[s:e], stems[s:e]])) for s, e in zip(at[:-1], at[1:])]
+                words, which = np.unique(np.concatenate(own), return_inverse=True)
+                bad = np.bincount(which, np.repeat(y, [len(o) for o in own]), len(words)).astype(np.int64)
+                yield batch(word=words.view(np.int64), bad=bad, n=np.bincount(which, minlength=len(words)))
+
+    n_bad, n_all = rows.agg(F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0)), F.count("*")).first()
+    p, q = F.col("bad") / max(1, n_bad), (F.col("n") - F.col("bad")) / max(1, n_all - n_bad)
+    both = F.col("n") / max(1, n_all)
+    spread = F.sqrt(both * (1 - both) * (1 / max(1, n_bad) + 1 / max(1, n_all - n_bad)))
+    told = (scan(rows, count, "word long, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+            .where(F.col("n") >= LEAST_DOCS).where(F.abs(p - q) > SCREEN * spread).toArrow())
+    words = np.asarray(told["word"]).view(np.uint64)
+    order = np.argsort(words)
+    words, bad, n = words[order], np.asarray(told["bad"])[order], np.asarray(told["n"])[order]
+    marks = words[marking(bad, n - bad, n_bad, n_all - n_bad)]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, last, data, offsets in B.pieces(b.column("text")):
+                h, stems, at = _words(data, offsets)
+                own, uses = [], []
+                for s, e in zip(at[:-1], at[1:]):
+                    own.append(np.intersect1d(np.concatenate([h[s:e], stems[s:e]]), words).tobytes())
+                    uses.append(int(np.isin(h[s:e], marks).sum()))
                 yield batch(doc_id=b.column("doc_id").slice(first, last - first), y=b.column("y").slice(first, last - first),
-                            words=pa.array([r[0].tobytes() for r in rows], pa.binary()),
-                            counts=pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()),
-                            stems=pa.array([m.tobytes() for m in more], pa.binary()))
+                            words=pa.array(own, pa.binary()), uses=pa.array(uses, pa.int64()))
 
-    # ``known`` has at most ``max_docs`` rows of two numbers, so it may be broadcast.
-    rows = scan(texts(docs).join(F.broadcast(known), "doc_id"), work,
-                "doc_id long, y int, words binary, counts binary, stems binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["words"]))
-    bags = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    full = [np.concatenate([b, np.frombuffer(r["stems"], np.uint64)]) for b, r in zip(bags, rows)]
-    y = np.array([r["y"] for r in rows], np.int64)
+    found = sorted(scan(rows, pick, "doc_id long, y int, words binary, uses long").collect(), key=lambda r: (r["doc_id"], r["words"]))
+    bags = [np.frombuffer(r["words"], np.uint64) for r in found]
+    y = np.array([r["y"] for r in found], np.int64)
     if graded:
-        return fit(full, np.maximum(y, 0), int(y.max(initial=1)) + 1)
-    marks = marking_words(bags, y > 0)
-    uses = np.array([np.frombuffer(r["counts"], "<i4")[np.isin(b, marks)].sum() for r, b in zip(rows, bags)])
-    return fit(full, grades(uses, y > 0).astype(np.int64) if len(y) else y)
+        return fit(bags, np.maximum(y, 0), int(y.max(initial=1)) + 1)
+    uses = np.array([r["uses"] for r in found], np.int64)
+    return fit(bags, grades(uses, y > 0).astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
