@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalar import micros
-from fleetsight.operators import depth as dp, routing, tracking as tk
+from fleetsight.operators import routing, tracking as tk
 from fleetsight.plans.core import STATUS
+from fleetsight.plans.points import SOBEL
 from fleetsight.plans.registry import query
 from fleetsight.session import materialize, prepare, scratch
 from fleetsight.sources import derive as src, store as io
@@ -15,12 +16,12 @@ from fleetsight.streaming.tracker import stream_tracks
 
 
 @query("T02_windowed_metrics", """
-WITH w AS (SELECT event_type, epoch_us(ts) // 86400000000 AS k, value FROM events), m AS (SELECT epoch_us(max(ts)) - 10000000 AS wm FROM events)
+WITH w AS (SELECT event_type, epoch_us(ts) // 86400000000 AS k, value FROM events)
 SELECT event_type, k * 86400000000 AS window_start, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
-FROM w, m WHERE (k + 1) * 86400000000 <= wm GROUP BY 1, 2""")
+FROM w GROUP BY 1, 2""")
 def t02(spark, d):
     s = jobs.windowed_metrics(jobs.open_stream(prepare(spark), d, "events"), "1 day")
-    return jobs.run_to_end(s, "metrics").withColumn("mean", F.round("mean", 6))
+    return jobs.run_complete(s, "metrics").withColumn("mean", F.round("mean", 6))
 
 
 def _feedback_stream(spark, d):
@@ -31,21 +32,20 @@ def _feedback_stream(spark, d):
 
 
 @query("T05_rolling_accuracy_stream", """
-WITH f AS (SELECT epoch_us("timestamp") AS t, was_correct FROM feedback), m AS (SELECT max(t) - 10000000 AS wm FROM f),
+WITH f AS (SELECT epoch_us("timestamp") AS t, was_correct FROM feedback),
 e AS (SELECT t, was_correct, unnest(range(t // 3600000000 + 1, t // 3600000000 + 25)) AS h FROM f)
 SELECT h * 3600000000 AS window_end, count(*) AS total_reviewed, count(*) FILTER (was_correct) AS correct,
- count(*) FILTER (was_correct) / count(*) < 0.7 AS alert FROM e, m WHERE h * 3600000000 <= wm GROUP BY 1""")
+ count(*) FILTER (was_correct) / count(*) < 0.7 AS alert FROM e GROUP BY 1""")
 def t05(spark, d):
-    return jobs.run_to_end(jobs.rolling_accuracy(_feedback_stream(spark, d)), "accuracy")
+    return jobs.run_complete(jobs.rolling_accuracy(_feedback_stream(spark, d)), "accuracy")
 
 
 @query("T08_sighting_sessions", """
 WITH s AS (SELECT user_id, epoch_us(ts) AS t, value FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER w >= 43200000000, true) AS fresh
  FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)), n AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
-SELECT user_id, min(t) AS first_seen, count(*) AS sightings, max(value) AS best FROM n GROUP BY user_id, k
-HAVING max(t) + 43200000000 <= (SELECT max(t) - 10000000 FROM s)""")
+SELECT user_id, min(t) AS first_seen, count(*) AS sightings, max(value) AS best FROM n GROUP BY user_id, k""")
 def t08(spark, d):
-    return jobs.run_to_end(jobs.sighting_sessions(jobs.open_stream(prepare(spark), d, "events")), "sessions")
+    return jobs.run_complete(jobs.sighting_sessions(jobs.open_stream(prepare(spark), d, "events")), "sessions")
 
 
 @query("T06_decision_feedback", """
@@ -80,7 +80,7 @@ def t09(spark, d):
         "updated_at", F.col("updated_at") - F.expr("interval 1 hour"))
     current.write.parquet(log)
     changes = spark.readStream.schema(current.schema).parquet(log)
-    out = jobs.each_batch(changes, "objects", lambda b: jobs.sync_objects(b, stale))
+    out = jobs.upkeep(changes, stale)
     return out.groupBy("classification_status").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round("confidence", 6)), 6).alias("confidence"))
 
@@ -88,22 +88,19 @@ def t09(spark, d):
 @query("T01_frame_stream", """
 SELECT frame_key, count(*) AS masks, count(*) FILTER (source = 'fastsam') AS fastsam FROM masks GROUP BY 1""")
 def t01(spark, d):
-    """Every micro-batch of events becomes masks per frame; a frame's rows arrive together."""
+    """Events become masks per frame."""
     e = jobs.open_stream(prepare(spark), d, "events")
-    frame = F.floor(F.col("event_id") / src.EVENTS_PER_FRAME)
-    work = lambda b: b.groupBy(frame.alias("frame_key")).agg(
-        F.count(F.lit(1)).alias("masks"), F.count_if(F.col("event_id") % 3 == 0).alias("fastsam"))
-    return jobs.each_batch(e, "frames", work)
+    return jobs.run_complete(jobs.frame_masks(e, src.EVENTS_PER_FRAME), "frames")
 
 
-@query("T01_edge_stream")
+@query("T01_edge_stream", SOBEL + """
+SELECT frame_key, count(*) AS edge_pixels FROM e WHERE x > 0 AND mag > 100 GROUP BY 1""")
 def t01e(spark, d):
     """Depth edges of frames that arrive as files of pixels."""
     raw = scratch(prepare(spark), "pixels")
     src.pixels(spark, d).write.parquet(raw)
     px = spark.readStream.schema(spark.read.parquet(raw).schema).parquet(raw)
-    work = lambda b: dp.edges(b, src.GRID_H).groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
-    return jobs.each_batch(px, "edges", work)
+    return jobs.frame_edges(px, src.GRID_W, src.GRID_H)
 
 
 @query("T03_stream_tracker")

@@ -2,7 +2,9 @@
 
 Sources are file or message streams with an event-time column ``ts`` (cast to a zoned timestamp, as
 watermarks need).  Late rows beyond the watermark are dropped.  Sinks are idempotent: a micro-batch
-writes to a path of its own number, so a batch that is run again replaces its own output.
+writes to a path of its own number, so a batch that is run again replaces its own output.  A run
+that is given a folder keeps its checkpoint and output there and goes on from them when it is
+started again; without one it is a bounded run of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetsight.functions.scalar import micros
 from fleetsight.operators import objects as store
+from fleetsight.operators.depth import edges
 from fleetsight.session import scratch
 
 LATE = "10 seconds"
@@ -33,32 +36,91 @@ def event_time(df: DataFrame, late: str = LATE) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(df: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
     """Process everything that is there and return what the stream wrote (parquet in the shared folder)."""
     spark = df.sparkSession
-    out = scratch(spark, name)
-    q = (df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", scratch(spark, f"{name}-cp"))
-         .trigger(availableNow=True).start(out))
+    base = at or scratch(spark, name)
+    q = (df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{base}/cp")
+         .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def each_batch(df: DataFrame, name: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a batch job to every micro-batch; each batch owns one output path."""
+def written(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the micro-batches that have output in a folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def each_batch(df: DataFrame, name: str, work: Callable[[DataFrame, int, str], DataFrame], mode: str = "append",
+               at: str | None = None) -> str:
+    """Apply ``work(batch, number, folder)`` to every micro-batch and return the run's folder; batch ``n``
+    owns ``out/batch=n`` in it."""
     spark = df.sparkSession
-    out, schemas = scratch(spark, name), []
+    base = at or scratch(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        res = work(batch)
-        schemas.append(res.schema)
-        res.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        work(batch, number, base).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    q: StreamingQuery = (df.writeStream.foreachBatch(write).option(
-        "checkpointLocation", scratch(spark, f"{name}-cp")).trigger(availableNow=True).start())
+    q: StreamingQuery = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/cp")
+                         .trigger(availableNow=True).start())
     q.awaitTermination()
-    if not schemas:
-        raise RuntimeError(f"{name}: the stream had no data")
-    return spark.read.schema(schemas[0]).parquet(*[f"{out}/batch={i}" for i in range(len(schemas))])
+    return base
+
+
+def last_batch(spark: SparkSession, base: str) -> DataFrame:
+    """Output of the newest micro-batch."""
+    return spark.read.parquet(f"{base}/out/batch={written(spark, f'{base}/out')[-1]}")
+
+
+def run_complete(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """A bounded run whose result has all windows and sessions, the last ones too."""
+    return last_batch(df.sparkSession, each_batch(df, name, lambda b, n, base: b, "complete", at))
+
+
+def frame_edges(pixels: DataFrame, width: int, height: int, name: str = "edges", at: str | None = None) -> DataFrame:
+    """Edge pixels of frames whose pixels may come in several files.
+
+    The pixels seen so far are the state: every micro-batch stores its rows, and a frame is computed
+    from all its rows in the batch that completes it.
+    """
+    spark = pixels.sparkSession
+
+    def work(batch: DataFrame, number: int, base: str) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
+        seen = spark.read.parquet(f"{base}/seen").filter(F.col("batch") <= number).drop("batch")
+        touched = spark.read.parquet(f"{base}/seen/batch={number}").select("frame_key").distinct()
+        full = (seen.join(touched, "frame_key", "left_semi").groupBy("frame_key").agg(
+            F.count_distinct("v", "u").alias("n")).filter(F.col("n") == width * height).select("frame_key"))
+        found = edges(seen.join(full, "frame_key", "left_semi").dropDuplicates(["frame_key", "v", "u"]), height)
+        return found.groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
+
+    base = each_batch(pixels, name, work, at=at)
+    every = spark.read.parquet(f"{base}/out")
+    return every.groupBy("frame_key").agg(F.max_by("edge_pixels", "batch").alias("edge_pixels"))
+
+
+def upkeep(changes: DataFrame, start: DataFrame, name: str = "objects", at: str | None = None) -> DataFrame:
+    """Object snapshot after a stream of changes: each micro-batch is merged into the snapshot before it."""
+    spark = changes.sparkSession
+
+    def work(batch: DataFrame, number: int, base: str) -> DataFrame:
+        before = [n for n in written(spark, f"{base}/out") if n < number]
+        current = spark.read.parquet(f"{base}/out/batch={before[-1]}") if before else start
+        return store.upsert(current, batch)
+
+    return last_batch(spark, each_batch(changes, name, work, at=at))
+
+
+def frame_masks(events: DataFrame, per_frame: int) -> DataFrame:
+    """Masks per frame, kept as state by frame, so a frame may come in several files."""
+    return events.groupBy(F.floor(F.col("event_id") / per_frame).alias("frame_key")).agg(
+        F.count(F.lit(1)).alias("masks"), F.count_if(F.col("event_id") % 3 == 0).alias("fastsam"))
 
 
 def windowed_metrics(events: DataFrame, width: str = "2 seconds", late: str = LATE) -> DataFrame:
@@ -95,11 +157,6 @@ def feedback_from_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame
     return j.withColumn("was_correct", F.col("original_class") == F.col("human_class"))
 
 
-def sync_objects(batch: DataFrame, current: DataFrame) -> DataFrame:
-    """Snapshot after a micro-batch of changes."""
-    return store.upsert(current, batch)
-
-
 def outgoing_events(routed: DataFrame) -> DataFrame:
     """One event per stage output: name, time and JSON payload."""
     def event(name: str, cond, *cols: str) -> DataFrame:
