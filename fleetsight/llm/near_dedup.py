@@ -267,21 +267,21 @@ def _crowded_links(sets: DataFrame, links: DataFrame, sizes: DataFrame, percent:
               .groupBy("node").count())
     hubs = (sets.select("cell", "node").distinct().join(degree, "node")
             .groupBy("cell").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("hub")))
-    hub_sets = (sets.join(hubs, [sets["cell"] == hubs["cell"], sets["node"] == hubs["hub"]])
-                .select(sets["cell"], "hub", F.col("shingles").alias("hub_set")).dropDuplicates(["cell"]))
+    hub_sets = (sets.join(hubs.withColumnRenamed("hub", "node"), ["cell", "node"])
+                .select("cell", F.col("node").alias("hub"), F.col("shingles").alias("hub_set")).dropDuplicates(["cell"]))
     blocks = sizes.select("cell", F.ceil(F.col("size") / (cell // 2)).cast("int").alias("blocks"))
     salted = sets.join(blocks, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = hub_sets.join(blocks, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+    spread = hub_sets.join(blocks, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     judged = materialize(scan(salted.join(spread.drop("blocks"), ["cell", "salt"]).select("cell", "node", "hub", "shingles", "hub_set"),
                               _with_hub(percent), "cell long, node long, hub long, near boolean"), "hubs")
     rest = judged.where("not near").groupBy("cell", "node").agg(F.first("hub").alias("hub"))
     n_rest = rest.groupBy("cell").agg(F.ceil(F.count("*") / (cell // 2)).cast("int").alias("parts"))
     left = (sets.join(rest.select("cell", "node"), ["cell", "node"], "left_semi").join(blocks, "cell").join(n_rest, "cell")
             .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))))
     right = (sets.join(blocks, "cell").join(n_rest, "cell")
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long")))
+             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))))
     tile = F.xxhash64("cell", "part", "block").alias("cell")
     tiles = left.select(tile, "node", "shingles").unionByName(right.select(tile, "node", "shingles")).dropDuplicates(["cell", "node"])
     found = scan(tiles.repartition("cell").sortWithinPartitions("cell"), _cells(percent, cell), "a long, b long")
