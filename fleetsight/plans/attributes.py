@@ -27,7 +27,21 @@ def f13(spark, d):
     return p.groupBy("frame_key", "v").agg(F.sum("gray").alias("gray"))
 
 
-@query("F13_lab")
+@query("F13_lab", """
+WITH c AS (SELECT frame_key, b / 255.0::DOUBLE AS b, g / 255.0::DOUBLE AS g, r / 255.0::DOUBLE AS r FROM pixels),
+l AS (SELECT frame_key, CASE WHEN b <= 0.04045::DOUBLE THEN b / 12.92::DOUBLE ELSE pow((b + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS b,
+ CASE WHEN g <= 0.04045::DOUBLE THEN g / 12.92::DOUBLE ELSE pow((g + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS g,
+ CASE WHEN r <= 0.04045::DOUBLE THEN r / 12.92::DOUBLE ELSE pow((r + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS r FROM c),
+t AS (SELECT frame_key, (r * 0.412453::DOUBLE + g * 0.357580::DOUBLE + b * 0.180423::DOUBLE) / 0.950456::DOUBLE AS x,
+ r * 0.212671::DOUBLE + g * 0.715160::DOUBLE + b * 0.072169::DOUBLE AS y,
+ (r * 0.019334::DOUBLE + g * 0.119193::DOUBLE + b * 0.950227::DOUBLE) / 1.088754::DOUBLE AS z FROM l),
+f AS (SELECT frame_key, y, CASE WHEN x > 0.008856::DOUBLE THEN cbrt(x) ELSE x * 7.787::DOUBLE + 16.0::DOUBLE / 116 END AS fx,
+ CASE WHEN y > 0.008856::DOUBLE THEN cbrt(y) ELSE y * 7.787::DOUBLE + 16.0::DOUBLE / 116 END AS fy,
+ CASE WHEN z > 0.008856::DOUBLE THEN cbrt(z) ELSE z * 7.787::DOUBLE + 16.0::DOUBLE / 116 END AS fz FROM t),
+o AS (SELECT frame_key, (CASE WHEN y > 0.008856::DOUBLE THEN cbrt(y) * 116 - 16 ELSE y * 903.3::DOUBLE END) * 255 / 100 AS l,
+ (fx - fy) * 500 + 128 AS a, (fy - fz) * 200 + 128 AS b FROM f)
+SELECT frame_key, sum(floor(greatest(0, least(255, l)) + 0.5))::BIGINT AS lab_l, sum(floor(greatest(0, least(255, a)) + 0.5))::BIGINT AS lab_a,
+ sum(floor(greatest(0, least(255, b)) + 0.5))::BIGINT AS lab_b FROM o GROUP BY 1""")
 def f13lab(spark, d):
     p = im.convert_color(src.pixels(spark, d), "BGR", "LAB")
     return p.groupBy("frame_key").agg(*[F.sum(c).alias(c) for c in ("lab_l", "lab_a", "lab_b")])
@@ -53,7 +67,15 @@ def f17(spark, d):
     return img.groupBy("mask_id").agg(F.count(F.lit(1)).alias("px"), F.sum("value").alias("total"))
 
 
-@query("F16_resize")
+@query("F16_resize", """
+WITH tu AS (SELECT range AS tu, greatest(0::DOUBLE, least(63::DOUBLE, (range + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) AS x FROM range(40)),
+tv AS (SELECT range AS tv, greatest(0::DOUBLE, least(47::DOUBLE, (range + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) AS y FROM range(30)),
+g AS (SELECT tu, tv, x - floor(x) AS wx, y - floor(y) AS wy, floor(x)::INTEGER AS u0, floor(y)::INTEGER AS v0,
+ least(63, floor(x) + 1)::INTEGER AS u1, least(47, floor(y) + 1)::INTEGER AS v1 FROM tu, tv),
+s AS (SELECT tv, tu, unnest([v0, v0, v1, v1]) AS v, unnest([u0, u1, u0, u1]) AS u,
+ unnest([(1 - wy) * (1 - wx), (1 - wy) * wx, wy * (1 - wx), wy * wx]) AS w FROM g),
+p AS (SELECT frame_key, tv, tu, sum(w * g) AS g FROM s JOIN pixels USING (v, u) GROUP BY ALL)
+SELECT frame_key, tv::INTEGER AS v, round(sum(g), 4) AS g, count(*) AS n FROM p GROUP BY ALL""")
 def f16(spark, d):
     r = im.resize(src.pixels(spark, d), (W, H), (40, 30))
     return r.groupBy("frame_key", "v").agg(F.round(F.sum("g"), 4).alias("g"), F.count(F.lit(1)).alias("n"))
