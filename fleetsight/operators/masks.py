@@ -7,7 +7,7 @@ pixel join would.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetsight.functions.scalar import micros
 from fleetsight.operators.graph import greedy_removed
@@ -115,16 +115,19 @@ def _meet(masks: DataFrame, claims: DataFrame, stale_us: int) -> DataFrame:
     """Word rows of masks next to the word rows of claims of the same scene that are not stale.
 
     Both sides fall into time buckets as long as a claim lives, so a mask meets only the claims of
-    its own and the previous bucket.
+    its own and the previous bucket.  A claim with a column ``until`` ends there.
     """
     bucket = lambda c: F.floor(micros(F.col(c)) / F.lit(stale_us)).cast("long")
     m = masks.withColumn("_t", micros(F.col("ts"))).withColumn("_b", bucket("ts"))
     c = claims.select("scene", "v", "w", F.col("mask_id").alias("claim_id"),
                       F.col("object_id").alias("claim_object"), F.col("bits").alias("claim_bits"),
-                      micros(F.col("ts")).alias("_ct"), bucket("ts").alias("_cb"))
+                      micros(F.col("ts")).alias("_ct"), bucket("ts").alias("_cb"),
+                      *([micros(F.col("until")).alias("_until")] if "until" in claims.columns else []))
     c = c.withColumn("_b", F.explode(F.array(F.col("_cb"), F.col("_cb") + 1)))
     j = m.join(c, ["scene", "_b", "v", "w"])
     age = F.col("_t") - F.col("_ct")
+    if "until" in claims.columns:
+        j = j.filter(F.col("_until").isNull() | (F.col("_t") < F.col("_until")))
     return j.filter((age >= 0) & (age <= stale_us) & (F.col("claim_object") != F.col("object_id")))
 
 
@@ -168,6 +171,32 @@ def composite(claims: DataFrame, by: tuple[str, ...] = ("scene",)) -> DataFrame:
     return merged.groupBy(*by).agg(F.sum(F.bit_count("bits")).alias("claimed_area"))
 
 
+def track_claims(tracked: DataFrame) -> DataFrame:
+    """Claims of tracked objects: an object's newest mask replaces the one before it.
+
+    ``tracked(scene, object_id, mask_id, ts)``, one row per mask, to the same with ``until``.
+    """
+    one = tracked.groupBy("scene", "object_id", "ts").agg(F.max("mask_id").alias("mask_id"))
+    w = W.partitionBy("scene", "object_id").orderBy("ts")
+    return one.withColumn("until", F.lead("ts").over(w))
+
+
+def manage(masks: DataFrame, packed: DataFrame, mask_pixels: DataFrame, tracked: DataFrame, stale_us: int,
+           min_area: int = MIN_AREA) -> DataFrame:
+    """Masks of a frame that no live claim of a tracked object covers, without conflicts among them.
+
+    ``masks(frame_key, mask_id, scene, ts, priority, confidence)``; ``packed`` are the word rows of new
+    and tracked masks, ``tracked`` as in ``track_claims``.
+    """
+    word = packed.select("mask_id", "v", "w", "bits")
+    claims = word.join(track_claims(tracked), "mask_id")
+    new = word.join(masks.select("mask_id", "scene", "ts"), "mask_id").withColumn("object_id", F.lit(""))
+    free = unclaimed(masks, claim_overlaps(new, claims, stale_us))
+    ids = ["frame_key", "mask_id"]
+    return resolve(free.select(*ids, "priority", "confidence"),
+                   mask_pixels.join(free.select(*ids), ids, "left_semi"), min_area=min_area)
+
+
 # --- merging and fusion ---------------------------------------------------------------------
 
 def merge(mask_pixels: DataFrame, members: DataFrame, mode: str = "weighted") -> DataFrame:

@@ -281,9 +281,43 @@ def v16(spark, d):
                     F.round("depth_median", 6).alias("depth_median"))
 
 
-@query("V19_resolve_conflicts")
+# Walks every frame in order of priority with the list of pixels that are taken.
+def _resolve_sql(chosen):
+    return f"""{chosen}
+px AS MATERIALIZED (SELECT frame_key, mask_id, any_value(confidence) AS confidence, list(v * 64 + u) AS pix, count(*) AS area, mask_id % 3 AS priority
+ FROM mask_pixels JOIN chosen USING (frame_key, mask_id) GROUP BY ALL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY priority DESC, area DESC, mask_id) AS k FROM px),
+walk(frame_key, k, taken, mask_id, outcome, kept_area, confidence) AS (
+ SELECT frame_key, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::DOUBLE FROM (SELECT DISTINCT frame_key FROM o)
+ UNION ALL SELECT frame_key, k, CASE WHEN outcome = 'dropped' THEN taken ELSE list_distinct(list_concat(taken, pix)) END, mask_id, outcome,
+ CASE outcome WHEN 'whole' THEN area ELSE area - used END, CASE outcome WHEN 'cut' THEN confidence * 0.9::DOUBLE ELSE confidence END
+ FROM (SELECT *, CASE WHEN used / area >= 0.5 AND area - used < 40 THEN 'dropped' WHEN used / area >= 0.5 THEN 'cut' ELSE 'whole' END AS outcome
+  FROM (SELECT w.frame_key, o.k, o.mask_id, o.pix, o.area, o.confidence, w.taken, len(list_intersect(o.pix, w.taken)) AS used
+   FROM walk w JOIN o ON o.frame_key = w.frame_key AND o.k = w.k + 1)))
+SELECT frame_key, mask_id, outcome, kept_area, round(confidence, 6) AS confidence FROM walk WHERE outcome <> 'dropped'"""
+
+
+@query("V19_resolve_conflicts", _resolve_sql("WITH RECURSIVE chosen AS (SELECT frame_key, mask_id, confidence FROM masks),"))
 def v19(spark, d):
     m = src.masks(spark, d).select("frame_key", "mask_id", (F.col("mask_id") % 3).alias("priority"),
                                    "confidence")
     return mk.resolve(m, src.mask_pixels(spark, d), min_area=40).select(
         "frame_key", "mask_id", "outcome", "kept_area", F.round("confidence", 6).alias("confidence"))
+
+
+@query("V20_managed_masks", _resolve_sql("""WITH RECURSIVE t AS (SELECT frame_key // 8 AS scene, frame_key, object_id, max(mask_id) AS mask_id FROM masks
+ WHERE source = 'fastsam' GROUP BY ALL),
+c AS (SELECT t.scene, t.frame_key, m.x1, m.y1, m.x2, m.y2, lead(t.frame_key) OVER (PARTITION BY t.scene, t.object_id ORDER BY t.frame_key) AS until
+ FROM t JOIN masks m USING (mask_id)),
+chosen AS (SELECT frame_key, mask_id, confidence FROM masks n WHERE source <> 'fastsam' AND NOT EXISTS (SELECT 1 FROM c
+ WHERE c.scene = n.frame_key // 8 AND c.frame_key <= n.frame_key AND n.frame_key - c.frame_key <= 5 AND (c.until IS NULL OR n.frame_key < c.until)
+ AND greatest(0, least(n.x2, c.x2) - greatest(n.x1, c.x1)) * greatest(0, least(n.y2, c.y2) - greatest(n.y1, c.y1))
+ / least((n.x2 - n.x1) * (n.y2 - n.y1), (c.x2 - c.x1) * (c.y2 - c.y1)) >= 0.5)),"""))
+def v20(spark, d):
+    m = src.masks(spark, d).select(
+        "frame_key", "mask_id", "source", "object_id", "confidence", (F.col("mask_id") % 3).alias("priority"),
+        F.timestamp_micros(F.col("frame_key") * 100_000).alias("ts"), F.floor(F.col("frame_key") / 8).alias("scene"))
+    px = src.mask_pixels(spark, d)
+    kept = mk.manage(m.filter("source <> 'fastsam'"), mk.words(px), px,
+                     m.filter("source = 'fastsam'").select("scene", "object_id", "mask_id", "ts"), STALE_US, min_area=40)
+    return kept.select("frame_key", "mask_id", "outcome", "kept_area", F.round("confidence", 6).alias("confidence"))
