@@ -15,14 +15,15 @@ from fleetsight.sources import schemas
 
 def write_objects(objects: DataFrame, path: str) -> None:
     """Snapshot laid out for the lookups: by camera, newest rows together inside the files."""
-    (objects.withColumn("seen_date", F.to_date("last_seen"))
-     .repartition("camera_id", "seen_date").sortWithinPartitions("last_seen", "id")
+    # The hour spreads a busy camera's day over tasks; folders stay one per camera and day.
+    (schemas.conform(objects, schemas.OBJECTS).withColumn("seen_date", F.to_date("last_seen"))
+     .repartition("camera_id", "seen_date", F.hour("last_seen")).sortWithinPartitions("last_seen", "id")
      .write.mode("errorifexists").partitionBy("camera_id", "seen_date").parquet(path))
 
 
 def write_gallery(gallery: DataFrame, path: str, form: str = "parquet") -> None:
     """One table; a camera's part is a partition and the whole is a plain read of the root."""
-    (gallery.repartition("camera_id", F.pmod(F.xxhash64("object_id"), F.lit(16)))
+    (gallery.repartition("camera_id", "object_id")
      .write.mode("errorifexists").partitionBy("camera_id").format(form).save(path))
 
 
