@@ -20,6 +20,8 @@ from fleetsight.operators.blocks import BLOCK, blockwise, plain
 
 MAX_PIVOTS = 1024
 PRUNE_FROM = 16 * BLOCK
+#: Vector values that the visits of one slice of queries may hold.
+VISIT_VALUES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -173,10 +175,16 @@ def _visits(queries: DataFrame, pivots: np.ndarray, span: pd.DataFrame, near: pd
     # A bound from k entries is only valid if each of them counts on its own.
     bounded = s.per == "entry_id" and s.below_same is None and s.below_cross is None and not s.earlier
 
-    def run(batches):
+    def slices(batches):
+        """Queries in slices whose copies (one per visited cell, at worst all) stay within a bound."""
         for b in batches:
-            if not len(b):
-                continue
+            if len(b):
+                step = max(1, VISIT_VALUES // (len(own) * max(1, len(b["vec"].iloc[0]))))
+                for at in range(0, len(b), step):
+                    yield b.iloc[at:at + step]
+
+    def run(batches):
+        for b in slices(batches):
             d = _to_pivots(own, _matrix(b["vec"]))
             if nprobe is not None:
                 rank = d.argsort(1, kind="stable")[:, :nprobe]
@@ -217,7 +225,7 @@ def search(queries: DataFrame, gallery: DataFrame, s: Search, normalize: bool =
     """Neighbours of every query: query_id, entry_id, object_id, gallery_camera, dist, rank.
 
     ``nprobe`` switches to the approximate form that looks only into the nearest ``nprobe`` of
-    ``nlist`` trained cells.
+    ``nlist`` trained cells (by default as many as the root of the gallery's size).
     """
     vec = F.col("embedding").cast("array<double>")
     vec = l2_normalize(vec) if normalize else vec
@@ -226,7 +234,8 @@ def search(queries: DataFrame, gallery: DataFrame, s: Search, normalize: bool =
         "entry_id", "object_id", "camera_id", vec.alias("vec"))
     keys: list[str] = []
     if nprobe is not None:
-        pivots = _centroids(g, nlist or 16)
+        # Cells grow with the gallery; the bound keeps what every task gets small.
+        pivots = _centroids(g, nlist or max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(g.count())))))
         g = _assign(g, pivots)
         span, near = _summary(g, s.k)
         q = _visits(q, pivots, span, near, s, nprobe)
