@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fleetsight.functions.geometry import deproject, project
@@ -244,7 +246,24 @@ def v14(spark, d):
     return pt.plane_offset(kept, plane).select("point_id", F.round("offset", 6).alias("plane_offset"))
 
 
-@query("V13_several_planes")
+def _turn(k: int, points: str) -> str:
+    """One round of the search for several planes: the best plane of what is left of each frame."""
+    names = ("s", "t", "n", "l", "f", "planes", "score")
+    body = PLANES.removeprefix("WITH ").rstrip()
+    for name in names:
+        body = re.sub(rf"\b{name} AS( MATERIALIZED)? \(SELECT", rf"{name}{k} AS\1 (SELECT", body)
+        body = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{k}", body)
+    body = re.sub(r"\bFROM points\b", f"FROM r{k}", body)
+    return f"""r{k} AS MATERIALIZED (SELECT * FROM {points} WHERE frame_key IN (SELECT frame_key FROM {points} GROUP BY 1 HAVING count(*) >= 100)),
+{body},
+best{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY inliers DESC, candidate) AS k FROM score{k})
+ JOIN planes{k} USING (frame_key, candidate) WHERE k = 1 AND n_points >= 10 AND inliers / n_points >= 0.05),
+left{k} AS MATERIALIZED (SELECT p.* FROM r{k} p JOIN best{k} q USING (frame_key)
+ WHERE abs((p.x - q.px) * q.nx + (p.y - q.py) * q.ny + (p.z - q.pz) * q.nz) >= 0.05)"""
+
+
+@query("V13_several_planes", "WITH " + ",\n".join(_turn(k, "points" if k == 0 else f"left{k - 1}") for k in range(3)) + "\n" + " UNION ALL ".join(
+    f"SELECT frame_key, {k}::INTEGER AS turn, inliers, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz FROM best{k}" for k in range(3)))
 def v13(spark, d):
     pl = pt.several_planes(src.points(spark, d), distance=0.05, min_ratio=0.05)
     return pl.select("frame_key", "turn", "inliers", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")])
