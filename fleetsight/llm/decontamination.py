@@ -264,6 +264,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return docs
 
 
-@query("op9_benchmark_decontamination")
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, width, array_to_string(ws[i:i + width - 1], ' ') AS g FROM (
+ SELECT item_id, ws, least(10, len(ws)) AS width, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i, width, array_to_string(ws[i:i + width - 1], ' ') AS g FROM (
+ SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d, (SELECT DISTINCT width FROM bw))),
+h AS MATERIALIZED (SELECT doc_id, i, dw.width, item_id FROM dw JOIN bw USING (g, width)),
+k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query("op9_benchmark_decontamination", SQL)
 def op9(spark, sf_dir):
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

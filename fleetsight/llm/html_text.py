@@ -194,6 +194,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     ratio = np.array([0.0 if line.silent else len(text) / max(1, line.tags) for line, text in lines])
     flat = smoothed(ratio, sigma)
     loud = np.array([not line.silent for line, _ in lines])
+    if not loud.any():
+        return ""
     cut = threshold(flat)
     content = loud & (flat > cut)
     if not content.any():

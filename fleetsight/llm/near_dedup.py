@@ -328,6 +328,22 @@ def keep_one(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
 
 
-@query("op5_near_dedup")
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (
+ SELECT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(id, label) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents UNION
+ (SELECT DISTINCT ON (p.id) p.id, q.label FROM recurring.cc AS p, l, cc AS q
+  WHERE p.id = l.a AND l.b = q.id AND q.label < p.label ORDER BY p.id, q.label))
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, label AS component_id, label = d.doc_id AS kept
+FROM documents d JOIN cc ON cc.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query("op5_near_dedup", SQL)
 def op5(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -74,8 +74,9 @@ def _twice(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Indexes sorted by (row, value), and whether each equals the one before."""
     key = B.mixed(values + rows.astype(np.uint64) * _ODD)
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    return order, np.concatenate([[False], key[1:] == key[:-1]])
+    same = np.zeros(len(key), bool)
+    same[1:] = key[order[1:]] == key[order[:-1]]
+    return order, same
 
 
 def _lines(t: Texts) -> dict[str, np.ndarray]:
@@ -238,7 +239,23 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return scan(docs, work, docs.schema)
 
 
-@query("op3_quality_rules")
+SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+ list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n >= 2),
+v AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1),
+c AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+ length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+ coalesce(v.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+ length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters FROM w LEFT JOIN v USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 4 * n_symbols > n_words OR 2 * word_chars < 4 * n_words OR word_chars > 15 * n_words
+ OR 10 * n_dup_lines > 3 * n_lines OR 2 * n_upper > n_letters) AS kept FROM b"""
+
+
+@query("op3_quality_rules", SQL)
 def op3(spark, sf_dir):
     return cascade(read(spark, sf_dir, "documents"),
-                   report=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+                   report=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")).drop("rejected_by")

@@ -190,6 +190,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, range_windows: int = 400
         _removal(width, intervals), schema + (", intervals array<array<long>>" if intervals else ""))
 
 
-@query("op10_substring_dedup")
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE first < doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM r),
+k AS (SELECT doc_id, j, ws[j] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM d)),
+o AS (SELECT k.doc_id, count(x.j) AS n_removed, string_agg(word, ' ' ORDER BY k.j) FILTER (x.j IS NULL) AS kept
+ FROM k LEFT JOIN x ON x.doc_id = k.doc_id AND x.j = k.j GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
+
+
+@query("op10_substring_dedup", SQL)
 def op10(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
