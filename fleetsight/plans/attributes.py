@@ -375,7 +375,7 @@ def v35(spark, d):
 SHOWN = (0, 40, 70, 96, 97, 100, 130, 144)
 
 
-@query("V23_histogram_embeddings", f"""
+HISTOGRAMS = f"""
 WITH {CROP}, y AS (SELECT mask_id, v, u, hue, sat, val, (b * 1868 + g * 9617 + r * 4899 + 8192) // 16384 AS y FROM c),
 a AS (SELECT *, coalesce(lag(y) OVER k, lead(y) OVER k) AS l, coalesce(lead(y) OVER k, lag(y) OVER k) AS q FROM y WINDOW k AS (PARTITION BY mask_id, v ORDER BY u)),
 s AS (SELECT *, q - l AS dx, l + 2 * y + q AS sm FROM a),
@@ -385,7 +385,10 @@ e AS (SELECT *, sqrt((gx * gx + gy * gy)::DOUBLE) AS size, (atan2(gy, gx) + pi()
 t AS (SELECT mask_id, unnest([least(31, hue * 32 // 180), 32 + sat * 32 // 256, 64 + val * 32 // 256,
  CASE WHEN size <= 255 THEN 96 + least(31, floor(size / 255 * 32))::INTEGER END, 128 + least(31, floor(round(turn, 9)))::INTEGER]) AS slot FROM e),
 n AS (SELECT mask_id, slot, count(*) AS n FROM t WHERE slot IS NOT NULL GROUP BY 1, 2),
-x AS (SELECT mask_id, slot, n / sum(n) OVER (PARTITION BY mask_id, slot // 32) AS x FROM n)
+x AS (SELECT mask_id, slot, n / sum(n) OVER (PARTITION BY mask_id, slot // 32) AS x FROM n)"""
+
+
+@query("V23_histogram_embeddings", HISTOGRAMS + f"""
 SELECT mask_id, 512 AS dim, {', '.join(f"round(coalesce(max(x) FILTER (slot = {i}), 0) / sqrt(sum(x * x)), 6) AS e{i}" for i in SHOWN)} FROM x GROUP BY 1""")
 def v23(spark, d):
     e = at.histogram_embeddings(_crops(spark, d))
@@ -398,12 +401,19 @@ def _boxes(spark, d):
     return src.masks(spark, d).withColumn("class_name", name)
 
 
-@query("V24_object_embeddings")
+@query("V24_object_embeddings", HISTOGRAMS + f""",
+o AS (SELECT mask_id, {', '.join(f"coalesce(max(x) FILTER (slot = {i}), 0) / sqrt(sum(x * x)) AS e{i}" for i in SHOWN)} FROM x GROUP BY 1),
+d AS (SELECT vec_id * 4 AS mask_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda z: z * z))) AS norm FROM embeddings),
+m AS (SELECT mask_id, CASE mask_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'chair' END AS class_name FROM masks)
+SELECT m.mask_id, class_name, CASE WHEN class_name = 'person' AND d.e IS NOT NULL THEN len(d.e) ELSE 512 END::INTEGER AS dim,
+ {', '.join(f"round(CASE WHEN class_name = 'person' AND d.e IS NOT NULL THEN d.e[{i + 1}] / norm ELSE coalesce(o.e{i}, 0) END, 6) AS e{i}" for i in SHOWN)}
+FROM m LEFT JOIN o USING (mask_id) LEFT JOIN d USING (mask_id)""")
 def v24(spark, d):
     b = _boxes(spark, d)
     deep = _vec(spark, d).select((F.col("vec_id") * 4).alias("mask_id"), F.col("e").alias("embedding"))
     e = at.object_embeddings(b, _crops(spark, d, b), deep)
-    return e.select("mask_id", "class_name", F.size("embedding").alias("dim"))
+    return e.select("mask_id", "class_name", F.size("embedding").alias("dim"), *[
+        F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in SHOWN])
 
 
 @query("V33_identity_stage")

@@ -183,17 +183,19 @@ def s12(spark, d):
     return _export(spark, d, "csv")
 
 
-@query("S14_A03_queue_files")
+@query("S14_A03_queue_files", """
+SELECT status, count(*) AS n, (SELECT sum(strlen(coalesce(image_path, '')) + 1) FROM review_queue)::BIGINT AS bytes, 0::BIGINT AS old_files
+FROM review_queue GROUP BY 1""")
 def s14(spark, d):
-    """Review counts next to the size of the stored crops (here: the written queue itself)."""
+    """Review counts next to the size of the stored crops (here: one line of text per queued crop)."""
     path = scratch(prepare(spark), "crops")
     q = src.review_queue(spark, d)
-    q.select("image_path", "schema_json").write.json(path)
+    q.select(F.coalesce("image_path", F.lit("")).alias("value")).write.text(path)
     files = io.crop_inventory(spark, path)
     size = io.crop_bytes(files)
     counts = q.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
     old = io.old_crops(files, F.lit("2000-01-01 00:00:00").cast("timestamp")).agg(F.count(F.lit(1)))
-    return counts.withColumn("has_bytes", size.select("bytes").scalar() > 0).withColumn(
+    return counts.withColumn("bytes", size.select("bytes").scalar()).withColumn(
         "old_files", old.scalar())
 
 
