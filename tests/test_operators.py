@@ -422,3 +422,15 @@ def test_plans(spark, sf_dir):
     for name in ("flagship_route_status", "J06_camera_aware_match", "J12_mask_overlaps", "J24_nearest_points", "X20_sampling_priority"):
         plan = _plan(QUERIES[name](spark, sf_dir))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_long_chains_need_no_round_limit(spark):
+    """A chain of 1,000 nodes: every second one is dropped, and every second pair is taken."""
+    from fleetsight.operators.graph import greedy_matching, greedy_removed
+    chain = spark.range(1000).selectExpr("cast(1 as bigint) as frame", "id as a", "id + 1 as b")
+    gone = greedy_removed(chain, ["frame"])
+    assert sorted(r["node"] for r in gone.collect()) == list(range(1, 1001, 2))
+    pairs = spark.range(1000).selectExpr("id as l", "id as r", "cast(1000 - id as double) as s").unionByName(
+        spark.range(999).selectExpr("id as l", "id + 1 as r", "cast(1000 - id as double) - 0.5 as s"))
+    took = greedy_matching(pairs, [], "l", "r", "s")
+    assert sorted((r["l"], r["r"]) for r in took.collect()) == [(i, i) for i in range(1000)]
