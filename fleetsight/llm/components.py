@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u > v").repartition("u"))
+                 .where("u > v").distinct().repartition("u"))
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         turned = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         now = materialize(small.select(turned.alias("e")).select("e.u", "e.v").where("u > v").distinct(), "links")
