@@ -38,6 +38,8 @@ STEM = 5
 #: A word is learned from if so many sampled texts have it, and if its share of toxic and of clean
 #: texts differs by so many standard errors.
 LEAST_DOCS, SCREEN = 3, 3.0
+#: Chance from which a text counts as toxic; clean held-out texts stay well below it.
+TOXIC = 0.3
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,16 +198,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool
     return fit(bags, grades(uses, y > 0).astype(np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = TOXIC) -> DataFrame:
     """One row per document: expected severity, likeliest grade, chance of any grade above 0,
-    and ``toxic`` where that chance is over one half."""
+    and ``toxic`` where that chance is over ``threshold``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in B.pieces(b.column("text")):
                 chance = model.chances(model.levels(*_words(data, offsets)))
                 yield batch(doc_id=b.column("doc_id").slice(first, last - first),
                             severity=chance @ np.arange(chance.shape[1]), grade=pa.array(chance.argmax(1).astype(np.int32)),
-                            toxic_chance=1 - chance[:, 0], toxic=pa.array(chance[:, 0] < 0.5))
+                            toxic_chance=1 - chance[:, 0], toxic=pa.array(1 - chance[:, 0] > threshold))
 
     return scan(texts(docs), work, "doc_id long, severity double, grade int, toxic_chance double, toxic boolean")
 
