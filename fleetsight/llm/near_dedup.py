@@ -304,9 +304,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, cell: int
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("cell"), "size")
     wanted = members.select(F.col("node"), F.col("component").alias("cell")).join(sizes, "cell")
     large = wanted.where(F.col("size") > cell)
-    full_sets = lambda w: scan(docs.join(w.select("node", "cell").hint("shuffle_hash"), docs["doc_id"] == F.col("node"))
-                                .select("node", "cell", "text"),
-                               _sets(size), "cell long, node long, shingles binary")
+
+    def full_sets(of: DataFrame) -> DataFrame:
+        """Shingle sets of these classes; the join is a shuffle whatever their number."""
+        met = docs.join(of.select("node", "cell").hint("shuffle_hash"), docs["doc_id"] == F.col("node"))
+        return scan(met.select("node", "cell", "text"), _sets(size), "cell long, node long, shingles binary")
+
     true = scan(full_sets(wanted.where(F.col("size") <= cell)).repartition("cell").sortWithinPartitions("cell"),
                 _cells(percent, cell), "a long, b long")
     if not large.isEmpty():
