@@ -1,11 +1,12 @@
 """Near duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Texts with equal shingle sets are one class, whose smallest document stands for it.  Each class
-has ``TREES`` labels of ``DEPTH`` MinHash values; every tree is the list of classes sorted by its
-label.  Rows that share the first ``BASE`` values form a region.  A region is searched as it is
-while it is small; a crowded one is cut at the depth where its parts are small enough, each row
-also meeting the region's most typical row.  Rows of a region whose sketches agree enough become
-candidates, as a spanning forest: never all pairs.
+Texts with equal shingle sets are one class, whose smallest document stands for it.  A tree puts
+classes that agree in a few MinHash values into one region.  A region is searched as it is while it
+is small; its rows whose sketches agree enough become candidates, as a spanning forest: never all
+pairs.  Regions are counted in Spark.  Rows of a crowded one meet its most typical row, and where
+that leaves rows over, all rows of the region go on to the next of ``LEVELS``, with more values
+in a region and as many more trees as these need.  Regions that are crowded at the last level are
+compared whole, what the typical row leaves over with all rows, in tiles of bounded size.
 
 Candidate components then get their full sets, once each.  Sets of a component are compared
 exactly, by breadth first search over true links, so that links inside a connected part are never
@@ -13,8 +14,8 @@ listed.  A component of over ``CELL`` classes is compared with its most linked c
 that leaves over meets the component's other classes, in blocks of bounded size.  True links make
 the final components.
 
-Chances: two sets of similarity 0.8 share a region of one of 16 trees with probability 0.99999,
-and more similar sets more surely; tests measure recall against brute force.
+Chances: two sets of similarity 0.8 share a region with probability 0.99999 at each level that they
+get to, and more similar sets more surely; tests measure recall against brute force.
 
 Defined cases: null and empty texts have no shingles and are alone; a text of one word has one
 shingle; a null ``doc_id`` has a null component and is kept; rows that share a ``doc_id`` count as
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,13 @@ from fleetsight.llm.components import components
 from fleetsight.llm.frames import batch, query, read, scan, texts
 from fleetsight.session import materialize
 
-TREES, DEPTH, BASE = 16, 8, 3
+VALUES, TREES = 128, 16
+LEVELS = (3, 5, 8)
 SKETCH = 64
+SAMPLE = 256
 REGION = 4096
 CELL = 1024
-_A = np.random.default_rng(20).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = np.random.default_rng(20).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +90,42 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return scan(docs, work, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
-def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per class and tree: region, label, class, sketch."""
-    for b in batches:
-        sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
-        sketch = np.ascontiguousarray((sig[:, ::sig.shape[1] // SKETCH] & 0xFF).astype(np.uint8))
-        sketches = pa.array([s.tobytes() for s in sketch], pa.binary())
-        for t in range(TREES):
-            label = np.ascontiguousarray(sig[:, t * DEPTH:(t + 1) * DEPTH].astype(">u2"))
-            region = np.full(len(sig), t + 1, np.uint64)
-            for d in range(BASE):
-                region = B.mixed(region ^ label[:, d].astype(np.uint64))
-            yield batch(region=region.view(np.int64), label=pa.array([x.tobytes() for x in label], pa.binary()),
-                        node=b.column("node"), sketch=sketches)
+def trees_needed(depth: int, similar: float = 0.8, miss: float = 1e-5) -> int:
+    """Trees over ``depth`` of the ``VALUES`` values each, so that a pair of this similarity misses all of
+    them with no more than this probability.  Trees share values, so the number that agrees is summed over."""
+    agree = np.array([comb(VALUES, m) * similar**m * (1 - similar)**(VALUES - m) for m in range(VALUES + 1)])
+    apart = 1 - np.array([comb(m, depth) / comb(VALUES, depth) for m in range(VALUES + 1)])
+    trees = 1
+    while agree @ apart**trees > miss:
+        trees += 1
+    return trees
+
+
+def tree_columns(level: int) -> list[np.ndarray]:
+    """The signature values of each tree of a level; those of the first level share none."""
+    if level == 0:
+        return [np.arange(LEVELS[0]) + t * (VALUES // TREES) for t in range(TREES)]
+    rng = np.random.default_rng(31 + level)
+    return [rng.choice(VALUES, LEVELS[level], replace=False) for _ in range(trees_needed(LEVELS[level]))]
+
+
+def _tree_rows(level: int, with_sketch: bool = True):
+    """One row per class and tree: region, class, sketch; or the regions alone."""
+    columns = tree_columns(level)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
+            sketch = np.ascontiguousarray((sig[:, ::VALUES // SKETCH] & 0xFF).astype(np.uint8))
+            sketches = pa.array([s.tobytes() for s in sketch], pa.binary()) if with_sketch else None
+            for t, chosen in enumerate(columns):
+                region = np.full(len(sig), t + 1, np.uint64)
+                for d in chosen:
+                    region = B.mixed(region ^ sig[:, d].astype(np.uint64))
+                region = region.view(np.int64)
+                yield batch(region=region, node=b.column("node"), sketch=sketches) if with_sketch else batch(region=region)
+
+    return work
 
 
 class Forest:
@@ -136,27 +163,12 @@ def _search(rows: np.ndarray, sketch: np.ndarray, enough: int, forest: Forest) -
             left = left[~near]
 
 
-def _candidates(least_share: float, region_most: int):
-    enough = int(np.ceil(least_share * SKETCH))
-
-    def crowded(rows: np.ndarray, label: np.ndarray, sketch: np.ndarray, depth: int, forest: Forest) -> None:
-        if len(rows) <= region_most or depth == DEPTH:
-            _search(rows, sketch, enough, forest)
-            return
-        own = sketch[rows]
-        typical = np.array([np.bincount(c, minlength=256).argmax() for c in own.T], np.uint8)
-        hub = int(rows[(own == typical).sum(1).argmax()])
-        for j in rows[(own == sketch[hub]).sum(1) >= enough].tolist():
-            forest.add(hub, j)
-        for s, e in P.runs(label[rows, depth]):
-            if e - s > 1:
-                crowded(rows[s:e], label, sketch, depth + 1, forest)
-
+def _candidates(enough: int):
+    """Candidates of regions (or tiles) of bounded size."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in P.complete_runs(batches, "region", 4 * region_most):
+        for b in P.complete_runs(batches, "region", 4 * REGION):
             region, node = np.asarray(b.column("region")), np.asarray(b.column("node"))
-            label = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(-1, DEPTH)
-            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = _sketches(b.column("sketch"))
             forest = Forest()
             ends = np.append(np.flatnonzero(region[1:] != region[:-1]) + 1, len(region))
             size = np.diff(np.concatenate([[0], ends]))
@@ -170,13 +182,91 @@ def _candidates(least_share: float, region_most: int):
                 for a in i[near].tolist():
                     forest.add(a, a + step)
             for s, e in zip((ends - size)[size > 16].tolist(), ends[size > 16].tolist()):
-                crowded(np.arange(s, e), label, sketch, BASE, forest)
+                _search(np.arange(s, e), sketch, enough, forest)
             links = np.array(forest.links, np.int64).reshape(-1, 2)
             yield batch(a=node[links[:, 0]], b=node[links[:, 1]])
 
     return work
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most typical row of a sample of each region."""
+    for b in P.complete_runs(batches, "region", 4 * REGION):
+        sketch, found = _sketches(b.column("sketch")), []
+        for s, e in P.runs(np.asarray(b.column("region"))):
+            typical = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[s:e].T], np.uint8)
+            found.append(s + int((sketch[s:e] == typical).sum(1).argmax()))
+        at = pa.array(found, pa.int64())
+        yield batch(region=b.column("region").take(at), hub=b.column("node").take(at), hub_sketch=b.column("sketch").take(at))
+
+
+def _beside_hub(enough: int):
+    """Which rows are candidates of the hub beside them."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (_sketches(b.column("sketch")) == _sketches(b.column("hub_sketch"))).sum(1) >= enough
+            yield batch(region=b.column("region"), node=b.column("node"), hub=b.column("hub"), near=pa.array(near))
+
+    return work
+
+
+def _salts(count: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
+
+
+def _in_tiles(hot: DataFrame, rest: DataFrame, enough: int, most: int) -> DataFrame:
+    """Candidates between the rows of ``rest`` and all rows of their regions, in blocks."""
+    half = max(1, most // 2)
+    n_rest = rest.groupBy("region").agg(F.ceil(F.count("*") / half).alias("parts"))
+    rows = (hot.join(F.broadcast(n_rest), "region").withColumn("blocks", F.ceil(F.col("count") / half)))
+    left = (rows.join(rest.select("region", "node"), ["region", "node"], "left_semi")
+            .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).withColumn("block", _salts("blocks")))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", _salts("parts"))
+    tile = F.xxhash64("region", "part", "block").alias("region")
+    tiles = left.select(tile, "node", "sketch").unionByName(right.select(tile, "node", "sketch"))
+    return scan(tiles.repartition("region").sortWithinPartitions("region", "node"), _candidates(enough), "a long, b long").where("a != b")
+
+
+def candidate_links(nodes: DataFrame, enough: int, most: int) -> DataFrame:
+    """(a, b): a spanning forest of the candidates among classes (node, signature)."""
+    found = None
+    for level in range(len(LEVELS)):
+        rows = scan(nodes, _tree_rows(level), "region long, node long, sketch binary")
+        crowded = materialize(scan(nodes, _tree_rows(level, False), "region long").groupBy("region").count()
+                              .where(F.col("count") > most), "crowded_regions")
+        calm = crowded.isEmpty()
+        fit = rows if calm else rows.join(F.broadcast(crowded), "region", "left_anti")
+        links = materialize(scan(fit.repartition("region").sortWithinPartitions("region", "node"), _candidates(enough),
+                                 "a long, b long"), "candidates")
+        found = links if found is None else found.unionByName(links)
+        if calm:
+            break
+        hot = materialize(rows.join(F.broadcast(crowded), "region"), "hot_rows")
+        some = hot.where(F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("count") / SAMPLE)) == 0)
+        hubs = scan(some.select("region", "node", "sketch").repartition("region").sortWithinPartitions("region", "node"), _hubs,
+                    "region long, hub long, hub_sketch binary")
+        blocks = F.ceil(F.col("count") / most)
+        spread = hubs.join(crowded, "region").withColumn("blocks", blocks).withColumn("salt", _salts("blocks"))
+        beside = (hot.withColumn("salt", F.pmod(F.xxhash64("node"), blocks)).select("region", "salt", "node", "sketch")
+                  .join(spread.select("region", "salt", "hub", "hub_sketch"), ["region", "salt"]))
+        judged = materialize(scan(beside.select("region", "node", "sketch", "hub", "hub_sketch"), _beside_hub(enough),
+                                  "region long, node long, hub long, near boolean"), "beside_hubs")
+        found = found.unionByName(judged.where("near and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = judged.where("not near").select("region", "node")
+        if rest.isEmpty():
+            break
+        if level == len(LEVELS) - 1:
+            found = found.unionByName(materialize(_in_tiles(hot, rest, enough, most), "tiled"))
+        else:
+            going = hot.join(F.broadcast(rest.select("region").distinct()), "region", "left_semi").select("node").distinct()
+            nodes = materialize(nodes.join(going, "node", "left_semi"), "going_on")
+    return found
+
+
 def _linked(inter: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
@@ -296,10 +386,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, cell: int
     full = slim.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "signature")).alias("m"), F.count("*").alias("copies"))
     nodes = classes.select(F.col("m.doc_id").alias("node"), F.col("m.signature").alias("signature"))
-    trees = scan(nodes, _tree_rows, "region long, label binary, node long, sketch binary")
     # Sketches of 64 values deviate by 0.05 at the wanted similarity; three deviations stay in.
-    links = materialize(scan(trees.repartition("region").sortWithinPartitions("region", "label", "node"),
-                             _candidates(percent / 100 - 0.16, region), "a long, b long"), "candidates")
+    links = candidate_links(nodes, int(np.ceil((percent / 100 - 0.16) * SKETCH)), region)
     members = materialize(components(links), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("cell"), "size")
     wanted = members.select(F.col("node"), F.col("component").alias("cell")).join(sizes, "cell")

@@ -147,6 +147,33 @@ def test_near_dedup_star_group(spark):
         assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
+def templated_pairs(spark, pairs=1000, shared=104, own=82):
+    """(rows, frame): pairs of near copies in one template; texts of different pairs are no candidates."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(pairs):
+        words = [f"t{i}" for i in range(shared)] + [f"p{k}_{i}" for i in range(own)]
+        other = list(words)
+        for j in rng.choice(np.arange(shared, shared + own), 10, replace=False):
+            other[j] = f"q{k}_{j}"
+        rows += [(k, " ".join(words)), (100_000 + k, " ".join(other))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_near_dedup_crowded_regions_keep_all_pairs(spark):
+    got = by_id(near_dedup.near_duplicates(templated_pairs(spark), region=2))
+    assert [k for k in range(1000) if got[100_000 + k]["component_id"] != k or not got[k]["kept"]] == []
+
+
+def test_trees_needed():
+    assert near_dedup.trees_needed(5) == 44
+    rng = np.random.default_rng(6)
+    for level in range(len(near_dedup.LEVELS)):
+        columns = near_dedup.tree_columns(level)
+        agree = rng.random((20_000, near_dedup.VALUES)) < 0.8
+        assert sum(not any(row[c].all() for c in columns) for row in agree[:2_000]) <= 2
+
+
 def test_true_links_are_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
