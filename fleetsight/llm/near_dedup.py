@@ -166,7 +166,7 @@ def _search(rows: np.ndarray, sketch: np.ndarray, enough: int, forest: Forest) -
 def _candidates(enough: int):
     """Candidates of regions (or tiles) of bounded size."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in P.complete_runs(batches, "region", 4 * REGION):
+        for b in P.complete_runs(batches, "region"):
             region, node = np.asarray(b.column("region")), np.asarray(b.column("node"))
             sketch = _sketches(b.column("sketch"))
             forest = Forest()
@@ -195,7 +195,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The most typical row of a sample of each region."""
-    for b in P.complete_runs(batches, "region", 4 * REGION):
+    for b in P.complete_runs(batches, "region"):
         sketch, found = _sketches(b.column("sketch")), []
         for s, e in P.runs(np.asarray(b.column("region"))):
             typical = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[s:e].T], np.uint8)
@@ -306,10 +306,10 @@ def true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _cells(percent: int, most: int):
+def _cells(percent: int):
     """True links of each cell of sets."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in P.complete_runs(batches, "cell", 4 * most):
+        for b in P.complete_runs(batches, "cell"):
             cell, node = np.asarray(b.column("cell")), np.asarray(b.column("node"))
             bodies, found = b.column("shingles"), []
             for s, e in P.runs(cell):
@@ -374,7 +374,7 @@ def _crowded_links(sets: DataFrame, links: DataFrame, sizes: DataFrame, percent:
              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))))
     tile = F.xxhash64("cell", "part", "block").alias("cell")
     tiles = left.select(tile, "node", "shingles").unionByName(right.select(tile, "node", "shingles")).dropDuplicates(["cell", "node"])
-    found = scan(tiles.repartition("cell").sortWithinPartitions("cell"), _cells(percent, cell), "a long, b long")
+    found = scan(tiles.repartition("cell").sortWithinPartitions("cell"), _cells(percent), "a long, b long")
     return judged.where("near and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(found)
 
 
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, cell: int
         return scan(met.select("node", "cell", "text"), _sets(size), "cell long, node long, shingles binary")
 
     true = scan(full_sets(wanted.where(F.col("size") <= cell)).repartition("cell").sortWithinPartitions("cell"),
-                _cells(percent, cell), "a long, b long")
+                _cells(percent), "a long, b long")
     if not large.isEmpty():
         true = true.unionByName(_crowded_links(full_sets(large), links, sizes.where(F.col("size") > cell), percent, cell))
     parts = components(true)

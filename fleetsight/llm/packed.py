@@ -77,23 +77,21 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else parts[0]
 
 
-def complete_runs(batches: Iterator[pa.RecordBatch], key: str, most: int, overlap: int = 64) -> Iterator[pa.RecordBatch]:
-    """Batches of rows sorted by ``key``, recut so that no key is in two of them.  A key of over
-    ``most`` rows comes in parts of about that many, each beginning with the last ``overlap``
-    rows and the first row of the part before."""
-    held: pa.RecordBatch | None = None
+def complete_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by ``key``, recut so that no key is in two of them.  A key is never cut:
+    callers bound the rows of a key by the shuffle before."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        held = b if held is None else _joined([held, b])
-        keys = np.asarray(held.column(key))
-        cut = int(np.searchsorted(keys, keys[-1], "left")) if keys[0] <= keys[-1] else \
-            int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        keys = np.asarray(b.column(key))
+        if held and keys[0] != held[-1].column(key)[0].as_py():
+            yield _joined(held)
+            held = []
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
         if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-        if held.num_rows > most:
-            yield held
-            held = _joined([held.slice(0, 1), held.slice(held.num_rows - overlap)])
-    if held is not None and held.num_rows:
-        yield held
+            yield _joined([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield _joined(held)

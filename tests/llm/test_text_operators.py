@@ -11,7 +11,7 @@ import pytest
 
 from compare import difference, duck
 from fleetsight.llm import (
-    ORACLES, QUERIES, decontamination, html_text, near_dedup, packing, passage_quality, personal_data, quality_rules, secret_scan,
+    ORACLES, QUERIES, decontamination, html_text, near_dedup, packed, packing, passage_quality, personal_data, quality_rules, secret_scan,
     substring_dedup, toxicity)
 from fleetsight.llm import bytetext as B
 from fleetsight.llm.components import components
@@ -165,6 +165,27 @@ def test_near_dedup_crowded_regions_keep_all_pairs(spark):
     assert [k for k in range(1000) if got[100_000 + k]["component_id"] != k or not got[k]["kept"]] == []
 
 
+def test_runs_are_never_cut():
+    keys = np.repeat([1, 2, 3], [30, 100_000, 30])
+    table = pa.record_batch({"k": keys, "row": np.arange(len(keys))})
+    for step in (7_000, 30, 100_060):
+        parts = list(packed.complete_runs((table.slice(i, step) for i in range(0, len(keys), step)), "k"))
+        assert np.array_equal(np.concatenate([np.asarray(p.column("row")) for p in parts]), np.arange(len(keys)))
+        assert [sum(2 in np.asarray(p.column("k")) for p in parts)] == [1]
+
+
+def test_near_dedup_equal_labels_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEVELS", (3,))      # nothing deeper can part the rows
+    rng = np.random.default_rng(7)
+    half = rng.integers(0, 2**16, (300, near_dedup.VALUES), dtype=np.uint16)
+    for columns in near_dedup.tree_columns(0):
+        half[:, columns] = 9
+    signatures = np.concatenate([half, half])
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(signatures)], "node long, signature binary")
+    got = {frozenset(r) for r in near_dedup.candidate_links(nodes.repartition(7), 41, 64).collect()}
+    assert got == {frozenset((i, 300 + i)) for i in range(300)}
+
+
 def test_trees_needed():
     assert near_dedup.trees_needed(5) == 44
     rng = np.random.default_rng(6)
