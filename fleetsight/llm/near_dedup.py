@@ -15,7 +15,8 @@ that leaves over meets the component's other classes, in blocks of bounded size.
 the final components.
 
 Chances: two sets of similarity 0.8 share a region with probability 0.99999 at each level that they
-get to, and more similar sets more surely; tests measure recall against brute force.
+get to, and their sketches agree enough (36 of 64 values) with probability 0.99999; together at least
+0.99996 through all levels, and more similar sets more surely.
 
 Defined cases: null and empty texts have no shingles and are alone; a text of one word has one
 shingle; a null ``doc_id`` has a null component and is kept; rows that share a ``doc_id`` count as
@@ -101,6 +102,17 @@ def trees_needed(depth: int, similar: float = 0.8, miss: float = 1e-5) -> int:
     return trees
 
 
+def sketch_agreement(similar: float, miss: float = 1e-5) -> int:
+    """The most equal values of a sketch to ask for, so that a pair of this similarity has fewer with no
+    more than this probability.  One test serves all trees, as the sketch is the same in all."""
+    below = 0.0
+    for n in range(SKETCH + 1):
+        below += comb(SKETCH, n) * similar**n * (1 - similar)**(SKETCH - n)
+        if below > miss:
+            return n
+    return SKETCH
+
+
 def tree_columns(level: int) -> list[np.ndarray]:
     """The signature values of each tree of a level; those of the first level share none."""
     if level == 0:
@@ -386,8 +398,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, cell: int
     full = slim.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "signature")).alias("m"), F.count("*").alias("copies"))
     nodes = classes.select(F.col("m.doc_id").alias("node"), F.col("m.signature").alias("signature"))
-    # Sketches of 64 values deviate by 0.05 at the wanted similarity; three deviations stay in.
-    links = candidate_links(nodes, int(np.ceil((percent / 100 - 0.16) * SKETCH)), region)
+    links = candidate_links(nodes, sketch_agreement(percent / 100), region)
     members = materialize(components(links), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).select(F.col("component").alias("cell"), "size")
     wanted = members.select(F.col("node"), F.col("component").alias("cell")).join(sizes, "cell")

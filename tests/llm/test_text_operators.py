@@ -186,6 +186,18 @@ def test_near_dedup_equal_labels_are_compared_in_tiles(spark, monkeypatch):
     assert got == {frozenset((i, 300 + i)) for i in range(300)}
 
 
+def test_sketch_keeps_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    one = rng.integers(0, 2**16, (20_000, near_dedup.VALUES), dtype=np.uint16)
+    two = np.where(rng.random(one.shape) < 0.8, one, one ^ 1)
+    for columns in near_dedup.tree_columns(0)[:1]:       # a region of one tree has both
+        two[:, columns] = one[:, columns]
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(np.concatenate([one, two]))],
+                                  "node long, signature binary")
+    found = near_dedup.candidate_links(nodes, near_dedup.sketch_agreement(0.8), near_dedup.REGION)
+    assert len({frozenset(r) for r in found.collect()}) >= 19_999
+
+
 def test_trees_needed():
     assert near_dedup.trees_needed(5) == 44
     rng = np.random.default_rng(6)
