@@ -6,7 +6,9 @@ per tag; the ratios along the page are smoothed with a Gaussian and split into t
 the threshold between their means.  Lines of the upper cluster are content; the content region
 reaches from its first line to its last and over lines in the containers of content, so that short
 paragraphs of an article stay; an article element around content is the region itself.  Blocks that hold no article text by
-their meaning (menus, forms, scripts, asides, comments, adverts) are never content.
+their meaning (menus, scripts, asides) are never content.  Forms and blocks whose class, id or role
+names them so (comments, adverts) are none either, unless they hold an article, a main element,
+an h1 or most of the page's characters.
 
 Defined cases: null and empty pages, and pages without content, give an empty text; a page
 that is one bare text is its own content; null ids and addresses are kept; rows that repeat are
@@ -34,18 +36,18 @@ BLOCKS = frozenset("""address article aside blockquote body br caption center dd
     optgroup option p pre search section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("""head script style noscript template iframe object svg math canvas audio video button select
-    textarea datalist form nav footer aside menu dialog search""".split())
+    textarea datalist nav footer aside menu dialog search""".split())
 RAW = frozenset(("script", "style"))
 #: An opening tag of these closes an open paragraph.
 CLOSES_P = BLOCKS - frozenset("br body html head title caption tbody td tfoot th thead tr option optgroup legend summary".split())
 #: An open element on the left ends where one on the right begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
         "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
-#: Words of a class, id or role that mark blocks beside the article.
+#: Class, id or role, or the last part of one, that mark blocks beside the article.
 BESIDE = frozenset("""ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb
-    breadcrumbs sidebar side aside footer comment comments disqus reply replies respond cookie cookies consent notice gdpr
+    breadcrumbs sidebar aside footer comment comments disqus reply replies respond cookie cookies consent notice gdpr
     popup modal newsletter subscribe signup login search share sharing social related recommended toolbar pagination pager
-    widget complementary contentinfo dialog alert masthead topbar skip""".split())
+    complementary contentinfo dialog alert masthead topbar skip""".split())
 CONTAINERS = frozenset("article main section div body".split())
 
 
@@ -57,6 +59,7 @@ class Line:
     heading: bool
     text: list[str] = field(default_factory=list)
     tags: int = 0
+    beside: tuple = ()            # numbers of the blocks around it that look to be beside the article
 
 
 class Lines(HTMLParser):
@@ -64,18 +67,19 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []    # name, silent, in article, container
+        self.open: list[tuple[str, bool, bool, int, tuple]] = []    # name, silent, in article, container, blocks beside
+        self.held: list[bool] = []                           # whether a block beside holds an article
         self.lines: list[Line] = []
         self.homes = 0
         self._next()
 
     def _next(self) -> None:
-        name, silent, article, home = self.open[-1] if self.open else ("", False, False, 0)
-        self.line = Line(home, article, silent, any(o[0] in ("h1", "h2", "h3") for o in self.open[-3:]))
+        name, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, ())
+        self.line = Line(home, article, silent, any(o[0] in ("h1", "h2", "h3") for o in self.open[-3:]), beside=around)
         self.lines.append(self.line)
 
     def _leave(self, at: int) -> None:
-        block = any(o[0] in BLOCKS or o[1] for o in self.open[at:])
+        block = any(o[0] in BLOCKS or o[1] or o[4] for o in self.open[at:])
         del self.open[at:]
         if block:
             self._next()
@@ -98,10 +102,13 @@ class Lines(HTMLParser):
         for name, by in ENDS.items():
             if tag in by and (at := self._last((name,), ("ul", "ol", "dl", "table", "select"))) >= 0:
                 self._leave(at)
-        _, silent, article, home = self.open[-1] if self.open else ("", False, False, 0)
+        _, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, ())
         article = article or tag in ("article", "main") or ("role", "main") in attrs
-        beside = tag in SILENT or (tag == "header" and not article) or (
-            tag not in ("html", "body", "article", "main", "p", "h1", "h2") and _beside(attrs)) or _hidden(attrs)
+        beside = tag in SILENT or (tag == "header" and not article) or _hidden(attrs)
+        if not (silent or beside) and (tag in ("article", "main", "h1") or ("role", "main") in attrs):
+            for i in around:
+                self.held[i] = True
+        named = tag == "form" or (tag not in ("html", "body", "article", "main", "p", "h1", "h2") and _beside(attrs))
         if tag in CONTAINERS:
             self.homes += 1
             home = self.homes
@@ -110,8 +117,11 @@ class Lines(HTMLParser):
                 self._next()
             self.line.tags += 1
             return
-        self.open.append((tag, silent or beside, article, home))
-        if tag in BLOCKS or beside:
+        if named:
+            around = (*around, len(self.held))
+            self.held.append(False)
+        self.open.append((tag, silent or beside, article, home, around))
+        if tag in BLOCKS or beside or named:
             self._next()
         self.line.tags += 1
 
@@ -147,8 +157,9 @@ class Lines(HTMLParser):
 
 def _beside(attrs: list) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not BESIDE.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-            return True
+        for token in value.lower().split() if name in ("class", "id", "role") and value else ():
+            if token in BESIDE or re.split(r"[^a-z]+", token.rstrip("0123456789-_"))[-1] in BESIDE:
+                return True
     return False
 
 
@@ -191,6 +202,13 @@ def main_text(html: str, sigma: float = 1.0) -> str:
             lines.append((line, text))
     if not lines:
         return ""
+    inside = np.zeros(len(parser.held), np.int64)
+    for line, text in lines:
+        if not line.silent:
+            inside[list(line.beside)] += len(text)
+    most = sum(len(text) for line, text in lines if not line.silent)
+    for line, _ in lines:
+        line.silent = line.silent or any(not parser.held[i] and 2 * inside[i] <= most for i in line.beside)
     ratio = np.array([0.0 if line.silent else len(text) / max(1, line.tags) for line, text in lines])
     flat = smoothed(ratio, sigma)
     loud = np.array([not line.silent for line, _ in lines])

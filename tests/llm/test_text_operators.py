@@ -520,6 +520,17 @@ def test_page_forms(page, want):
     assert html_text.main_text(page or "") == want
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><main><p>{}</p></main><div class='sidebar'>no</div></div>",
+    "<div class='has-sidebar'><h1>{}</h1></div><div class='share'>no</div>",
+    "<div class='elementor-widget elementor-widget-text-editor'><p>{}</p></div><nav>no</nav>",
+    "<body><form><div><p>{}</p></div><div class='post-comments'>no</div></form></body>",
+])
+def test_wrappers_named_like_side_blocks_keep_the_article(page):
+    want = "The text of the page stands here, in one long enough paragraph."
+    assert html_text.main_text(page.format(want)) == want
+
+
 # Odd rows and empty tables
 
 CASES = {
