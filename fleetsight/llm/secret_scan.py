@@ -1,7 +1,8 @@
 """Secret scan: a random forest tells leaked credentials from look-alikes.
 
 Candidates are runs of at least ``LEAST`` credential characters with both letters and digits
-(whole texts are searched as bytes).  Each gets features of its length, of the transitions
+(whole texts are searched as bytes; a run ends at an assignment), and values of any characters from
+``LEAST_CUED`` bytes on that are assigned to a name with a leak cue.  Each gets features of its length, of the transitions
 between kinds of characters, of the share of it that dictionary words cover, of the path the
 text came from, and of the words beside it.  A forest of axis-parallel trees, trained here on
 a table of labelled findings, keeps the secrets and drops hashes, identifiers, file names and
@@ -31,7 +32,7 @@ from fleetsight.llm import bytetext as B
 from fleetsight.llm import packed as P
 from fleetsight.llm.frames import batch, query, read, scan
 
-LEAST = 16
+LEAST, LEAST_CUED = 16, 8
 _DIGIT = B.table(b"0123456789")
 _LETTER = B.table(bytes(range(65, 91)) + bytes(range(97, 123)))
 _CHARS = _DIGIT | _LETTER | B.table(b"_-+/=.")
@@ -54,6 +55,9 @@ TEST_PATHS = re.compile(r"test|spec|fixture|example|sample|mock|docs?(/|$)|readm
 CODE_PATHS = re.compile(r"\.(env|py|js|ts|rb|go|java|sh|ya?ml|json|ini|cfg|conf|toml|properties|tf)$|config|deploy|settings", re.I)
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PREFIX = re.compile(r"^(AKIA|ASIA|ghp_|gho_|ghs_|xox[abp]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_|SG\.)")
+#: A value assigned to a name with a leak cue: quoted up to its quote, else up to white space.
+_CUED = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|key|auth(?:orization)?|bearer|credentials?|private|signing|webhook)[A-Za-z0-9_]{0,20}"
+                   rb"[\"'`]?[ \t]*(?::=|=>|[:=])[ \t]*(?:bearer[ \t]+)?(?:\"([^\"\r\n]{8,})\"|'([^'\r\n]{8,})'|`([^`\r\n]{8,})`|([^\s\"'`]{8,}))", re.I)
 _FIND = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) >= 3), key=len, reverse=True)))
 FEATURES = ("length", "digits", "upper", "lower", "other", "to_digit", "to_letter", "case_changes", "distinct", "entropy",
             "hex", "uuid", "prefix", "dictionary", "separators", "longest_letters", "leak_cue", "false_cue", "assigned", "quoted",
@@ -108,6 +112,10 @@ def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, int, int
             glue = " " if "Bearer" in cue else pick((' = "', "=", ': "', " = '", ": "))
             if value.startswith(("AKIA", "ghp_", "sk_live_")) and rng.random() < 0.4:
                 cue, glue = pick(prose), " "
+            if rng.random() < 0.3:
+                value = chars((alnum, alnum + "!@#$%:", alnum[:52], alnum[26:52], "0123456789")[int(rng.integers(5))], int(rng.integers(8, 16)))
+                cue = pick(("password", "passwd", "PASSWORD", "db_password", "secret", "pwd", "token", "api_key"))
+                glue = pick((' = "', "=", ': "', " = '", ": "))
             path = pick(code + plain)
         else:
             k = int(rng.integers(8))
@@ -118,6 +126,10 @@ def labelled_findings(n: int = 1600, seed: int = 17) -> list[tuple[str, int, int
             cue = pick(("commit", "sha256", "md5", "checksum", "etag", "uuid", "id", "version", "revision", "integrity")) if k < 2 else \
                 pick(("href", "src", "import", "file", "example", "see", "name", "class", "password", "token", "key"))
             glue = pick((" ", ": ", "=", '="', " "))
+            if rng.random() < 0.2:
+                value = pick(("changeme", "<password>", "required", "${DB_PASSWORD}", "your_password", "get_token()", "os.environ", "optional",
+                              "********", "{{ secret }}", f"{pick(words)}{pick(words)}", f"{pick(words)}_{pick(words)}", f"{pick(words)}.{pick(words)}"))
+                cue, glue = pick(("password", "token", "secret", "api_key", "key")), pick((": ", "=", '="', ' = "'))
             path = pick(tests + plain + code)
         quote = glue[-1] if glue[-1] in "\"'" else ""
         start = len(f"{lead} {cue}{glue}")
@@ -195,8 +207,12 @@ def default_forest() -> Forest:
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of runs that could be credentials."""
-    starts, ends, _ = B.spans(data, offsets, _CHARS)
+    """Byte spans of runs that could be credentials; a run ends at '=' with a value behind it."""
+    glue = np.flatnonzero(data[:-1] == 61)
+    glue = glue[_CHARS[data[glue + 1]] & (data[glue + 1] != 61) & ~np.isin(glue + 1, offsets)]
+    cut = data.copy()
+    cut[glue] = 32
+    starts, ends, _ = B.spans(cut, offsets, _CHARS)
     long = ends - starts >= LEAST
     starts, ends = starts[long], ends[long]
     count = lambda flags: np.concatenate([[0], np.cumsum(flags[data], dtype=np.int64)])
@@ -205,6 +221,35 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[mixed], ends[mixed]
 
 
+def cued(raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, row) of values of any characters that are assigned to a name with a leak cue."""
+    found = []
+    for r, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for m in _CUED.finditer(raw, first, last):
+            s, e = m.span(m.lastindex)
+            if m.lastindex == 4:
+                while e > s and raw[e - 1] in b",;)]}>.":
+                    e -= 1
+            if e - s >= LEAST_CUED:
+                found.append((s, e, r))
+    return found
+
+
+def _merged(raw: bytes, runs: list[tuple[int, int, int]], values: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Both in order, each span once; a run in or across an assigned value gives way to it, but not to a sentence or
+    an address, which can hold a secret among other things."""
+    known = set(values)
+    runs, spans = [x for x in runs if x not in known], values
+    values = [v for v in values if not re.search(rb"[\s&?]|://", raw[v[0]:v[1]])]
+    if not values:
+        return sorted(runs + spans)
+    starts, ends = np.array([v[0] for v in values]), np.array([v[1] for v in values])
+    s, e = np.array([x[0] for x in runs], np.int64), np.array([x[1] for x in runs], np.int64)
+    at = np.searchsorted(ends, s, "right")
+    inside = (at < len(ends)) & (starts[np.minimum(at, len(ends) - 1)] < e)
+    return sorted([x for x, i in zip(runs, inside) if not i] + spans)
+
+
 def secrets(docs: DataFrame, forest: Forest | None = None, path: str | None = "source", threshold: float = 0.5,
             everything: bool = False) -> DataFrame:
     """One row per finding: its place in code points, a hash of it, the forest's score and
@@ -216,17 +261,18 @@ def secrets(docs: DataFrame, forest: Forest | None = None, path: str | None = "s
             paths = b.column("path")
             for first, last, data, offsets in B.pieces(b.column("text")):
                 starts, ends = candidates(data, offsets)
-                raw, rows, x, kept = data.tobytes(), np.searchsorted(offsets, starts, "right") - 1, [], []
+                raw, rows, x, kept, runs = data.tobytes(), np.searchsorted(offsets, starts, "right") - 1, [], [], []
                 for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist()):
                     while e > s and raw[e - 1] in _TRIM and raw[e - 1] != 61:
                         e -= 1
                     while e > s and raw[s] in _TRIM:
                         s += 1
-                    if e - s < LEAST:
-                        continue
+                    if e - s >= LEAST:
+                        runs.append((s, e, r))
+                for s, e, r in _merged(raw, runs, cued(raw, offsets)):
                     before = raw[max(int(offsets[r]), s - 60):s].decode("utf-8", "ignore")
                     after = raw[e:min(int(offsets[r + 1]), e + 60)].decode("utf-8", "ignore")
-                    x.append(features(raw[s:e].decode(), before, after, paths[first + r].as_py() or ""))
+                    x.append(features(raw[s:e].decode("utf-8", "replace"), before, after, paths[first + r].as_py() or ""))
                     kept.append((s, e, r))
                 spans = np.array(kept, np.int64).reshape(-1, 3)
                 score = forest.chance(np.array(x, float).reshape(-1, len(FEATURES)))
