@@ -301,8 +301,8 @@ q AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM p GROUP BY 1),
 s AS (SELECT p.word, min(near) AS best FROM p JOIN q ON q.word = p.word AND p.n = q.best_n GROUP BY 1),
 f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
  FROM w LEFT JOIN q USING (word) LEFT JOIN s USING (word)),
-r AS (SELECT word, word AS at, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
-SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, step) AS root FROM r GROUP BY 1) USING (word)"""
+r AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.here WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, step) AS root FROM r GROUP BY 1) USING (word)"""
 
 
 @query("op11_spelling_variants", SQL)
