@@ -33,7 +33,7 @@ from fleetsight.session import materialize
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 SLOT_BITS = 18
 MOST_BITS = 27
 _BREAK = B.table(b".,;:!?\n\x0b\x0c\r")
@@ -140,15 +140,15 @@ def _windows(known, bits: int, longest: int):
             cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
             n = np.diff(np.append(cut, total))
             first = order[cut]
-            for s in range(0, len(first), 1 << 17):
-                lead = first[s:s + (1 << 17)]
+            for s in range(0, len(first), 1 << 16):
+                lead = first[s:s + (1 << 16)]
                 columns = {"lang": names.take(pa.array(w.row[lead])).cast(pa.string())}
                 for j in range(longest):
                     there = length[lead] > j
                     words = w.text(lead[there] + j)
                     place = np.where(there, np.cumsum(there) - 1, 0)
                     columns[f"w{j + 1}"] = words.take(pa.array(place, pa.int64(), mask=~there)).cast(pa.string())
-                yield batch(**columns, c=n[s:s + (1 << 17)].astype(np.int64))
+                yield batch(**columns, c=n[s:s + (1 << 16)].astype(np.int64))
 
     return work
 
