@@ -5,10 +5,10 @@ most, padded with null where the piece ends.  Only these windows are counted, in
 Spark's ``ROLLUP`` over language and lead columns then sums them to every shorter prefix, which
 gives the counts of all phrases, of all words, and of the language, from one table.
 
-Before that, one pass adds hashed counts of words and word pairs in buckets.  A pair whose bucket stays
-under ``least`` lies in no candidate, so a window is padded from there on, and a word whose bucket stays under it
-counts for its language only.  Buckets grow with the text up to a fixed number; the bits that go to the tasks
-are at most 16 MB.  Where buckets are full they hold nothing back, and the counts stay exact.
+Before that, one pass adds hashed counts of words, word pairs and triples in buckets.  A pair or triple whose
+bucket stays under ``least`` lies in no candidate, so a window is padded from there on.  Buckets grow
+with the text up to a fixed number; the bits that go to the tasks are at most 128 MB.  Where buckets are
+full they hold nothing back: all windows are counted whole, and the counts are exact at any size.
 
 Defined cases: null and empty texts and texts without words give no phrases; a null ``lang`` is
 ``und``; repeated rows count each time; equal scores are ordered by count and then by phrase; an
@@ -34,11 +34,13 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 GROUP_BYTES = 4 << 20
-SLOT_BITS = 18
-MOST_BITS = 27
+LEAST_BITS = 20
+MOST_BITS = 30
+SLOTS = 6                  # bits of the number of slots that buckets are added up in
+_ODD = np.uint64(0x9FB21C651E98DF25)
 _BREAK = B.table(b".,;:!?\n\x0b\x0c\r")
 _IN_WORD = ~(B.table(b" \t") | _BREAK)
-_SALTS = 8
+_SALTS = 16
 _PARTS = 64
 
 
@@ -55,7 +57,10 @@ class _Words:
         joined = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
         self.joined = np.append(joined, False) if len(self.start) else joined[:0]
         after = np.append(self.word[1:], np.uint64(0)) if len(self.start) else self.word
-        self.pair = B.mixed(self.word * np.uint64(0x9FB21C651E98DF25) + after)
+        self.pair = B.mixed(self.word * _ODD + after)
+        third = np.concatenate([self.word[2:], np.zeros(min(2, len(self.word)), np.uint64)])
+        self.triple = B.mixed(self.pair * _ODD + third)
+        self.joined_again = self.joined & np.append(self.joined[1:], np.zeros(min(1, len(self.joined)), bool))
 
     def text(self, which: np.ndarray) -> pa.Array:
         size = self.end[which] - self.start[which]
@@ -74,29 +79,31 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, pa.Arra
 
 
 def _buckets(bits: int):
-    """(slot, body): hashed counts of words and pairs of a slice, by slots of buckets."""
+    """(slot, body): hashed counts of words, pairs and triples of a slice, by slots of buckets."""
+    slot_bits = np.uint64(bits - SLOTS)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, _ in _slices(batches):
-            found = np.concatenate([w.word, w.pair[w.joined]]) >> np.uint64(64 - bits)
+            found = np.concatenate([w.word, w.pair[w.joined], w.triple[w.joined_again]]) >> np.uint64(64 - bits)
             if not len(found):
                 continue
             found.sort()
             cut = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
             n = np.diff(np.append(cut, len(found)))
             found = found[cut]
-            slot = found >> np.uint64(SLOT_BITS)
+            slot = found >> slot_bits
             for s, e in P.runs(slot):
-                body = P.pack(batch(at=np.diff(found[s:e], prepend=slot[s] << np.uint64(SLOT_BITS)).astype(np.uint32),
+                body = P.pack(batch(at=np.diff(found[s:e], prepend=slot[s] << slot_bits).astype(np.uint32),
                                     n=n[s:e].astype(np.uint32)))
                 yield batch(slot=pa.array([int(slot[s])], pa.int64()), body=pa.array([body], pa.binary()))
 
     return work
 
 
-def _full(least: int):
+def _full(bits: int, least: int):
     """Bits of the buckets of one slot that reach ``least``."""
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << (bits - SLOTS), np.int64)
         for body in frame["body"]:
             t = P.unpack(body)
             total[np.cumsum(np.asarray(t["at"]), dtype=np.int64)] += np.asarray(t["n"])
@@ -121,21 +128,24 @@ def _windows(known, bits: int, longest: int):
             single = frequent(w.word)
             more = w.joined.copy()
             more[more] = frequent(w.pair[more])
-            more &= single
-            more[:-1] &= single[1:]
-            length = single.astype(np.int64)
-            on = single
+            more[:-1] &= single[:-1] & single[1:]
+            again = w.joined_again & more
+            again[again] = frequent(w.triple[again])
+            length = np.ones(total, np.int64)
+            on = np.ones(total, bool)
             for j in range(longest - 1):
                 step = np.zeros(total, bool)
                 step[:total - j] = more[j:]
-                on = on & step
+                if j:
+                    step[:total - j] &= again[j - 1:total - 1]
+                on &= step
                 length += on
             key = w.row.astype(np.uint64) * np.uint64(0)
             _, lang = np.unique(np.asarray(names.to_numpy(zero_copy_only=False), object).astype(str), return_inverse=True)
             key += lang.astype(np.uint64)[w.row] + np.uint64(1)
             for j in range(longest):
                 here = np.flatnonzero(length > j)
-                key[here] = B.mixed(key[here] * np.uint64(0x9FB21C651E98DF25) + w.word[here + j])
+                key[here] = B.mixed(key[here] * _ODD + w.word[here + j])
             order = np.argsort(key)
             cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
             n = np.diff(np.append(cut, total))
@@ -160,27 +170,26 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     ship(spark)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.col("text").cast("string").alias("text"))
-    bits = min(MOST_BITS, max(SLOT_BITS + 2, int(P.text_bytes(docs)).bit_length() - 4))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(P.text_bytes(docs)).bit_length() - 4))
     parts = (scan(docs, _buckets(bits), "slot long, body binary").groupBy("slot")
-             .applyInPandas(_full(least), "slot long, body binary"))
+             .applyInPandas(_full(bits, least), "slot long, body binary"))
     flags = np.zeros(1 << bits >> 3, np.uint8)
-    size = 1 << SLOT_BITS >> 3
+    size = len(flags) >> SLOTS
     for r in parts.toLocalIterator():                    # at most 2 ** MOST_BITS bits in all
         flags[r["slot"] * size:(r["slot"] + 1) * size] = np.frombuffer(r["body"], np.uint8)
     known = spark.sparkContext.broadcast(flags.tobytes())
     lead = [f"w{j + 1}" for j in range(longest)]
     schema = "lang string, " + ", ".join(f"{c} string" for c in lead) + ", c long"
-    summed = (scan(docs, _windows(known, bits, longest), schema)
-              .rollup("lang", *lead).agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
-              .where("level < {}".format(2 ** (longest + 1) - 1)))
+    windows = materialize(scan(docs, _windows(known, bits, longest), schema), "windows")
     # grouping_id of a prefix of k words: the last longest - k columns are summed over
-    depth = F.lit(longest) - F.log2(F.col("level") + 1).cast("int")
-    words = F.slice(F.array(*lead), 1, F.greatest(F.col("k"), F.lit(1)))
-    kept = materialize(summed.withColumn("k", depth).withColumn("words", words)
-                       .where((F.col("k") == 0) | ((F.col("f") >= least) & F.element_at("words", -1).isNotNull()))
-                       .select("lang", "k", "f", F.when(F.col("k") > 0, F.col("words")).alias("words")), "phrases")
-    return (kept.where("k = 0").select("lang", F.col("f").alias("n")),
-            kept.where("k > 0").select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"))
+    depth = F.lit(longest) - F.log2(F.grouping_id() + 1).cast("int")
+    summed = (windows.where("w2 IS NOT NULL").rollup("lang", *lead).agg(F.sum("c").alias("f"), depth.alias("k"))
+              .where("k > 0").where(F.element_at(F.array(*lead), F.greatest(F.col("k"), F.lit(1))).isNotNull()))
+    alone = windows.where("w2 IS NULL").select("lang", *lead, F.col("c").alias("f"), F.lit(1).alias("k"))
+    kept = (summed.unionByName(alone).groupBy("lang", "k", *lead).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+            .select("lang", F.slice(F.array(*lead), F.lit(1), F.col("k")).alias("words"), "f"))
+    kept = materialize(kept.withColumn("phrase", F.array_join("words", " ")), "phrases")
+    return windows.groupBy("lang").agg(F.sum("c").alias("n")), kept
 
 
 def _salted(counts: DataFrame, part: str, value: str) -> DataFrame:
@@ -207,7 +216,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
                     F.array_join(F.slice("words", F.col("k") + 1, F.size("words") - F.col("k")), " ").alias("rest"),
                     F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)).cast("int").alias("salt")))
     scored = (cuts.join(_salted(counts, "first", "l"), ["lang", "first", "salt"])
-              .join(_salted(counts, "rest", "r"), ["lang", "rest", "salt"]).join(totals, "lang")
+              .join(_salted(counts, "rest", "r"), ["lang", "rest", "salt"])
+              .join(totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["lang", "salt"])
               .withColumn("score", floor_score("a", "n", "l", "r"))
               .groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")))
     size = F.col("size")
