@@ -66,17 +66,28 @@ def dominant_colors(crop: DataFrame, n: int = 3) -> DataFrame:
 
 
 def paint(crop: DataFrame) -> DataFrame:
-    """Vehicle color from the body part of the crop, with a second color for two-tone paint."""
+    """Vehicle color from the body part of the crop, with a second color for two-tone paint.
+
+    Means and spreads come from sums of whole numbers, so that they do not depend on the order of rows.
+    """
     c = with_hsv(crop)
     u, v, w, h = (F.col(n) for n in ("u", "v", "w", "h"))
     part = lambda size, f: F.floor(F.round(size * f, 9))
     inside = (v >= part(h, 0.3)) & (v < part(h, 0.8)) & (u >= part(w, 0.1)) & (u < part(w, 0.9))
     top, bottom = v < part(h, 0.3), v >= part(h, 0.7)
-    mean = lambda cond, name: F.avg(F.when(cond, F.col(name)))
+    whole = lambda cond, name: F.when(cond, F.col(name).cast("long"))
+    mean = lambda cond, name: F.sum(whole(cond, name)) / F.count(whole(cond, name))
+
+    def spread(cond, name):
+        x = whole(cond, name)
+        n, total = F.count(x), F.sum(x)
+        return (n * F.sum(x * x) - total * total) / (n * n)
+
+    every = F.lit(True)
     g = c.groupBy("mask_id").agg(
-        *[F.coalesce(mean(inside, n), F.avg(n)).alias(n) for n in ("hue", "sat", "val")],
-        F.coalesce(F.var_pop(F.when(inside, F.col("val"))), F.var_pop("val")).alias("_var"),
-        F.coalesce(F.stddev_pop(F.when(inside, F.col("sat"))), F.stddev_pop("sat")).alias("_sd"),
+        *[F.coalesce(mean(inside, n), mean(every, n)).alias(n) for n in ("hue", "sat", "val")],
+        F.coalesce(spread(inside, "val"), spread(every, "val")).alias("_var"),
+        F.sqrt(F.coalesce(spread(inside, "sat"), spread(every, "sat"))).alias("_sd"),
         *[mean(top, n).alias(f"_t_{n}") for n in ("hue", "sat", "val")], mean(bottom, "hue").alias("_b_hue"))
     first = color.vehicle_color(F.col("hue"), F.col("sat"), F.col("val"))
     second = color.vehicle_color(F.col("_t_hue"), F.col("_t_sat"), F.col("_t_val"))

@@ -151,7 +151,8 @@ def v25(spark, d):
 WITH {CROP}, k AS (SELECT *, v >= floor(round(h * 0.3::DOUBLE, 9)) AND v < floor(round(h * 0.8::DOUBLE, 9)) AND u >= floor(round(w * 0.1::DOUBLE, 9))
  AND u < floor(round(w * 0.9::DOUBLE, 9)) AS inside, v < floor(round(h * 0.3::DOUBLE, 9)) AS top, v >= floor(round(h * 0.7::DOUBLE, 9)) AS bottom FROM c),
 g AS (SELECT mask_id, avg(hue) FILTER (inside) AS ph, avg(sat) FILTER (inside) AS ps, avg(val) FILTER (inside) AS pv,
- var_pop(val) FILTER (inside) AS var, stddev_pop(sat) FILTER (inside) AS sd, avg(hue) FILTER (top) AS th, avg(sat) FILTER (top) AS ts,
+ (count(*) FILTER (inside) * sum(val * val) FILTER (inside) - sum(val) FILTER (inside) * sum(val) FILTER (inside)) / (count(*) FILTER (inside) * count(*) FILTER (inside)) AS var,
+ sqrt((count(*) FILTER (inside) * sum(sat * sat) FILTER (inside) - sum(sat) FILTER (inside) * sum(sat) FILTER (inside)) / (count(*) FILTER (inside) * count(*) FILTER (inside))) AS sd, avg(hue) FILTER (top) AS th, avg(sat) FILTER (top) AS ts,
  avg(val) FILTER (top) AS tv, avg(hue) FILTER (bottom) AS bh FROM k GROUP BY 1),
 n AS (SELECT *, CASE WHEN ps < 30 AND pv < 50 THEN 'black' WHEN ps < 30 AND pv > 200 THEN 'white' WHEN ps < 30 AND pv > 150 THEN 'silver'
  WHEN ps < 30 THEN 'gray' ELSE {_hues(color.VEHICLE_HUES, 'ph')} END AS color,

@@ -106,7 +106,7 @@ def r03(spark, d):
 
 
 @query("R05_skip_batch", f"""
-WITH h AS ({HEAD.format(n=60)}) SELECT CASE WHEN h.id IS NOT NULL THEN 'skipped' ELSE q.status END AS status, count(*) AS n
+WITH h AS ({HEAD} ORDER BY created_at, id LIMIT 60) SELECT CASE WHEN h.id IS NOT NULL THEN 'skipped' ELSE q.status END AS status, count(*) AS n
 FROM review_queue q LEFT JOIN h USING (id) GROUP BY 1""")
 def r05(spark, d):
     q = src.review_queue(spark, d)

@@ -265,6 +265,47 @@ def test_replay_matches_plain_loop(spark, speed):
     assert got == want
 
 
+def _busy(seed, frames, objects, gaps=True):
+    """One camera whose objects move through each other for many frames; equal boxes come up as well."""
+    r, rows = rng(seed), []
+    for o in range(objects):
+        x, y = r.integers(0, 300, 2)
+        v = r.integers(-2, 3, 2)
+        for f in range(frames):
+            if r.random() < .75 and not (gaps and o % 4 == 0 and f % 97 > 60):
+                jx, jy = r.integers(-1, 2, 2) if o % 3 else (0, 0)
+                x1, y1 = int(x + (v[0] * f) % 120 + jx), int(y + (v[1] * f) % 90 + jy)
+                rows.append(("c0", f, len(rows), .9, x1, y1, x1 + 60, y1 + 80))
+                if o == 1 and f % 5 == 0:
+                    rows.append(("c0", f, len(rows), .9, x1, y1, x1 + 60, y1 + 80))
+    return rows
+
+
+DET = "camera_id string, frame_no long, det_id long, confidence double, x1 int, y1 int, x2 int, y2 int"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replay_in_time_chunks_matches_plain_loop(spark, seed):
+    rules = tk.Rules(match=.6, buffer=5)
+    rows = _busy(seed, 150, 7)
+    df = spark.createDataFrame(rows, DET)
+    got = {x.det_id: (x.track_id, x.state, x.hits) for x in tk.replay(df, rules, 8.0, length=18).collect()}
+    assert got == _loop_tracker([(f, i, (a, b, c, d)) for _, f, i, _, a, b, c, d in rows], rules)
+
+
+def test_chunks_are_walked_again_until_borders_agree(spark):
+    """With frames to warm up that are too few, guesses are wrong and only the walks that follow mend them."""
+    rules = tk.Rules(match=.6, buffer=5)
+    rows = _busy(3, 80, 5)
+    det = spark.createDataFrame(rows, DET).withColumn("region", F.lit(0).cast("long"))
+    whole = {x.det_id: (x.birth_id, x.state, x.age, x.hits, x.missed, x.vx, x.vy)
+             for x in tk._by_chunks(det, rules, 1000, 0).collect()}
+    for length, warm in ((10, 0), (10, 3), (7, 7)):
+        got = {x.det_id: (x.birth_id, x.state, x.age, x.hits, x.missed, x.vx, x.vy)
+               for x in tk._by_chunks(det, rules, length, warm).collect()}
+        assert got == whole
+
+
 def test_velocity_example(spark):
     df = spark.createDataFrame([(1, 1, 100, 100, 200, 200), (1, 2, 110, 105, 210, 205)],
                                "object_key long, frame_no long, x1 int, y1 int, x2 int, y2 int")
