@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalar import micros
-from fleetsight.operators import routing, tracking as tk
+from fleetsight.operators import routing
 from fleetsight.plans.core import STATUS
 from fleetsight.plans.points import SOBEL
 from fleetsight.plans.registry import query
-from fleetsight.session import materialize, prepare, scratch
+from fleetsight.plans.telemetry import MODES, recommendations
+from fleetsight.session import prepare, scratch
 from fleetsight.sources import derive as src, store as io
-from fleetsight.streaming import jobs
-from fleetsight.streaming.tracker import stream_tracks
+from fleetsight.streaming import jobs, ordered
+
+START_MS = 1_700_000_000_000       # time of frame 0 where the data has frame numbers only
 
 
 @query("T02_windowed_metrics", """
@@ -20,15 +22,16 @@ WITH w AS (SELECT event_type, epoch_us(ts) // 86400000000 AS k, value FROM event
 SELECT event_type, k * 86400000000 AS window_start, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
 FROM w GROUP BY 1, 2""")
 def t02(spark, d):
-    s = jobs.windowed_metrics(jobs.open_stream(prepare(spark), d, "events"), "1 day")
-    return jobs.run_complete(s, "metrics").withColumn("mean", F.round("mean", 6))
+    s = jobs.open_stream(prepare(spark), d, "events")
+    return jobs.run_closed(s, lambda e: jobs.windowed_metrics(e, "1 day"), "metrics").filter(
+        "event_type IS NOT NULL").withColumn("mean", F.round("mean", 6))
 
 
 def _feedback_stream(spark, d):
     e = jobs.open_stream(prepare(spark), d, "events")
     name = src._class_of(F.col("event_type"))
     fixed = src._corrected(F.col("event_id"), name)
-    return e.select(F.col("ts").alias("timestamp"), (fixed == name).alias("was_correct"))
+    return e.select("ts", (fixed == name).alias("was_correct"))
 
 
 @query("T05_rolling_accuracy_stream", """
@@ -37,7 +40,8 @@ e AS (SELECT t, was_correct, unnest(range(t // 3600000000 + 1, t // 3600000000 +
 SELECT h * 3600000000 AS window_end, count(*) AS total_reviewed, count(*) FILTER (was_correct) AS correct,
  count(*) FILTER (was_correct) / count(*) < 0.7 AS alert FROM e GROUP BY 1""")
 def t05(spark, d):
-    return jobs.run_complete(jobs.rolling_accuracy(_feedback_stream(spark, d)), "accuracy")
+    return jobs.run_closed(_feedback_stream(spark, d), lambda f: jobs.rolling_accuracy(f.withColumn("timestamp", F.col("ts"))),
+                           "accuracy")
 
 
 @query("T08_sighting_sessions", """
@@ -45,7 +49,8 @@ WITH s AS (SELECT user_id, epoch_us(ts) AS t, value FROM events), g AS (SELECT *
  FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)), n AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
 SELECT user_id, min(t) AS first_seen, count(*) AS sightings, max(value) AS best FROM n GROUP BY user_id, k""")
 def t08(spark, d):
-    return jobs.run_complete(jobs.sighting_sessions(jobs.open_stream(prepare(spark), d, "events")), "sessions")
+    return jobs.run_closed(jobs.open_stream(prepare(spark), d, "events"), jobs.sighting_sessions, "sessions").filter(
+        "user_id IS NOT NULL")
 
 
 @query("T06_decision_feedback", """
@@ -93,25 +98,68 @@ def t01(spark, d):
     return jobs.run_complete(jobs.frame_masks(e, src.EVENTS_PER_FRAME), "frames")
 
 
+def _as_stream(df, name):
+    """A table written to files and opened as a stream of them."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 @query("T01_edge_stream", SOBEL + """
 SELECT frame_key, count(*) AS edge_pixels FROM e WHERE x > 0 AND mag > 100 GROUP BY 1""")
 def t01e(spark, d):
     """Depth edges of frames that arrive as files of pixels."""
-    raw = scratch(prepare(spark), "pixels")
-    src.pixels(spark, d).write.parquet(raw)
-    px = spark.readStream.schema(spark.read.parquet(raw).schema).parquet(raw)
-    return jobs.frame_edges(px, src.GRID_W, src.GRID_H)
+    px = src.pixels(prepare(spark), d).withColumn("ts", F.timestamp_millis(START_MS + F.col("frame_key") * 67))
+    return jobs.frame_edges(_as_stream(px, "pixels"), src.GRID_W, src.GRID_H)
 
 
 @query("T03_stream_tracker")
 def t03(spark, d):
-    rules = tk.Rules()
-    det = src.track_detections(prepare(spark), d).filter(F.col("confidence") >= rules.activate)
-    named = materialize(tk.regions(det, rules, 32.0), "detections")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    path = named.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(named.schema).parquet(path)
-    return jobs.run_to_end(stream_tracks(stream, rules), "tracks")
+    """Tracks of a stream of frames at 15 a second, camera by camera."""
+    det = src.track_detections(prepare(spark), d).withColumn("ts", F.timestamp_micros(START_MS * 1000 + F.col("frame_no") * 66_667))
+    return jobs.run_closed(_as_stream(det, "detections"), ordered.stream_tracks, "tracks")
+
+
+CLAIMS = """SELECT mask_id, object_id, epoch_us(ts) AS t, 'claim' AS action, 0 AS step FROM masks UNION ALL
+ SELECT mask_id, object_id, epoch_us(ts) + 100000 * (1 + mask_id % 7), 'update', 1 FROM masks WHERE mask_id % 2 = 0 UNION ALL
+ SELECT mask_id, object_id, epoch_us(ts) + 200000 + 300000 * (mask_id % 5), 'release', 2 FROM masks WHERE mask_id % 3 = 0"""
+
+
+def _quick_claims(spark, d):
+    """Claims, renewals after 0.1 to 0.7 s and releases after 0.2 to 1.4 s."""
+    m = src.masks(spark, d).select("mask_id", "object_id", "ts")
+    at = lambda us, action, step: m.select("mask_id", "object_id", F.timestamp_micros(micros(F.col("ts")) + us).alias("ts"),
+                                           F.lit(action).alias("action"), F.lit(step).cast("long").alias("step"))
+    return (at(F.lit(0), "claim", 0).unionByName(at((F.col("mask_id") % 7 + 1) * 100_000, "update", 1).filter("mask_id % 2 = 0"))
+            .unionByName(at(F.col("mask_id") % 5 * 300_000 + 200_000, "release", 2).filter("mask_id % 3 = 0")))
+
+
+@query("T04_claim_lifetimes", f"""
+WITH l AS (SELECT *, lead(t) OVER (PARTITION BY mask_id ORDER BY t, step) AS n FROM ({CLAIMS})), c AS (SELECT * FROM l WHERE action <> 'release')
+SELECT mask_id, object_id, event, t + us AS at FROM c, (VALUES ('stale', 500000::BIGINT), ('expired', 1000000::BIGINT)) AS e(event, us)
+WHERE n IS NULL OR n > t + us""")
+def t04s(spark, d):
+    """Claims that go stale after 0.5 s and expire after 1 s, by timers."""
+    return jobs.run_closed(_as_stream(_quick_claims(prepare(spark), d), "claims"), ordered.claim_lifetimes, "lifetimes")
+
+
+@query("T07_idle_stream", f"""
+WITH s AS (SELECT user_id::VARCHAR AS id, epoch_us(ts) AS t, {STATUS} AS status,
+ lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, det_id) AS n FROM base_detections)
+SELECT id, t AS last_seen, t + 60000000 AS at FROM s WHERE status = 'provisional' AND (n IS NULL OR n >= t + 60000000)""")
+def t07s(spark, d):
+    """Provisional objects unseen for 60 s, by one timer an object."""
+    seen = src.base_detections(prepare(spark), d).select(
+        F.col("user_id").cast("string").alias("id"), "ts", src.status_of(F.col("confidence")).alias("status"),
+        F.col("det_id").alias("tie"))
+    return jobs.run_closed(_as_stream(seen, "sightings"), ordered.idle_objects, "idle")
+
+
+@query("T10_mode_stream", MODES)
+def t10s(spark, d):
+    """Modes elected from the last ten recommendations of each camera, frame by frame."""
+    f = recommendations(prepare(spark), d).select("camera_id", "frame_no", "det_id", "ts", "recommended")
+    return jobs.run_closed(_as_stream(f, "recommendations"), ordered.mode_votes, "modes").select("det_id", "mode")
 
 
 @query("S17_events", f"""

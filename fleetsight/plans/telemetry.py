@@ -250,17 +250,24 @@ def w09(spark, d):
 SCALE = 1200.0
 
 
-@query("A29_T10_mode_votes", f"""
+MODES = f"""
 WITH f AS (SELECT camera_id, frame_no, det_id, {RECOMMENDED} AS m FROM (SELECT * REPLACE (round(fps * {SCALE}, 6) * (1 + det_id % 3) AS fps) FROM ({FPS}))),
 w AS (SELECT *, list(m) OVER (PARTITION BY camera_id ORDER BY frame_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM f),
 v AS (SELECT *, list_sort(list_transform(list_distinct(s), lambda x: {{'votes': -len(list_filter(s, lambda y: y = x)), 'p': list_position(s, x), 'm': x}}))[1] AS b FROM w),
 e AS (SELECT *, CASE WHEN len(s) >= 5 AND b.votes <= -3 THEN b.m END AS elected FROM v)
 SELECT det_id, coalesce(last_value(elected IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY frame_no
- ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'balanced') AS mode FROM e""")
-def a29(spark, d):
+ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'balanced') AS mode FROM e"""
+
+
+def recommendations(spark, d):
+    """What the frame rate of each frame recommends."""
     fps = F.round(F.col("fps") * SCALE, 6) * (1 + F.col("det_id") % 3)
-    f = _rolling(spark, d).withColumn("recommended", tm.recommended_mode(fps))
-    return tm.mode_votes(f).select("det_id", "mode")
+    return _rolling(spark, d).withColumn("recommended", tm.recommended_mode(fps))
+
+
+@query("A29_T10_mode_votes", MODES)
+def a29(spark, d):
+    return tm.mode_votes(recommendations(spark, d)).select("det_id", "mode")
 
 
 @query("W15_skip_flags", f"""

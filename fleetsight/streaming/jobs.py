@@ -18,6 +18,7 @@ from fleetsight.functions.scalar import micros
 from fleetsight.operators import objects as store
 from fleetsight.operators.depth import edges
 from fleetsight.session import scratch
+from fleetsight.streaming.ordered import frames
 
 LATE = "10 seconds"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,30 +80,51 @@ def last_batch(spark: SparkSession, base: str) -> DataFrame:
 
 
 def run_complete(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
-    """A bounded run whose result has all windows and sessions, the last ones too."""
+    """A bounded run whose result has all groups of an aggregation without event time."""
     return last_batch(df.sparkSession, each_batch(df, name, lambda b, n, base: b, "complete", at))
 
 
+def stateful(spark: SparkSession) -> None:
+    """The state store that keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def run_closed(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], name: str, at: str | None = None,
+               end: bool = True, close_at: str = "2200-01-01") -> DataFrame:
+    """Run ``plan`` on a stream in append mode, so that state holds only what is still open, and return what it wrote.
+
+    With ``end`` one row far in the future follows the data: the watermark passes every window, session and timer, and
+    all of them are written.  Without it the run goes on later from the same folder ``at``.
+    """
+    spark = stream.sparkSession
+    base = at or scratch(spark, name)
+    stateful(spark)
+    mark = f"{base}/end"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(mark)
+    both = lambda: plan(stream.unionByName(spark.readStream.schema(stream.schema).parquet(mark)))
+    out = run_to_end(both(), name, at=base)
+    if end:
+        row = [F.lit(close_at).cast(t).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in stream.dtypes]
+        spark.range(1).select(*row).write.mode("append").parquet(mark)
+        out = run_to_end(both(), name, at=base)
+    return out
+
+
 def frame_edges(pixels: DataFrame, width: int, height: int, name: str = "edges", at: str | None = None) -> DataFrame:
-    """Edge pixels of frames whose pixels may come in several files.
+    """Edge pixels of frames whose pixels (``frame_key, ts, v, u, depth_raw``) may come in several files.
 
-    The pixels seen so far are the state: every micro-batch stores its rows, and a frame is computed
-    from all its rows in the batch that completes it.
+    Pixels wait as state of their frame and leave it when the frame is complete, so a micro-batch computes the frames it
+    completes and never reads an earlier one.
     """
     spark = pixels.sparkSession
+    stateful(spark)
+    whole = frames(pixels.select("frame_key", "ts", "v", "u", F.col("depth_raw").alias("x")), width, height)
 
     def work(batch: DataFrame, number: int, base: str) -> DataFrame:
-        batch.write.mode("overwrite").parquet(f"{base}/seen/batch={number}")
-        seen = spark.read.parquet(f"{base}/seen").filter(F.col("batch") <= number).drop("batch")
-        touched = spark.read.parquet(f"{base}/seen/batch={number}").select("frame_key").distinct()
-        full = (seen.join(touched, "frame_key", "left_semi").groupBy("frame_key").agg(
-            F.count_distinct("v", "u").alias("n")).filter(F.col("n") == width * height).select("frame_key"))
-        found = edges(seen.join(full, "frame_key", "left_semi").dropDuplicates(["frame_key", "v", "u"]), height)
-        return found.groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
-
-    base = each_batch(pixels, name, work, at=at)
-    every = spark.read.parquet(f"{base}/out")
-    return every.groupBy("frame_key").agg(F.max_by("edge_pixels", "batch").alias("edge_pixels"))
+        rows = batch.filter("complete").select("frame_key", "v", F.posexplode("x").alias("u", "depth_raw"))
+        return edges(rows, height).groupBy("frame_key").agg(F.count(F.lit(1)).alias("edge_pixels"))
+
+    return spark.read.parquet(f"{each_batch(whole, name, work, at=at)}/out").drop("batch")
 
 
 def upkeep(changes: DataFrame, start: DataFrame, name: str = "objects", at: str | None = None) -> DataFrame:
