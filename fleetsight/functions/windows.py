@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fleetsight.session import materialize
+
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                   amount: Column, name: str) -> DataFrame:
@@ -79,12 +81,12 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
-                     percents: dict[str, float]) -> DataFrame:
+                     percents: dict[str, float], few: int = 10_000) -> DataFrame:
     """Exact nearest-rank percentiles (0-based rank ``floor(n * p / 100)``, at most the last row).
 
     No key is sorted or collected as a whole: a sketch with a bounded error brackets each rank, values
-    are counted, everything below a bracket folds into one row, and only the distinct values inside
-    it are walked.
+    are counted, everything below a bracket folds into one row, and where a bracket still holds more than ``few``
+    distinct values, it is cut into bands of about equal size and the band of the rank is kept, until it is small.
     """
     keys = list(keys)
     error, slack = 10_000, 0.002
@@ -106,7 +108,28 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         F.sum("_c").alias("_c"))
     w = W.partitionBy(*keys, "stat").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         W.unboundedPreceding, 0)
+    folded = _narrowed(folded, [*keys, "stat"], few)
     hit = folded.withColumn("_end", F.sum("_c").over(w)).filter(
         F.col("_v").isNotNull() & (F.col("_end") > F.col("rank")))
     return hit.groupBy(*keys).agg(*[
         F.min(F.when(F.col("stat") == n, F.col("_v"))).alias(n) for n in percents])
+
+
+def _narrowed(folded: DataFrame, keys: list[str], few: int, bands: int = 64) -> DataFrame:
+    """Counted values (``_v``, ``_c``; a null value stands for all below) of which each key keeps the band that holds its
+    ``rank``, until no key has more than ``few`` values.  What lies below is subtracted from the rank."""
+    asked = F.array(*[F.lit(i / bands) for i in range(1, bands)])
+    while True:
+        folded = materialize(folded, "ranks")
+        cuts = materialize(folded.groupBy(*keys).agg(F.count("_v").alias("_m"), F.percentile_approx(
+            "_v", asked, F.lit(10_000)).alias("_q")).filter(F.col("_m") > few).drop("_m"), "bands")
+        if cuts.isEmpty():
+            return folded
+        band = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_q", lambda x: x < F.col("_v"))))
+        cut = folded.join(cuts, keys).withColumn("_band", band).drop("_q")
+        sums = cut.groupBy(*keys, "rank", "_band").agg(F.sum("_c").alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, 0))
+        there = sums.withColumn("_end", upto).filter((F.col("_end") > F.col("rank")) & (F.col("_end") - F.col("_n") <= F.col("rank")))
+        kept = cut.join(there.select(*keys, "_band", (F.col("_end") - F.col("_n")).alias("_less")), [*keys, "_band"])
+        folded = folded.join(cuts.select(*keys), keys, "left_anti").unionByName(
+            kept.withColumn("rank", F.col("rank") - F.col("_less")).select(*folded.columns))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.functions.scalar import age_seconds
+from fleetsight.operators.ranks import lowest, rank_slice
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str = "id",
@@ -63,7 +64,7 @@ def page(df: DataFrame, number: int, size: int, sort: str = "last_seen",
     if min_confidence is not None:
         d = d.filter(F.col("confidence") >= min_confidence)
     total = d.agg(F.count(F.lit(1)).alias("total"))
-    rows = d.orderBy(F.desc(sort), F.asc("id")).offset((number - 1) * size).limit(size)
+    rows = rank_slice(d, sort, (number - 1) * size, size, descending=True)
     return rows.withColumn("total", total.scalar()).withColumn(
         "pages", F.ceil(F.col("total") / size).cast("long"))
 
@@ -81,6 +82,5 @@ def evictable(entries: DataFrame, capacity: int, total: int | None = None, used:
     n = entries.count() if total is None else total
     if n <= capacity:
         return entries.limit(0)
-    return (entries.filter("synced").orderBy(F.asc(used), F.asc("entry_id"))
-            .limit(max(1, int(capacity * fraction))))
+    return lowest(entries.filter("synced"), used, max(1, int(capacity * fraction)), "entry_id")
 

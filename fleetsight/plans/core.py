@@ -8,8 +8,10 @@ from fleetsight.functions.scalar import (csv_longs, csv_text, from_iso, human_by
                                          human_percent, instant, iso_text, micros, age_seconds)
 from fleetsight.functions.windows import row_numbers
 from fleetsight.operators import objects as store, routing
+from fleetsight.operators.ranks import rank_slice
 from fleetsight.plans.registry import query
-from fleetsight.sources import derive as src
+from fleetsight.session import scratch
+from fleetsight.sources import buckets, derive as src
 
 AS_OF = "2024-01-30 12:00:00"
 AREA = "(x2 - x1) * (y2 - y1)"
@@ -173,7 +175,7 @@ def f04(spark, d):
 SELECT id, epoch_us(last_seen) AS last_seen FROM objects ORDER BY objects.last_seen DESC, id LIMIT 20 OFFSET 5""")
 def l01(spark, d):
     o = src.objects(spark, d)
-    return o.orderBy(F.desc("last_seen"), F.asc("id")).offset(5).limit(20).select(
+    return rank_slice(o, "last_seen", 5, 20, descending=True).select(
         "id", _us("last_seen"))
 
 
@@ -205,7 +207,11 @@ SELECT id, CASE WHEN camera_id = 'cam_2' THEN round(confidence / 2, 6) ELSE roun
  epoch_us(created_at) AS created_at,
  epoch_us(updated_at) + CASE WHEN camera_id = 'cam_2' THEN 3600000000 ELSE 0 END AS updated_at FROM objects""")
 def s01(spark, d):
-    return store.upsert(src.objects(spark, d), _changes(spark, d)).select(
+    current = src.objects(spark, d)
+    path = scratch(spark, "objects")
+    buckets.create(current, path)
+    buckets.save(_changes(spark, d), path)
+    return buckets.read(spark, path, current).select(
         "id", F.round("confidence", 6).alias("confidence"), _us("created_at"), _us("updated_at"))
 
 
@@ -215,7 +221,10 @@ SELECT object_id, count(*) AS points, round(sum(x), 4) AS sum_x FROM (
 def s02(spark, d):
     t = src.trajectory_points(spark, d)
     again = t.filter(F.col("camera_id") == "cam_0")
-    return store.append_trajectory(t, again).groupBy("object_id").agg(
+    path = scratch(spark, "points")
+    buckets.append_points(t, path)
+    buckets.append_points(again, path)
+    return buckets.read(spark, path, t).groupBy("object_id").agg(
         F.count(F.lit(1)).alias("points"), F.round(F.sum("x"), 4).alias("sum_x"))
 
 

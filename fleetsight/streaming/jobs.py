@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetsight.functions.scalar import micros
-from fleetsight.operators import objects as store
 from fleetsight.operators.depth import edges
 from fleetsight.session import scratch
+from fleetsight.sources import buckets
 from fleetsight.streaming.ordered import frames
 
 LATE = "10 seconds"
@@ -127,16 +127,23 @@ def frame_edges(pixels: DataFrame, width: int, height: int, name: str = "edges",
     return spark.read.parquet(f"{each_batch(whole, name, work, at=at)}/out").drop("batch")
 
 
-def upkeep(changes: DataFrame, start: DataFrame, name: str = "objects", at: str | None = None) -> DataFrame:
-    """Object snapshot after a stream of changes: each micro-batch is merged into the snapshot before it."""
+def upkeep(changes: DataFrame, start: DataFrame, name: str = "objects", at: str | None = None,
+           number: int = buckets.BUCKETS) -> DataFrame:
+    """Objects after a stream of changes: each micro-batch is saved into the buckets it touches.
+
+    A micro-batch that is run again saves the same versions, so the table is right after any restart.
+    """
     spark = changes.sparkSession
+    base = at or scratch(spark, name)
+    if not buckets.exists(spark, f"{base}/table"):
+        buckets.create(start, f"{base}/table", buckets=number)
 
-    def work(batch: DataFrame, number: int, base: str) -> DataFrame:
-        before = [n for n in written(spark, f"{base}/out") if n < number]
-        current = spark.read.parquet(f"{base}/out/batch={before[-1]}") if before else start
-        return store.upsert(current, batch)
+    def write(batch: DataFrame, _: int) -> None:
+        buckets.save(batch, f"{base}/table", buckets=number)
 
-    return last_batch(spark, each_batch(changes, name, work, at=at))
+    (changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/cp").trigger(availableNow=True)
+     .start().awaitTermination())
+    return buckets.read(spark, f"{base}/table", start)
 
 
 def frame_masks(events: DataFrame, per_frame: int) -> DataFrame:
