@@ -362,11 +362,12 @@ def v22(spark, d):
 
 @query("V35_mask_postprocess")
 def v35(spark, d):
-    """Decode anchors, suppress, build masks, filter by area and add the depth."""
+    """Suppress boxes, build masks, filter by area and add the depth.  Frames are small here, so the lower area limit
+    is lower than usual."""
     det, protos = _proto_inputs(spark, d)
     kept = keep_best_boxes(det.filter("confidence > 0.25"), ["frame_key"], "mask_id", 0.5)
     px = at.prototype_masks(kept, protos).select("frame_key", "mask_id", "v", "u")
-    size = mk.shape(px).filter(F.col("area").between(20, 100000))
+    size = mk.shape(px).filter(F.col("area").between(20, mk.MAX_AREA))
     depth = mk.depth_stats(px, src.pixels(spark, d)).select("mask_id", "median_m")
     return size.join(depth, "mask_id", "left").join(kept.select("mask_id", "confidence"), "mask_id")
 

@@ -98,8 +98,8 @@ def j06(spark, d):
     return _out(hit, "query_id", "entry_id", "match_type")
 
 
-def _object_match(q, k, same, cross):
-    return _pairs(q=q) + f""", kept AS (SELECT entry_id FROM (SELECT entry_id, row_number() OVER (PARTITION BY object_id
+def _object_match(q, k, same, cross, g="gallery"):
+    return _pairs(q=q, g=g) + f""", kept AS (SELECT entry_id FROM (SELECT entry_id, row_number() OVER (PARTITION BY object_id
  ORDER BY ts DESC, entry_id DESC) AS n FROM g) WHERE n <= 10),
 cam AS (SELECT object_id, arg_max(camera_id, (ts, entry_id)) AS cam FROM g GROUP BY 1),
 o AS (SELECT query_id, object_id, query_camera, min(cos_dist) AS d FROM p JOIN kept USING (entry_id) GROUP BY ALL),
@@ -118,12 +118,17 @@ def j07(spark, d):
     return _sim(idn.match_object(q, g, 5, WIDE_COS + 0.02, WIDE_COS))
 
 
-@query("J08_new_objects", """WITH hits AS (""" + _object_match("gallery_queries", 5, WIDE_COS + 0.02, WIDE_COS) + """)
+SURE = """(SELECT * FROM gallery WHERE object_id NOT IN (SELECT 'obj_' || id FROM objects WHERE classification_status = 'needs_review'))"""
+
+
+@query("J08_new_objects", """WITH hits AS (""" + _object_match("gallery_queries", 1, 0.3, 0.25, SURE) + """)
 SELECT query_id, camera_id FROM gallery_queries WHERE query_id NOT IN (SELECT query_id FROM hits)""")
 def j08(spark, d):
+    """Queries without a match in a gallery from which uncertain objects were removed."""
     q, g = _inputs(spark, d)
-    m = idn.match_object(q, g, 1, WIDE_COS + 0.02, WIDE_COS)
-    return idn.new_objects(q, m).select("query_id", "camera_id")
+    gone = src.objects(spark, d).filter(F.col("classification_status") == "needs_review").select(
+        F.concat(F.lit("obj_"), F.col("id")).alias("object_id"))
+    return idn.new_objects(q, idn.match_object(q, idn.remove_objects(g, gone), 1, 0.3, 0.25)).select("query_id", "camera_id")
 
 
 @query("J09_best_object", _object_match("jittered_queries", 1, 0.3, 0.25))
@@ -133,7 +138,7 @@ def j09(spark, d):
 
 @query("J21_hit_metadata", _pairs() + """
 SELECT query_id, entry_id, o.id AS stored_object, round(dist, 4) AS dist FROM r
-JOIN objects o ON o.id = (entry_id // 2)::VARCHAR WHERE rank <= 5""")
+JOIN objects o ON o.id = (entry_id // 2)::VARCHAR AND entry_id % 2 = 0 WHERE rank <= 5""")
 def j21(spark, d):
     q, g = _inputs(spark, d)
     meta = src.objects(spark, d).select((F.col("id").cast("long") * 2).alias("entry_id"),

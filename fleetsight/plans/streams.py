@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalar import micros
-from fleetsight.operators import routing
+from fleetsight.operators import identity as idn, routing
 from fleetsight.plans.core import STATUS
 from fleetsight.plans.points import SOBEL
 from fleetsight.plans.registry import query
@@ -183,23 +183,33 @@ def s06(spark, d):
     return spark.read.parquet(path).groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S07_gallery_files", "SELECT camera_id, count(*) AS n, count(DISTINCT object_id) AS objects FROM gallery GROUP BY 1")
+@query("S07_gallery_files", """
+SELECT entry_id, object_id, camera_id, round(embedding[1], 4) AS e1, len(embedding)::INTEGER AS dim FROM gallery
+WHERE object_id NOT IN (SELECT 'obj_' || id FROM objects WHERE classification_status = 'needs_review')""")
 def s07(spark, d):
+    """A gallery saved without the entries of removed objects and loaded again, entry by entry."""
     path = scratch(prepare(spark), "gallery")
-    io.write_gallery(src.gallery(spark, d), path, "json")
-    return io.read_gallery(spark, path, "json").groupBy("camera_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("object_id").alias("objects"))
+    io.write_gallery(idn.remove_objects(src.gallery(spark, d), _unsure(spark, d)), path, "json")
+    return io.read_gallery(spark, path, "json").select(
+        "entry_id", "object_id", "camera_id", F.round(F.get("embedding", 0), 4).alias("e1"), F.size("embedding").alias("dim"))
+
+
+def _unsure(spark, d):
+    return src.objects(spark, d).filter(F.col("classification_status") == "needs_review").select(
+        F.concat(F.lit("obj_"), F.col("id")).alias("object_id"))
 
 
 @query("S08_load_with_fallback", """
-SELECT origin, count(*) AS n FROM (SELECT 'index' AS origin FROM gallery UNION ALL SELECT 'objects' FROM embeddings WHERE vec_id % 2 = 1
- AND 'obj_' || (vec_id // 4) NOT IN (SELECT object_id FROM gallery WHERE entry_id % 4 = 0 AND false)
- AND 'obj_' || (vec_id // 4) || 'x' NOT IN (SELECT object_id FROM gallery)) GROUP BY 1""")
+WITH n AS (SELECT object_id, arg_max(embedding[1], entry_id) AS e FROM gallery GROUP BY 1),
+u AS (SELECT 'obj_' || id AS object_id FROM objects WHERE classification_status = 'needs_review')
+SELECT object_id, 'index' AS origin, round(embedding[1], 4) AS e1 FROM gallery WHERE object_id NOT IN (FROM u)
+UNION ALL SELECT object_id, 'objects', round(e, 4) FROM n WHERE object_id IN (FROM u)""")
 def s08(spark, d):
+    """All entries of a stored index; objects that it does not hold come from their own newest embedding."""
     g = src.gallery(spark, d)
-    o = src.gallery_queries(spark, d).select(F.concat("object_id", F.lit("x")).alias("id"),
-                                             F.col("embedding").alias("reid_embedding"))
-    return io.load_embeddings(g, o).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    o = idn.newest_embedding(g).select(F.col("object_id").alias("id"), F.col("embedding").alias("reid_embedding"))
+    every = io.load_embeddings(idn.remove_objects(g, _unsure(spark, d)), o)
+    return every.select("object_id", "origin", F.round(F.get("embedding", 0), 4).alias("e1"))
 
 
 @query("S10_feedback_files", """
@@ -232,17 +242,17 @@ def s12(spark, d):
 
 
 @query("S14_A03_queue_files", """
-SELECT status, count(*) AS n, (SELECT sum(strlen(coalesce(image_path, '')) + 1) FROM review_queue)::BIGINT AS bytes, 0::BIGINT AS old_files
+SELECT status, count(*) AS n, (SELECT sum(strlen(coalesce(image_path, '')) + 1) FROM review_queue)::BIGINT AS bytes, 4::BIGINT AS old_files
 FROM review_queue GROUP BY 1""")
 def s14(spark, d):
-    """Review counts next to the size of the stored crops (here: one line of text per queued crop)."""
+    """Review counts next to the size of the stored crops (here: one line of text per queued crop in four files)."""
     path = scratch(prepare(spark), "crops")
     q = src.review_queue(spark, d)
-    q.select(F.coalesce("image_path", F.lit("")).alias("value")).write.text(path)
+    q.select(F.coalesce("image_path", F.lit("")).alias("value")).repartition(4).write.text(path)
     files = io.crop_inventory(spark, path)
     size = io.crop_bytes(files)
     counts = q.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    old = io.old_crops(files, F.lit("2000-01-01 00:00:00").cast("timestamp")).agg(F.count(F.lit(1)))
+    old = io.old_crops(files, F.lit("2200-01-01 00:00:00").cast("timestamp")).agg(F.count(F.lit(1)))
     return counts.withColumn("bytes", size.select("bytes").scalar()).withColumn(
         "old_files", old.scalar())
 
