@@ -25,12 +25,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def _write(df: DataFrame, path: str, parts: list[str], mode: str) -> None:
-    (df.repartition(*parts).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+def _write(df: DataFrame, path: str, parts: list[str], mode: str, which: str = "dynamic") -> None:
+    (df.repartition(*parts).write.mode(mode).option("partitionOverwriteMode", which).partitionBy(*parts).parquet(path))
 
 
 def create(df: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS) -> None:
-    _write(df.withColumn("bucket", bucket(key, buckets)), path, ["bucket"], "overwrite")
+    """Write a table anew.  Its mark of success, which ``exists`` looks for, comes last."""
+    _write(df.withColumn("bucket", bucket(key, buckets)), path, ["bucket"], "overwrite", "static")
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ def _objects(spark, ids, x, at):
 def test_a_save_writes_only_the_buckets_it_touches(spark, tmp_path):
     path = str(tmp_path / "t")
     first = _objects(spark, range(500), 1, 10)
+    assert not buckets.exists(spark, path)
     buckets.create(first, path, buckets=16)
+    assert buckets.exists(spark, path)
     before = _files(path)
     hit = buckets.save(_objects(spark, [7], 2, 20), path, buckets=16)
     after = _files(path)
