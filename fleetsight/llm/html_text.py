@@ -18,6 +18,7 @@ judged alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -48,6 +49,8 @@ BESIDE = frozenset("""ad ads advert adverts advertisement sponsor sponsored prom
     breadcrumbs sidebar aside footer comment comments disqus reply replies respond cookie cookies consent notice gdpr
     popup modal newsletter subscribe signup login search share sharing social related recommended toolbar pagination pager
     complementary contentinfo dialog alert masthead topbar skip""".split())
+#: Those of them that mark what readers write; an article element in such a block is a comment.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 CONTAINERS = frozenset("article main section div body".split())
 
 
@@ -59,7 +62,15 @@ class Line:
     heading: bool
     text: list[str] = field(default_factory=list)
     tags: int = 0
-    beside: tuple = ()            # numbers of the blocks around it that look to be beside the article
+    beside: int = -1               # number of the innermost block around it that looks to be beside the article
+
+
+@dataclass
+class Beside:
+    """A block whose name says that it stands beside the article."""
+    around: int                    # number of the next such block around it, always a smaller one; -1 without
+    comments: bool                 # it or one around it holds comments
+    holds: bool = False            # it holds what only the article's surroundings hold
 
 
 class Lines(HTMLParser):
@@ -67,19 +78,21 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int, tuple]] = []    # name, silent, in article, container, blocks beside
-        self.held: list[bool] = []                           # whether a block beside holds an article
+        self.open: list[tuple[str, bool, bool, int, int]] = []    # name, silent, in article, container, block beside
+        self.opened: Counter = Counter()                     # open elements by name
+        self.named: list[Beside] = []
         self.lines: list[Line] = []
         self.homes = 0
         self._next()
 
     def _next(self) -> None:
-        name, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, ())
+        name, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, -1)
         self.line = Line(home, article, silent, any(o[0] in ("h1", "h2", "h3") for o in self.open[-3:]), beside=around)
         self.lines.append(self.line)
 
     def _leave(self, at: int) -> None:
-        block = any(o[0] in BLOCKS or o[1] or o[4] for o in self.open[at:])
+        block = any(o[0] in BLOCKS or o[1] or o[4] >= 0 for o in self.open[at:])
+        self.opened.subtract(o[0] for o in self.open[at:])
         del self.open[at:]
         if block:
             self._next()
@@ -93,7 +106,7 @@ class Lines(HTMLParser):
         return -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("body", "html") and any(o[0] == tag for o in self.open):
+        if tag in ("body", "html") and self.opened[tag]:
             return
         if tag == "body":
             self._leave(next((i for i, o in enumerate(self.open) if o[0] == "head"), len(self.open)))
@@ -102,13 +115,15 @@ class Lines(HTMLParser):
         for name, by in ENDS.items():
             if tag in by and (at := self._last((name,), ("ul", "ol", "dl", "table", "select"))) >= 0:
                 self._leave(at)
-        _, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, ())
-        article = article or tag in ("article", "main") or ("role", "main") in attrs
+        _, silent, article, home, around = self.open[-1] if self.open else ("", False, False, 0, -1)
+        comments = around >= 0 and self.named[around].comments
+        article = article or tag == "main" or ("role", "main") in attrs or (tag == "article" and not comments)
         beside = tag in SILENT or (tag == "header" and not article) or _hidden(attrs)
-        if not (silent or beside) and (tag in ("article", "main", "h1") or ("role", "main") in attrs):
-            for i in around:
-                self.held[i] = True
-        named = tag == "form" or (tag not in ("html", "body", "article", "main", "p", "h1", "h2") and _beside(attrs))
+        if around >= 0 and not (silent or beside) and (tag in ("main", "h1") or ("role", "main") in attrs or (
+                tag == "article" and not comments)):
+            self.named[around].holds = True
+        words = set() if tag in ("html", "body", "article", "main", "h1", "h2") else _beside(attrs)
+        named = tag == "form" or bool(words)
         if tag in CONTAINERS:
             self.homes += 1
             home = self.homes
@@ -118,8 +133,9 @@ class Lines(HTMLParser):
             self.line.tags += 1
             return
         if named:
-            around = (*around, len(self.held))
-            self.held.append(False)
+            self.named.append(Beside(around, comments or not COMMENTS.isdisjoint(words)))
+            around = len(self.named) - 1
+        self.opened[tag] += 1
         self.open.append((tag, silent or beside, article, home, around))
         if tag in BLOCKS or beside or named:
             self._next()
@@ -134,6 +150,8 @@ class Lines(HTMLParser):
         self.line.tags += 1
         if tag == "br":
             self._next()
+        if not self.opened[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._leave(i)
@@ -155,12 +173,35 @@ class Lines(HTMLParser):
         return bool(self.open) and self.open[-1][0] in RAW
 
 
-def _beside(attrs: list) -> bool:
+def _beside(attrs: list) -> set[str]:
+    """Words of class, id and role that mark a block beside the article."""
+    found = set()
     for name, value in attrs:
         for token in value.lower().split() if name in ("class", "id", "role") and value else ():
-            if token in BESIDE or re.split(r"[^a-z]+", token.rstrip("0123456789-_"))[-1] in BESIDE:
-                return True
-    return False
+            found |= {token, re.split(r"[^a-z]+", token.rstrip("0123456789-_"))[-1]} & BESIDE
+    return found
+
+
+def _silence(lines: list[Line], texts: list[str], named: list[Beside]) -> None:
+    """Silence the lines of blocks beside the article.  A block stays if it holds an article, main or h1 or
+    most of the characters; one of comments only if it holds main or h1."""
+    inside = [0] * len(named)
+    most = 0
+    for line, text in zip(lines, texts):
+        if not line.silent:
+            most += len(text)
+            if line.beside >= 0:
+                inside[line.beside] += len(text)
+    for i in range(len(named) - 1, -1, -1):
+        up = named[i].around
+        if up >= 0:
+            inside[up] += inside[i]
+            named[up].holds |= named[i].holds
+    silent = [False] * len(named)
+    for i, b in enumerate(named):
+        silent[i] = (not b.holds and (b.comments or 2 * inside[i] <= most)) or (b.around >= 0 and silent[b.around])
+    for line in lines:
+        line.silent = line.silent or (line.beside >= 0 and silent[line.beside])
 
 
 def _hidden(attrs: list) -> bool:
@@ -202,13 +243,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
             lines.append((line, text))
     if not lines:
         return ""
-    inside = np.zeros(len(parser.held), np.int64)
-    for line, text in lines:
-        if not line.silent:
-            inside[list(line.beside)] += len(text)
-    most = sum(len(text) for line, text in lines if not line.silent)
-    for line, _ in lines:
-        line.silent = line.silent or any(not parser.held[i] and 2 * inside[i] <= most for i in line.beside)
+    _silence([line for line, _ in lines], [text for _, text in lines], parser.named)
     ratio = np.array([0.0 if line.silent else len(text) / max(1, line.tags) for line, text in lines])
     flat = smoothed(ratio, sigma)
     loud = np.array([not line.silent for line, _ in lines])
@@ -222,8 +257,11 @@ def main_text(html: str, sigma: float = 1.0) -> str:
         # An article element around content is the region.
         keep = [line.article and not line.silent for line, _ in lines]
     else:
-        homes = {line.home for (line, _), c in zip(lines, content) if c}
-        first, last = np.flatnonzero(content)[[0, -1]]
+        # Smoothing carries a long line's ratio to its neighbours; the region begins and ends at lines of its own ratio.
+        core = content & ((ratio > cut) | np.array([line.heading for line, _ in lines]))
+        core = core if core.any() else content
+        homes = {line.home for (line, _), c in zip(lines, core) if c}
+        first, last = np.flatnonzero(core)[[0, -1]]
         keep = [not line.silent and (first <= i <= last or line.home in homes) for i, (line, _) in enumerate(lines)]
     return " ".join(text for (_, text), k in zip(lines, keep) if k)
 
