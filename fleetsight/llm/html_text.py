@@ -98,6 +98,8 @@ class Lines(HTMLParser):
             self._next()
 
     def _last(self, names, within=CONTAINERS) -> int:
+        if not any(self.opened[n] for n in names):
+            return -1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in names:
                 return i
