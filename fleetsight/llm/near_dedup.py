@@ -1,12 +1,15 @@
 """Near duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Texts with equal shingle sets are one class, whose smallest document stands for it.  A tree puts
-classes that agree in a few MinHash values into one region.  A region is searched as it is while it
-is small; its rows whose sketches agree enough become candidates, as a spanning forest: never all
-pairs.  Regions are counted in Spark.  Rows of a crowded one meet its most typical row, and where
-that leaves rows over, all rows of the region go on to the next of ``LEVELS``, with more values
-in a region and as many more trees as these need.  Regions that are crowded at the last level are
-compared whole, what the typical row leaves over with all rows, in tiles of bounded size.
+Texts with equal shingle sets are one class, whose smallest document stands for it.  Each tree has
+its own order of the MinHash values, and a class's label in it is its values in that order.  The rows
+of a tree are dealt by ranges of labels and sorted; rows whose labels begin alike are a region, and
+lie together.  A region is as deep as it has to be: it is searched where ``LEVELS[0]`` common values
+leave it small, label neighbours (the longest common beginnings) first and then the parts that these
+leave, as a spanning forest: never all pairs.  Regions are counted in Spark.  Rows of a crowded one
+meet its most typical row, and where that leaves rows over, all rows of the region go on along their
+labels to the next of ``LEVELS``, in as many more trees as a longer common beginning needs.  Regions
+that are crowded at full depth are compared whole, what the typical row leaves over with all rows, in
+tiles of bounded size.
 
 Candidate components then get their full sets, once each.  Sets of a component are compared
 exactly, by breadth first search over true links, so that links inside a connected part are never
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -42,6 +46,8 @@ from fleetsight.session import materialize
 
 VALUES, TREES = 128, 16
 LEVELS = (3, 5, 8)
+DEPTH = VALUES // TREES
+LABEL = 1 + 2 * DEPTH
 SKETCH = 64
 SAMPLE = 256
 REGION = 4096
@@ -113,33 +119,53 @@ def sketch_agreement(similar: float, miss: float = 1e-5) -> int:
     return SKETCH
 
 
+@lru_cache(maxsize=1)
+def orders() -> np.ndarray:
+    """The signature values that make the label of a row in each tree, in their order; those of the first
+    ``TREES`` share none."""
+    rng = np.random.default_rng(31)
+    more = [rng.choice(VALUES, DEPTH, replace=False) for _ in range(trees_needed(DEPTH) - TREES)]
+    return np.concatenate([np.arange(VALUES).reshape(TREES, DEPTH), more])
+
+
 def tree_columns(level: int) -> list[np.ndarray]:
-    """The signature values of each tree of a level; those of the first level share none."""
-    if level == 0:
-        return [np.arange(LEVELS[0]) + t * (VALUES // TREES) for t in range(TREES)]
-    rng = np.random.default_rng(31 + level)
-    return [rng.choice(VALUES, LEVELS[level], replace=False) for _ in range(trees_needed(LEVELS[level]))]
+    """The beginnings of the labels that a region of this level shares, one for each tree in use."""
+    trees = TREES if level == 0 else trees_needed(LEVELS[level])
+    return [order[:LEVELS[level]] for order in orders()[:trees]]
+
+
+def _prefix(level: int) -> int:
+    """Bytes of a label that the rows of a region share: the tree's number and ``LEVELS[level]`` values."""
+    return 1 + 2 * LEVELS[level]
 
 
 def _tree_rows(level: int, with_sketch: bool = True):
-    """One row per class and tree: region, class, sketch; or the regions alone."""
-    columns = tree_columns(level)
+    """One row per class and tree: label, region (its beginning), class, sketch; or the regions alone.
+    Values are written with the high byte first, so that labels sort as their values do."""
+    trees = len(tree_columns(level))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
             sketch = np.ascontiguousarray((sig[:, ::VALUES // SKETCH] & 0xFF).astype(np.uint8))
-            sketches = pa.array([s.tobytes() for s in sketch], pa.binary()) if with_sketch else None
-            for t, chosen in enumerate(columns):
-                region = np.full(len(sig), t + 1, np.uint64)
-                for d in chosen:
-                    region = B.mixed(region ^ sig[:, d].astype(np.uint64))
-                region = region.view(np.int64)
-                yield batch(region=region, node=b.column("node"), sketch=sketches) if with_sketch else batch(region=region)
+            sketches = _binary(sketch) if with_sketch else None
+            for t, order in enumerate(orders()[:trees]):
+                label = np.full((len(sig), LABEL), t, np.uint8)
+                label[:, 1:] = np.ascontiguousarray(sig[:, order], ">u2").view(np.uint8)
+                region = _binary(label[:, :_prefix(level)])
+                yield batch(region=region, label=_binary(label), node=b.column("node"), sketch=sketches) if with_sketch \
+                    else batch(region=region)
 
     return work
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column."""
+    n, width = rows.shape
+    offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 class Forest:
     """Links between rows, kept only where they join two parts."""
 
@@ -175,12 +201,27 @@ def _search(rows: np.ndarray, sketch: np.ndarray, enough: int, forest: Forest) -
             left = left[~near]
 
 
-def _candidates(enough: int):
-    """Candidates of regions (or tiles) of bounded size."""
+def _numbered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by label, with the number of their region: a run of labels that agree in ``width`` bytes."""
+    last, n = None, 0
+    for b in batches:
+        if b.num_rows:
+            labels = _bytes(b.column("label"), LABEL)[:, :width]
+            new = np.ones(len(labels), np.int64)
+            new[1:] = (labels[1:] != labels[:-1]).any(1)
+            new[0] = last is None or (labels[0] != last).any()
+            number = n + np.cumsum(new)
+            last, n = labels[-1], int(number[-1])
+            yield batch(region=number, node=b.column("node"), sketch=b.column("sketch"))
+
+
+def _candidates(enough: int, width: int = 0):
+    """Candidates of regions (or tiles) of bounded size.  In a region, the neighbours in the order of the labels,
+    which have the longest common beginnings, meet first; then the parts that these leave."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in P.complete_runs(batches, "region"):
+        for b in P.complete_runs(_numbered(batches, width) if width else batches, "region"):
             region, node = np.asarray(b.column("region")), np.asarray(b.column("node"))
-            sketch = _sketches(b.column("sketch"))
+            sketch = _bytes(b.column("sketch"), SKETCH)
             forest = Forest()
             ends = np.append(np.flatnonzero(region[1:] != region[:-1]) + 1, len(region))
             size = np.diff(np.concatenate([[0], ends]))
@@ -201,14 +242,16 @@ def _candidates(enough: int):
     return work
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A column of values of this many bytes as rows of an array."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(-1, width)
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The most typical row of a sample of each region."""
     for b in P.complete_runs(batches, "region"):
-        sketch, found = _sketches(b.column("sketch")), []
+        sketch, found = _bytes(b.column("sketch"), SKETCH), []
         for s, e in P.runs(np.asarray(b.column("region"))):
             typical = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[s:e].T], np.uint8)
             found.append(s + int((sketch[s:e] == typical).sum(1).argmax()))
@@ -220,7 +263,7 @@ def _beside_hub(enough: int):
     """Which rows are candidates of the hub beside them."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = (_sketches(b.column("sketch")) == _sketches(b.column("hub_sketch"))).sum(1) >= enough
+            near = (_bytes(b.column("sketch"), SKETCH) == _bytes(b.column("hub_sketch"), SKETCH)).sum(1) >= enough
             yield batch(region=b.column("region"), node=b.column("node"), hub=b.column("hub"), near=pa.array(near))
 
     return work
@@ -234,7 +277,7 @@ def _in_tiles(hot: DataFrame, rest: DataFrame, enough: int, most: int) -> DataFr
     """Candidates between the rows of ``rest`` and all rows of their regions, in blocks."""
     half = max(1, most // 2)
     n_rest = rest.groupBy("region").agg(F.ceil(F.count("*") / half).alias("parts"))
-    rows = (hot.join(F.broadcast(n_rest), "region").withColumn("blocks", F.ceil(F.col("count") / half)))
+    rows = hot.join(n_rest, "region").withColumn("blocks", F.ceil(F.col("count") / half))
     left = (rows.join(rest.select("region", "node"), ["region", "node"], "left_semi")
             .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).withColumn("block", _salts("blocks")))
     right = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", _salts("parts"))
@@ -247,22 +290,24 @@ def candidate_links(nodes: DataFrame, enough: int, most: int) -> DataFrame:
     """(a, b): a spanning forest of the candidates among classes (node, signature)."""
     found = None
     for level in range(len(LEVELS)):
-        rows = scan(nodes, _tree_rows(level), "region long, node long, sketch binary")
-        crowded = materialize(scan(nodes, _tree_rows(level, False), "region long").groupBy("region").count()
+        rows = scan(nodes, _tree_rows(level), "region binary, label binary, node long, sketch binary")
+        crowded = materialize(scan(nodes, _tree_rows(level, False), "region binary").groupBy("region").count()
                               .where(F.col("count") > most), "crowded_regions")
         calm = crowded.isEmpty()
-        fit = rows if calm else rows.join(F.broadcast(crowded), "region", "left_anti")
-        links = materialize(scan(fit.repartition("region").sortWithinPartitions("region", "node"), _candidates(enough),
-                                 "a long, b long"), "candidates")
+        fit = rows if calm else rows.join(crowded, "region", "left_anti")
+        in_order = fit.repartitionByRange("region").select("label", "node", "sketch").sortWithinPartitions("label", "node")
+        links = materialize(scan(in_order, _candidates(enough, _prefix(level)), "a long, b long"), "candidates")
         found = links if found is None else found.unionByName(links)
         if calm:
             break
-        hot = materialize(rows.join(F.broadcast(crowded), "region"), "hot_rows")
+        crowded = crowded.select(F.col("region").alias("prefix"), F.xxhash64("region").alias("region"), "count")
+        hot = materialize(rows.withColumnRenamed("region", "prefix").join(crowded, "prefix")
+                          .select("region", "node", "sketch", "count"), "hot_rows")
         some = hot.where(F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("count") / SAMPLE)) == 0)
         hubs = scan(some.select("region", "node", "sketch").repartition("region").sortWithinPartitions("region", "node"), _hubs,
                     "region long, hub long, hub_sketch binary")
         blocks = F.ceil(F.col("count") / most)
-        spread = hubs.join(crowded, "region").withColumn("blocks", blocks).withColumn("salt", _salts("blocks"))
+        spread = hubs.join(crowded.select("region", "count"), "region").withColumn("blocks", blocks).withColumn("salt", _salts("blocks"))
         beside = (hot.withColumn("salt", F.pmod(F.xxhash64("node"), blocks)).select("region", "salt", "node", "sketch")
                   .join(spread.select("region", "salt", "hub", "hub_sketch"), ["region", "salt"]))
         judged = materialize(scan(beside.select("region", "node", "sketch", "hub", "hub_sketch"), _beside_hub(enough),
@@ -274,7 +319,7 @@ def candidate_links(nodes: DataFrame, enough: int, most: int) -> DataFrame:
         if level == len(LEVELS) - 1:
             found = found.unionByName(materialize(_in_tiles(hot, rest, enough, most), "tiled"))
         else:
-            going = hot.join(F.broadcast(rest.select("region").distinct()), "region", "left_semi").select("node").distinct()
+            going = hot.join(rest.select("region").distinct(), "region", "left_semi").select("node").distinct()
             nodes = materialize(nodes.join(going, "node", "left_semi"), "going_on")
     return found
 

@@ -207,6 +207,41 @@ def test_trees_needed():
         assert sum(not any(row[c].all() for c in columns) for row in agree[:2_000]) <= 2
 
 
+def test_regions_are_beginnings_of_sorted_labels(spark):
+    rng = np.random.default_rng(9)
+    sig = rng.integers(0, 3, (500, near_dedup.VALUES), dtype=np.uint16) * 300
+    table = pa.record_batch({"node": np.arange(500), "signature": pa.array([s.tobytes() for s in sig], pa.binary())})
+    shallow, deep = ([r for b in near_dedup._tree_rows(level)(iter([table])) for r in b.to_pylist()] for level in (0, 2))
+    assert [r["label"] for r in shallow] == [r["label"] for r in deep[:len(shallow)]]
+    for rows in (shallow, deep):
+        assert all(r["label"].startswith(r["region"]) for r in rows)
+    first = sorted((r for r in shallow if r["label"][0] == 0), key=lambda r: r["label"])
+    values = [tuple(sig[r["node"]][near_dedup.orders()[0]]) for r in first]
+    assert values == sorted(values)
+    sizes = np.unique([r["region"] for r in first], return_counts=True)[1]
+    step = pa.RecordBatch.from_pylist(first)
+    for cut in (1, 77, 500):
+        runs = near_dedup._numbered((step.slice(i, cut) for i in range(0, 500, cut)), near_dedup._prefix(0))
+        assert np.array_equal(np.bincount(np.concatenate([np.asarray(b.column("region")) for b in runs]))[1:], sizes)
+
+
+@pytest.mark.parametrize("most", [4096, 8])
+def test_near_dedup_recall_by_similarity(spark, most):
+    """Pairs of a chosen similarity, alone and with crowded regions, against brute force on the sets."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        words = [f"c{i}" for i in range(60)] + [f"p{k}_{i}" for i in range(140)]
+        other = list(words)
+        for j in rng.choice(np.arange(60, 200), int(rng.integers(2, 14)), replace=False):
+            other[j] = f"q{k}_{j}"
+        rows += [(k, " ".join(words)), (10_000 + k, " ".join(other))]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), region=most))
+    want = slow_components(dict(rows))
+    assert 100 < sum(want[10_000 + k][1] == k for k in range(400)) < 400
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_true_links_are_exact():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
