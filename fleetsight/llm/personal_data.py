@@ -34,13 +34,29 @@ _DIGIT = B.table(b"0123456789")
 _ALPHA = B.table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _WORDY = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123))
 
-# The base patterns, with the bytes that their matches are made of.
+# The base patterns, with the bytes that their matches are made of.  No address begins inside
+# a number, where it would have begun before.
 PATTERNS = {
     "email": (re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), B.table(_WORDY + b"._%+-@")),
-    "ip": (re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), B.table(b"0123456789.")),
+    "ip": (re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), B.table(b"0123456789.")),
     "card": (re.compile(rb"[0-9]([\x20-]?[0-9])+"), B.table(b"0123456789 -")),
     "phone": (re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]"), B.table(b"0123456789 ().-+")),
 }
+_DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def _matches(kind: str, run: bytes) -> Iterator[tuple[int, int]]:
+    """Leftmost matches in a run of a pattern's bytes, in time linear in the run."""
+    if kind != "email":
+        yield from (m.span() for m in PATTERNS[kind][0].finditer(run))
+        return
+    begin, at = 0, run.find(b"@")
+    while at >= 0:                      # what stands before an @ reaches back to the last @ or match
+        m = _DOMAIN.match(run, at) if at > begin else None
+        if m:
+            yield begin, m.end()
+        begin = m.end() if m else at + 1
+        at = run.find(b"@", begin)
 
 
 def luhn(digits: bytes) -> bool:
@@ -56,7 +72,8 @@ def luhn(digits: bytes) -> bool:
 
 def _valid(kind: str, found: bytes) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in found.split(b"."))
+        parts = [p.lstrip(b"0") or b"0" for p in found.split(b".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = bytes(c for c in found if 48 <= c < 58)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -73,7 +90,7 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     dots = np.concatenate([[0], np.cumsum(data == 46, dtype=np.int64)])
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
     for k, kind in enumerate(KINDS):
-        pattern, chars = PATTERNS[kind]
+        chars = PATTERNS[kind][1]
         if (kind == "email" and not len(at_sign)) or (kind == "phone" and not len(plus)):
             continue
         starts, ends, _ = B.spans(data, offsets, chars)
@@ -85,9 +102,8 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         else:
             run = np.flatnonzero(digits[ends] - digits[starts] >= 16)
         for s, e in zip(starts[run].tolist(), ends[run].tolist()):
-            for m in pattern.finditer(data[s:e].tobytes()):
-                if _valid(kind, m.group()):
-                    out.append((k, s + m.start(), s + m.end()))
+            body = data[s:e].tobytes()
+            out += [(k, s + a, s + b) for a, b in _matches(kind, body) if _valid(kind, body[a:b])]
     found = np.array(sorted(out, key=lambda x: (x[0], x[1])), np.int64).reshape(-1, 3)
     return found[:, 0], found[:, 1], found[:, 2]
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -447,6 +448,21 @@ def test_personal_data_patterns():
         assert got == slow_spans(t), t
 
 
+def test_pattern_search_is_linear_and_equal_to_the_plain_patterns():
+    plain = {"email": rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    rng = np.random.default_rng(3)
+    for kind, letters in (("email", b"a.@-"), ("ip", b"01..")):
+        for _ in range(4000):
+            run = bytes(letters[i] for i in rng.integers(0, 4, rng.integers(1, 40)))
+            assert list(personal_data._matches(kind, run)) == [m.span() for m in re.finditer(plain[kind], run)], run
+    long = ["a" * 2_000_000 + "@b", "1" * 2_000_000 + "..1.1", "a@" * 500_000, "0" * 6_000 + "1.2.3.4", "+1" + "(" * 1_000_000]
+    data, offsets = B.column(pa.array(long))
+    begin = time.perf_counter()
+    kind, start, end = personal_data.base_spans(data, offsets)
+    assert time.perf_counter() - begin < 10
+    assert [(personal_data.KINDS[k], s - offsets[3], e - offsets[3]) for k, s, e in zip(kind, start, end)] == [("ip", 0, 6_007)]
+
+
 def test_random_field_on_new_sentences_and_whole_text_decoding():
     field, rows = personal_data.default_field(), personal_data.labelled(300, seed=77)
     data, offsets = B.column(pa.array([" ".join(w for w, _ in r) for r in rows]))
