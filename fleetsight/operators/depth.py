@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.operators.blocks import gathered
 from fleetsight.operators.graph import components
-from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, shape
+from fleetsight.operators.masks import MAX_AREA, MIN_AREA, depth_stats, fused, shape
 from fleetsight.session import checkpoint
 
 # Depth range in metres, gradient limit and depth spread.
@@ -283,15 +283,38 @@ def consistent_pixels(mask_pixels: DataFrame, pixels: DataFrame, spread: float =
     return j.filter(near).select(*ids, "v", "u")
 
 
+def refined_pixels(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,
+                   spread: float = SPREAD, least: int = 100) -> DataFrame:
+    """What fits the depth of the masks whose depth varies, where that is large enough."""
+    ids = ["frame_key", "mask_id"]
+    cleaned = checkpoint(morphology(consistent_pixels(mask_pixels, pixels, spread), ids, CLOSE + OPEN, width,
+                                    height))
+    big = shape(cleaned).filter(F.col("area") >= least).select(*ids)
+    return cleaned.join(big, ids, "left_semi")
+
+
 def refine_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,
                  spread: float = SPREAD, least: int = 100) -> DataFrame:
     """Masks without the pixels that do not fit their depth; too small a rest keeps the mask."""
     ids = ["frame_key", "mask_id"]
-    cleaned = morphology(consistent_pixels(mask_pixels, pixels, spread), ids, CLOSE + OPEN, width,
-                         height)
-    big = shape(cleaned).filter(F.col("area") >= least).select(*ids)
-    kept = cleaned.join(big, ids, "left_semi")
-    return kept.unionByName(mask_pixels.join(big, ids, "left_anti").select(*ids, "v", "u"))
+    kept = refined_pixels(mask_pixels, pixels, width, height, spread, least)
+    return kept.unionByName(mask_pixels.join(kept.select(*ids).distinct(), ids, "left_anti").select(*ids, "v", "u"))
+
+
+def fuse_refined(masks: DataFrame, mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,
+                 spread: float = SPREAD, least: int = 100, min_area: int = MIN_AREA,
+                 max_area: int = MAX_AREA) -> DataFrame:
+    """Fused masks without the pixels that do not fit their depth.  A mask that was refined takes its
+    depth from what is left of it; the others keep that of their parts."""
+    ids = ["frame_key", "group_id"]
+    props, px = fused(masks, mask_pixels)
+    px = checkpoint(px.withColumnRenamed("group_id", "mask_id"))
+    kept = refined_pixels(px, pixels, width, height, spread, least)
+    rest = px.join(kept.select("frame_key", "mask_id").distinct(), ["frame_key", "mask_id"], "left_anti")
+    size = shape(kept.unionByName(rest.select(*kept.columns))).withColumnRenamed("mask_id", "group_id")
+    depth = depth_stats(kept, pixels).select("frame_key", F.col("mask_id").alias("group_id"), F.col("median_m").alias("_left_m"))
+    return (size.filter(F.col("area").between(min_area, max_area)).join(props, ids).join(depth, ids, "left")
+            .withColumn("depth_median", F.coalesce("_left_m", "depth_median")).drop("_left_m"))
 
 
 def split_masks(mask_pixels: DataFrame, pixels: DataFrame, width: int, height: int,

@@ -272,16 +272,24 @@ def seed_groups(masks: DataFrame, packed: DataFrame, threshold: float = AGREE_IO
         "frame_key", "mask_id", F.coalesce("seed", "rep").alias("group_id"))
 
 
-def fuse(masks: DataFrame, mask_pixels: DataFrame, min_area: int = MIN_AREA,
-         max_area: int = MAX_AREA) -> DataFrame:
-    """Masks on which the methods agree become one, more trusted, mask; loners lose trust."""
+def fused(masks: DataFrame, mask_pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Properties and pixels of the masks that the methods' masks become where they agree."""
     groups = seed_groups(masks, words(mask_pixels))
     members = masks.join(groups, ["frame_key", "mask_id"])
     props = merged_properties(members)
     boosted = F.least(F.lit(1.0), F.col("confidence") + BOOST * F.col("n_sources") / 3.0)
     alone = F.greatest(F.lit(0.1), F.col("confidence") - PENALTY)
     props = props.withColumn("confidence", F.when(F.col("n_masks") == 1, alone).otherwise(boosted))
-    px = merge(mask_pixels, members.select("frame_key", "group_id", "mask_id", "confidence"))
+    return props, merge(mask_pixels, members.select("frame_key", "group_id", "mask_id", "confidence"))
+
+
+def fuse(masks: DataFrame, mask_pixels: DataFrame, min_area: int = MIN_AREA,
+         max_area: int = MAX_AREA) -> DataFrame:
+    """Masks on which the methods agree become one, more trusted, mask; loners lose trust.
+
+    Where frames have depth, ``depth.fuse_refined`` also takes off what does not fit it.
+    """
+    props, px = fused(masks, mask_pixels)
     size = shape(px, ("frame_key", "group_id"))
     return size.join(props, ["frame_key", "group_id"]).filter(
         F.col("area").between(min_area, max_area))

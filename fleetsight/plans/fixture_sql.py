@@ -114,3 +114,19 @@ def with_tables(sql: str) -> str:
         ctes.append("")
         return f"WITH {recursive}" + ",\n".join(ctes) + body[5:]
     return (f"WITH {recursive}" + ",\n".join(ctes) + "\n" if ctes else "") + body
+
+
+def refined_sql(masks: str, least: int) -> str:
+    """Tables ``cleaned`` and ``kept``: what fits the depth of ``masks`` (frame_key, mask_id, v, u) after one closing and
+    one opening by squares of five pixels in images of 64 x 48, and that of it which has ``least`` pixels."""
+    def step(name, of, only_whole):
+        whole = " HAVING count(*) = (least(y + 2, 47) - greatest(y - 2, 0) + 1) * (least(x + 2, 63) - greatest(x - 2, 0) + 1)"
+        return f"""{name} AS MATERIALIZED (SELECT frame_key, mask_id, y AS v, x AS u FROM (SELECT frame_key, mask_id, v + dv AS y, u + du AS x
+ FROM {of}, range(-2, 3) a(dv), range(-2, 3) b(du)) WHERE y BETWEEN 0 AND 47 AND x BETWEEN 0 AND 63
+ GROUP BY ALL{whole if only_whole else ""})"""
+    return f"""spread AS (SELECT mask_id, median(depth_raw) / 1000 AS m, stddev_pop(depth_raw) / 1000 AS sd, count(*) AS n
+ FROM {masks} JOIN pixels USING (frame_key, v, u) WHERE depth_raw > 0 GROUP BY 1),
+fits AS (SELECT frame_key, mask_id, v, u FROM {masks} JOIN pixels USING (frame_key, v, u) JOIN spread s USING (mask_id)
+ WHERE s.n >= 10 AND sd >= 0.1 AND depth_raw > 0 AND abs(depth_raw - m * 1000) < 200),
+{step("wide", "fits", False)}, {step("closed", "wide", True)}, {step("thin", "closed", True)}, {step("cleaned", "thin", False)},
+kept AS MATERIALIZED (SELECT * FROM cleaned WHERE mask_id IN (SELECT mask_id FROM cleaned GROUP BY 1 HAVING count(*) >= {least}))"""

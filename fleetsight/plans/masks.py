@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalar import instant, micros
-from fleetsight.operators import masks as mk
+from fleetsight.operators import depth as dp, masks as mk
+from fleetsight.plans.fixture_sql import refined_sql
 from fleetsight.plans.registry import query
 from fleetsight.sources import derive as src
 
@@ -264,21 +265,38 @@ def v16g(spark, d):
     return mk.seed_groups(src.masks(spark, d), mk.words(src.mask_pixels(spark, d)))
 
 
-@query("V16_fusion", WALK + """, g AS (SELECT frame_key, mask_id, group_id, confidence, source, depth_median FROM walk JOIN masks USING (frame_key, mask_id)),
-t AS (SELECT group_id, count(*) AS n, sum(confidence) AS w, min(mask_id) AS first, count(DISTINCT source) AS ns,
+FUSED = WALK + """, g AS (SELECT frame_key, mask_id, group_id, confidence, source, depth_median FROM walk JOIN masks USING (frame_key, mask_id)),
+t AS (SELECT group_id, any_value(frame_key) AS frame_key, count(*) AS n, sum(confidence) AS w, min(mask_id) AS first, count(DISTINCT source) AS ns,
  avg(confidence) AS c, coalesce(avg(depth_median) FILTER (depth_median > 0), 0) AS depth FROM g GROUP BY 1),
 x AS (SELECT group_id, v, u, sum(confidence) AS s FROM mask_pixels JOIN g USING (frame_key, mask_id) GROUP BY ALL),
 mm AS (SELECT group_id, v, u FROM x JOIN t USING (group_id) WHERE round(s / w, 9) > 0.5),
 ff AS (SELECT t.group_id, v, u FROM t JOIN mask_pixels px ON px.mask_id = t.first WHERE t.group_id NOT IN (SELECT group_id FROM mm))
-SELECT group_id, area, bx1, by1, bx2, by2, ns AS n_sources,
- round(CASE WHEN n = 1 THEN greatest(0.1, c - 0.05) ELSE least(1.0, c + 0.1 * ns / 3) END, 6) AS confidence, round(depth, 6) AS depth_median
+"""
+_PROPS = """ns AS n_sources, round(CASE WHEN n = 1 THEN greatest(0.1, c - 0.05) ELSE least(1.0, c + 0.1 * ns / 3) END, 6) AS confidence"""
+
+
+def _fusion_rows(f):
+    return f.select("group_id", "area", "bx1", "by1", "bx2", "by2", "n_sources", F.round("confidence", 6).alias("confidence"),
+                    F.round("depth_median", 6).alias("depth_median"))
+
+
+@query("V16_fusion", FUSED + f"""SELECT group_id, area, bx1, by1, bx2, by2, {_PROPS}, round(depth, 6) AS depth_median
 FROM (SELECT group_id, count(*) AS area, min(u) AS bx1, min(v) AS by1, max(u) AS bx2, max(v) AS by2
  FROM (SELECT * FROM mm UNION ALL SELECT * FROM ff) GROUP BY 1) JOIN t USING (group_id) WHERE area BETWEEN 100 AND 500000""")
 def v16(spark, d):
-    f = mk.fuse(src.masks(spark, d), src.mask_pixels(spark, d), min_area=100)
-    return f.select("group_id", "area", "bx1", "by1", "bx2", "by2", "n_sources",
-                    F.round("confidence", 6).alias("confidence"),
-                    F.round("depth_median", 6).alias("depth_median"))
+    return _fusion_rows(mk.fuse(src.masks(spark, d), src.mask_pixels(spark, d), min_area=100))
+
+
+@query("V16_V17_fusion_refined", FUSED + f""", whole AS MATERIALIZED (SELECT frame_key, group_id AS mask_id, v, u FROM (SELECT * FROM mm UNION ALL SELECT * FROM ff) JOIN t USING (group_id)),
+{refined_sql("whole", 30)},
+left_m AS (SELECT mask_id AS group_id, median(depth_raw) / 1000 AS m FROM kept JOIN pixels USING (frame_key, v, u) WHERE depth_raw > 0 GROUP BY 1)
+SELECT group_id, area, bx1, by1, bx2, by2, {_PROPS}, round(coalesce(left_m.m, depth), 6) AS depth_median
+FROM (SELECT mask_id AS group_id, count(*) AS area, min(u) AS bx1, min(v) AS by1, max(u) AS bx2, max(v) AS by2
+ FROM (SELECT * FROM kept UNION ALL SELECT * FROM whole WHERE mask_id NOT IN (SELECT mask_id FROM kept)) GROUP BY 1)
+JOIN t USING (group_id) LEFT JOIN left_m USING (group_id) WHERE area BETWEEN 50 AND 500000""")
+def v16r(spark, d):
+    return _fusion_rows(dp.fuse_refined(src.masks(spark, d), src.mask_pixels(spark, d), src.pixels(spark, d), src.GRID_W, src.GRID_H,
+                                        least=30, min_area=50))
 
 
 # Walks every frame in order of priority with the list of pixels that are taken.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.geometry import deproject, project
 from fleetsight.operators import depth as dp, masks as mk, points as pt
+from fleetsight.plans.fixture_sql import refined_sql
 from fleetsight.plans.registry import query
 from fleetsight.sources import derive as src
 
@@ -298,7 +299,9 @@ def v17a(spark, d):
     return c.groupBy("mask_id").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("sum_u"))
 
 
-@query("V17_refine_masks")
+@query("V17_refine_masks", f"""WITH {refined_sql("mask_pixels", 30)}
+SELECT frame_key, mask_id, count(*) AS area, min(u) AS bx1, min(v) AS by1, max(u) AS bx2, max(v) AS by2 FROM (SELECT * FROM kept
+ UNION ALL SELECT frame_key, mask_id, v, u FROM mask_pixels WHERE mask_id NOT IN (SELECT mask_id FROM kept)) GROUP BY ALL""")
 def v17(spark, d):
     r = dp.refine_masks(src.mask_pixels(spark, d), src.pixels(spark, d), W, H, least=30)
     return mk.shape(r)

@@ -475,3 +475,20 @@ def test_long_chains_need_no_round_limit(spark):
         spark.range(999).selectExpr("id as l", "id + 1 as r", "cast(1000 - id as double) - 0.5 as s"))
     took = greedy_matching(pairs, [], "l", "r", "s")
     assert sorted((r["l"], r["r"]) for r in took.collect()) == [(i, i) for i in range(1000)]
+
+
+def test_fusion_takes_off_what_does_not_fit_the_depth(spark):
+    """Two methods agree on a box of 20 x 20 whose right quarter is far behind; a third mask is level."""
+    masks = spark.createDataFrame([(0, 1, "fastsam", 0.8, 0, 0, 20, 20, 1.0), (0, 2, "depth", 0.8, 0, 0, 20, 20, 1.4), (0, 3, "depth", 0.6, 30, 20, 45, 35, 2.0)],
+                                  "frame_key long, mask_id long, source string, confidence double, x1 int, y1 int, x2 int, y2 int, depth_median double")
+    px = [(0, m, v, u) for m in (1, 2) for v in range(20) for u in range(20)] + [(0, 3, v, u) for v in range(20, 35) for u in range(30, 45)]
+    px = spark.createDataFrame(px, "frame_key long, mask_id long, v int, u int")
+    depth = spark.createDataFrame([(0, v, u, 3000 if u in range(15, 20) else 1000 if u < 20 else 2000) for v in range(48) for u in range(64)],
+                                  "frame_key long, v int, u int, depth_raw int")
+    got = {r.group_id: r for r in dp.fuse_refined(masks, px, depth, 64, 48, min_area=100).collect()}
+    plain = {r.group_id: r for r in mk.fuse(masks, px, min_area=100).collect()}
+    assert (plain[1].area, plain[1].bx2, got[1].area, got[1].bx2, got[1].depth_median) == (400, 19, 300, 14, 1.0)
+    assert plain[1].depth_median == pytest.approx(1.2) and got[1].confidence == plain[1].confidence
+    assert (got[3].area, got[3].depth_median) == (plain[3].area, plain[3].depth_median) == (225, 2.0)
+    some = dp.fuse_refined(masks, px, depth, 64, 48, least=301, min_area=100).collect()      # too little is left
+    assert {r.group_id: r.area for r in some} == {1: 400, 3: 225}
