@@ -1,13 +1,15 @@
 """Repeated passages across documents by Rabin-Karp windows counted in Spark.
 
-Every run of ``width`` consecutive words has a 64-bit rolling hash.  A task packs the hashes of
-its documents by hash range, once for each document, so that Spark shuffles few large rows; a
-task then merges the packs of one range, finds each hash's smallest document, and sends the hit
-hashes of larger documents on to the chunk of documents they belong to.  There they meet the
-texts, become positions again, and repeated windows merge into maximal removal intervals.
+Every run of ``width`` consecutive words has a 64-bit rolling hash.  A task finds the smallest
+document of each hash in a group of its documents and packs these by hash range, so that Spark
+shuffles few large rows; all larger documents of the group are hits already.  A task then merges
+the packs of one range, finds each hash's smallest document, and sends the hit hashes on to the
+chunk of documents they belong to.  There they meet the texts, become positions again, and
+repeated windows merge into maximal removal intervals.
 
 Ranges and chunks follow the input's size, so that a task's part stays the same at any size.  A
-window that a third of all documents hold is one entry per document and range, never a pair.
+window that a third of all documents hold is one entry for each group of ``GROUP_BYTES`` in its
+range, not one for each document, and never a pair.
 
 Defined cases: null and empty texts, and texts of fewer than ``width`` words, lose nothing; rows
 with a null ``doc_id`` lose nothing and count for nobody; rows with equal ``doc_id`` do not count
@@ -39,8 +41,10 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int):
     return starts, ends, at, first, B.rolled(B.hashes(data, starts, ends), width)[first]
 
 
-def _hash_packs(width: int, ranges: int):
-    """(range, body): hashes of windows with their documents, sorted by hash."""
+def _hash_packs(width: int, ranges: int, chunks: int):
+    """(part, body).  Parts below ``ranges``: each hash of the group once, with the smallest document that
+    starts it here, sorted by hash.  Parts from ``ranges`` on, one for each chunk: hashes of the group's other
+    documents, which are hits whatever the rest of the table holds."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in P.grouped(batches, GROUP_BYTES):
             all_ids = b.column("doc_id")
@@ -55,26 +59,46 @@ def _hash_packs(width: int, ranges: int):
                 owners.append(ids[row[ok]])
             if not hs or not sum(map(len, hs)):
                 continue
-            h, owner = np.concatenate(hs), np.concatenate(owners)
-            order = np.argsort(h)
-            h, owner = h[order], owner[order]
-            again = np.concatenate([[False], (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])])
-            h, owner = h[~again], owner[~again]
+            h, least, sure = _settled(np.concatenate(hs), np.concatenate(owners))
             part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             keys, bodies = [], []
             for s, e in P.runs(part):
-                base, least = int(h[s]), int(owner[s:e].min())
+                base, low = int(h[s]), int(least[s:e].min())
                 gaps, gap_width = P.narrow(np.diff(h[s:e], prepend=h[s]))
-                docs, doc_width = P.narrow(owner[s:e], least)
-                head = np.array([e - s, gap_width, doc_width, least], "<i8").tobytes() + np.uint64(base).tobytes()
+                docs, doc_width = P.narrow(least[s:e], low)
+                head = np.array([e - s, gap_width, doc_width, low], "<i8").tobytes() + np.uint64(base).tobytes()
                 keys.append(int(part[s]))
                 bodies.append(head + gaps + docs)
+            for chunk, body in _by_chunk(*sure, chunks):
+                keys.append(ranges + chunk)
+                bodies.append(body)
             for k in range(0, len(keys), 64):
                 yield batch(part=pa.array(keys[k:k + 64], pa.int64()), body=pa.array(bodies[k:k + 64], pa.binary()))
 
     return work
 
 
+def _settled(h: np.ndarray, owner: np.ndarray):
+    """Distinct hashes in order, the smallest owner of each, and (hash, owner) of all larger owners."""
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    least = np.minimum.reduceat(owner, cut)
+    hit = owner > np.repeat(least, np.diff(np.append(cut, len(h))))
+    return h[cut], least, (h[hit], owner[hit])
+
+
+def _by_chunk(h: np.ndarray, owner: np.ndarray, chunks: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct (hash, owner), packed for each chunk of documents."""
+    chunk = P.spread(owner, chunks)
+    order = np.lexsort((h, owner, chunk))
+    h, owner, chunk = h[order], owner[order], chunk[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[:len(h)]
+    h, owner, chunk = h[new], owner[new], chunk[new]
+    for s, e in P.runs(chunk):
+        yield int(chunk[s]), P.pack(batch(doc_id=owner[s:e], hash=h[s:e]))
+
+
 def _read_pack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, gap_width, doc_width, least = np.frombuffer(body, "<i8", 4).tolist()
     base = np.frombuffer(body, "<u8", 1, 32)[0]
@@ -83,26 +107,18 @@ def _read_pack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, P.widen(body[cut:], doc_width, n).view(np.int64) + least
 
 
-def _hits(chunks: int):
-    """Hashes of one range that a smaller document starts as well, by chunk of documents."""
+def _hits(ranges: int, chunks: int):
+    """Hashes of one range that a smaller document of another group starts as well, by chunk of documents;
+    what is a hit already goes on to its chunk."""
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_read_pack(x) for x in frame["body"]]
-        h, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        del parts
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.minimum.reduceat(owner, cut)
-        hit = owner > np.repeat(least, np.diff(np.append(cut, len(h))))
-        h, owner = h[hit], owner[hit]
-        chunk = P.spread(owner, chunks)
-        order = np.lexsort((owner, chunk))
-        h, owner, chunk = h[order], owner[order], chunk[order]
-        keys, bodies = [], []
-        for s, e in P.runs(chunk):
-            keys.append(int(chunk[s]))
-            bodies.append(P.pack(batch(doc_id=owner[s:e], hash=h[s:e])))
-        return pd.DataFrame({"chunk": np.array(keys, np.int64), "kind": np.ones(len(keys), np.int32), "body": bodies})
+        if key[0] >= ranges:
+            found = [(key[0] - ranges, body) for body in frame["body"]]
+        else:
+            parts = [_read_pack(x) for x in frame["body"]]
+            sure = _settled(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))[2]
+            found = list(_by_chunk(*sure, chunks))
+        return pd.DataFrame({"chunk": np.array([c for c, _ in found], np.int64), "kind": np.ones(len(found), np.int32),
+                             "body": [body for _, body in found]})
 
     return work
 
@@ -182,8 +198,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, range_windows: int = 400
     ship(docs.sparkSession)
     size = P.text_bytes(docs)
     ranges, chunks = max(16, size // (6 * range_windows)), max(16, size // chunk_bytes)
-    hits = (scan(docs, _hash_packs(width, ranges), "part long, body binary")
-            .groupBy("part").applyInPandas(_hits(chunks), "chunk long, kind int, body binary"))
+    hits = (scan(docs, _hash_packs(width, ranges, chunks), "part long, body binary")
+            .groupBy("part").applyInPandas(_hits(ranges, chunks), "chunk long, kind int, body binary"))
     both = scan(docs, _text_packs(chunks), "chunk long, kind int, body binary").unionByName(hits)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return both.groupBy("chunk").applyInPandas(
