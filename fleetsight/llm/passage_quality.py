@@ -1,12 +1,12 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words.  Every passage is encoded from its own
-words (lengths, kinds of characters, repetition); a gated attention network learns from document
+words (lengths, kinds of characters, repetition) and from the document's length and repeated word triples; a gated attention network learns from document
 labels alone how much each passage counts, and the weighted passage representation is scored.
 
-The network is fitted on at most ``max_docs`` labelled documents (those with the smallest hashed
-ids, with at most ``max_passages`` evenly spaced passages each); statistics for scaling come from
-the same sample.  Scoring reads every passage of every document.
+The network is fitted on all passages of at most ``max_docs`` labelled documents: those with the
+smallest hashed ids, passing over what does not fit into ``max_bytes`` of text any more;
+statistics for scaling come from the same sample.  Scoring reads every passage of every document.
 
 Defined cases: a null or empty text is one passage without words; a null ``doc_id`` is scored and
 not held out; repeated labels of a document count by their largest value, null labels not at all;
@@ -30,7 +30,7 @@ from fleetsight.llm.frames import batch, query, read, scan, texts
 
 PASSAGE = 64
 MAX_DOCS = 2500
-MAX_PASSAGES = 32
+MAX_BYTES = 32 << 20
 FOLDS = 5
 _KINDS = tuple(B.table(k) for k in (
     b"#$%&*<>", b"|", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:?", b"!", bytes(range(128, 256)),
@@ -154,28 +154,33 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, gate: i
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS,
-          max_passages: int = MAX_PASSAGES) -> Model:
+          max_bytes: int = MAX_BYTES) -> Model:
     """Fit on a bounded sample of labelled documents outside the held-out fold."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("y").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    # ``known`` has at most ``max_docs`` rows of two numbers, so it may be broadcast and its sizes collected.
+    docs = texts(docs)
+    sizes = (docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y")
+             .agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").collect())
+    fits, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= max_bytes:
+            fits.append((r["doc_id"], r["y"]))
+            total += r["n"]
+    known = F.broadcast(docs.sparkSession.createDataFrame(fits, "doc_id long, y int"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in B.pieces(b.column("text")):
                 x, bag = encode(data, offsets)
-                rows = []
-                for r in range(last - first):
-                    own = x[bag[r]:bag[r + 1]]
-                    if len(own) > max_passages:
-                        own = own[np.linspace(0, len(own) - 1, max_passages).astype(int)]
-                    rows.append(own.astype("<f4").tobytes())
+                rows = [x[s:e].astype("<f4").tobytes() for s, e in zip(bag[:-1], bag[1:])]
                 yield batch(doc_id=b.column("doc_id").slice(first, last - first), y=b.column("y").slice(first, last - first),
                             x=pa.array(rows, pa.binary()))
 
-    # ``known`` has at most ``max_docs`` rows of two numbers, so it may be broadcast.
-    rows = scan(texts(docs).join(F.broadcast(known), "doc_id"), work, "doc_id long, y int, x binary").collect()
+    rows = scan(docs.join(known, "doc_id"), work, "doc_id long, y int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["x"]))
     parts = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES).astype(float) for r in rows]
     x = np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))

@@ -346,6 +346,30 @@ def test_substring_dedup(spark, sf_dir, small):
     assert got == set(slow_removal(small.items()))
 
 
+def test_substring_dedup_with_a_passage_in_most_documents(spark):
+    rng = np.random.default_rng(8)
+    passage = [f"hot{i}" for i in range(40)]
+    rows = {}
+    for i in range(300):
+        own = [f"w{x}" for x in rng.integers(0, 5000, 30)]
+        rows[i] = " ".join(own[:15] + (passage if i % 3 else passage[5:25] + passage[:9]) + own[15:])
+    frame = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string").repartition(5)
+    first, want = {}, {}
+    for i, t in sorted(rows.items()):
+        for w in zip(*(t.split()[k:] for k in range(13))):
+            first.setdefault(w, i)
+    for i, t in rows.items():
+        gone = {j + k for j, w in enumerate(zip(*(t.split()[k:] for k in range(13)))) if first[w] < i for k in range(13)}
+        want[i] = (len(gone), hashlib.sha256(" ".join(w for j, w in enumerate(t.split()) if j not in gone).encode()).hexdigest())
+    got = by_id(substring_dedup.remove_repeats(frame, chunk_bytes=4096))
+    assert {i: (r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert sum(n > 0 for n, _ in want.values()) > 290
+    # A group sends each hash to its range once, however many of its documents hold it.
+    b = pa.RecordBatch.from_pydict({"doc_id": list(rows), "text": list(rows.values())})
+    sent = [r for out in substring_dedup._hash_packs(13, 16, 4)(iter([b])) for r in out.to_pylist() if r["part"] < 16]
+    assert sum(len(substring_dedup._read_pack(r["body"])[0]) for r in sent) == len(first)
+
+
 def test_substring_dedup_intervals(spark):
     a = [f"a{i}" for i in range(30)]
     rows = [(1, " ".join(a)), (2, " ".join(["x"] * 5 + a[3:20] + ["y"] * 3 + a[10:25])), (3, " ".join(a[:12]))]
@@ -502,6 +526,19 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
 
 
+def test_quality_classifier_learns_from_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(passage_quality, "fit", lambda x, bag, y: seen.update(passages=np.diff(bag).tolist(), y=y.tolist()))
+    frame = spark.createDataFrame([(2, "a " * 64 * 50), (3, "b c"), (4, None), (7, "d " * 64 * 3)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in (2, 3, 4, 7)], "doc_id long, quality int")
+    fold = [i for i in (2, 3, 4, 7) if zlib.crc32(str(i).encode()) % 5]
+    size = {2: 50, 3: 1, 4: 1, 7: 3}
+    passage_quality.learn(frame, marks)
+    assert seen == {"passages": [size[i] for i in fold], "y": [float(i % 2) for i in fold]}
+    passage_quality.learn(frame, marks, max_bytes=1000)
+    assert seen["passages"] == [size[i] for i in fold if i != 2]
+
+
 def test_attention_sums_to_one(docs, small, spark, sf_dir):
     model = passage_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     for r in passage_quality.score(docs, model, attention=True).collect():
