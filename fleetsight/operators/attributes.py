@@ -31,6 +31,8 @@ EXPECTED_RATIO = {"sedan": 1.5, "suv": 1.2, "truck": 2.0, "van": 1.0, "bus": 3.0
                   "motorcycle": 0.5, "bicycle": 0.6}
 # Clothing regions as fractions of the crop (x1, y1, x2, y2).
 UPPER, LOWER = (0.1, 0.2, 0.9, 0.5), (0.1, 0.5, 0.9, 0.95)
+# Fixed value: how far an outline may lie from its corners' polygon, as a share of its length.
+CORNER_TOLERANCE = 0.02
 
 
 def crops(boxes: DataFrame, pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -305,26 +307,69 @@ def _hull_area(x: np.ndarray, y: np.ndarray) -> float:
     return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(chain, chain[1:] + chain[:1]))) / 2
 
 
+def outline(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Closed outline through the centres of the first (a) and last (b) pixel of every row: down the left
+    side and up the right one."""
+    order = np.argsort(v, kind="stable")
+    v, a, b = v[order], a[order], b[order]
+    points = np.stack([np.concatenate([a, b[::-1]]), np.concatenate([v, v[::-1]])], 1).astype(float)
+    return points[np.concatenate([[True], (points[1:] != points[:-1]).any(1)])]
+
+
+def outline_circularity(points: np.ndarray) -> float:
+    """4 pi area / perimeter^2 of a closed outline: 1 for a circle, 0 for a line or a point."""
+    step = np.roll(points, -1, 0) - points
+    length = np.hypot(*step.T).sum()
+    area = abs((points[:, 0] * np.roll(points[:, 1], -1) - points[:, 1] * np.roll(points[:, 0], -1)).sum()) / 2
+    return float(4 * np.pi * area / max(length * length, 1.0))
+
+
+def corner_count(points: np.ndarray, tolerance: float = CORNER_TOLERANCE) -> int:
+    """Corners of a closed outline that are left when points nearer than ``tolerance`` times its length to the
+    line between their neighbouring corners are dropped, from the two points farthest apart along the way."""
+    far = lambda p: int(np.argmax(((points - p) ** 2).sum(1)))
+    least = tolerance * np.hypot(*(np.roll(points, -1, 0) - points).T).sum()
+    i = far(points[0])
+    points = np.roll(points, -i, 0)
+    ring, j = np.concatenate([points, points[:1]]), far(points[0])
+    if j == 0:
+        return 1
+    kept, todo = {0, j}, [(0, j), (j, len(ring) - 1)]
+    while todo:
+        s, e = todo.pop()
+        if e - s < 2:
+            continue
+        (x, y), (dx, dy) = (ring[s + 1:e] - ring[s]).T, ring[e] - ring[s]
+        off = np.abs(x * dy - y * dx) / np.hypot(dx, dy) if dx or dy else np.hypot(x, y)
+        k = int(np.argmax(off))
+        if off[k] > least:
+            kept.add(s + 1 + k)
+            todo += [(s, s + 1 + k), (s + 1 + k, e)]
+    return len(kept)
+
+
 def shape_features(mask_pixels: DataFrame, ids: tuple[str, ...] = ("frame_key", "mask_id")) -> DataFrame:
-    """Aspect ratio, extent and solidity.  The hull sees only the ends of every pixel row, at most two
-    points per image row whatever the size of the mask."""
+    """Aspect ratio, extent, solidity, circularity and number of corners.  Hull and outline see only the ends
+    of every pixel row, at most two points per image row whatever the size of the mask."""
     rows = mask_pixels.groupBy(*ids, "v").agg(F.min("u").alias("a"), (F.max("u") + 1).alias("b"),
                                               F.count(F.lit(1)).alias("n"))
 
     def hull(key, c):
         x = np.concatenate([c["a"], c["a"], c["b"], c["b"]])
         y = np.concatenate([c["v"], c["v"] + 1, c["v"], c["v"] + 1])
-        return {**{n: [k] for n, k in zip(ids, key)}, "hull": [_hull_area(x, y)]}
+        line = outline(c["v"], c["a"], c["b"] - 1)
+        return {**{n: [k] for n, k in zip(ids, key)}, "hull": [_hull_area(x, y)],
+                "circularity": [outline_circularity(line)], "vertices": [corner_count(line)]}
 
     kinds = ", ".join(f"{c} long" for c in ids)
     g = rows.groupBy(*ids).agg(
         F.sum("n").alias("area"), (F.max("b") - F.min("a")).alias("w"),
         (F.max("v") - F.min("v") + 1).alias("h"))
-    h = gathered(rows, ids, ["v", "a", "b"], hull, f"{kinds}, hull double")
+    h = gathered(rows, ids, ["v", "a", "b"], hull, f"{kinds}, hull double, circularity double, vertices int")
     return g.join(h, list(ids)).select(
         *ids, "area", (F.col("w") / F.greatest(F.col("h"), F.lit(1))).alias("aspect_ratio"),
         (F.col("area") / F.greatest(F.col("w") * F.col("h"), F.lit(1))).alias("extent"),
-        (F.col("area") / F.greatest(F.col("hull"), F.lit(1.0))).alias("solidity"))
+        (F.col("area") / F.greatest(F.col("hull"), F.lit(1.0))).alias("solidity"), "circularity", "vertices")
 
 
 def physical_size(boxes: DataFrame, crop: DataFrame, focal: float = 600.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsight.functions.geometry import box, box_area, iou
+from fleetsight.functions.joins import checked_broadcast
 from fleetsight.functions.scalar import clean_class
 from fleetsight.functions.windows import latest
 
@@ -43,9 +44,10 @@ def status_of(confidence: Column, confirmed: float = CONFIRMED, review: float =
 
 def lookup_branch(df: DataFrame, routes: DataFrame, class_col: str = "class_name",
                   name: str = "branch") -> DataFrame:
-    """Branch of a class name; anything unknown is generic.  ``routes`` is a short list."""
-    r = F.broadcast(routes.select(F.col("class_name").alias("_route_class"),
-                                  F.col("branch").alias("_route")))
+    """Branch of a class name; anything unknown is generic.  ``routes`` is broadcast only
+    where its rows are few."""
+    r = checked_broadcast(routes.select(F.col("class_name").alias("_route_class"),
+                                        F.col("branch").alias("_route")))
     return (df.join(r, clean_class(F.col(class_col)) == F.col("_route_class"), "left")
             .withColumn(name, F.coalesce("_route", F.lit("generic")))
             .drop("_route", "_route_class"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fleetsight.functions.joins import checked_broadcast
 from fleetsight.functions.scalar import micros
 from fleetsight.functions.windows import (last_known, latest, order_statistics, overlapped,
                                           row_numbers)
@@ -213,7 +214,7 @@ def slow_operations(timings: DataFrame, over_ms: float = 100.0) -> DataFrame:
 
 def health_alerts(samples: DataFrame, limits: DataFrame) -> DataFrame:
     """Samples outside the limit of their metric; ``limits`` has one row per metric name."""
-    j = samples.join(F.broadcast(limits), "name")
+    j = samples.join(checked_broadcast(limits), "name")
     bad = F.when(F.col("direction") == "below", F.col("value") < F.col("limit_value")).otherwise(
         F.col("value") > F.col("limit_value"))
     return j.filter(bad)

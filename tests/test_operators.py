@@ -449,6 +449,44 @@ def test_hull_and_orientation_names(spark):
     assert s.area == 55 and s.aspect_ratio == 1.0 and abs(s.extent - .55) < 1e-9 and .9 < s.solidity <= 1.0
 
 
+def test_outlines_of_drawn_shapes(spark):
+    inside = {
+        (1, "circular"): lambda v, u: (v - 30) ** 2 + (u - 30) ** 2 <= 25 ** 2,
+        (2, "oval"): lambda v, u: ((v - 30) / 16) ** 2 + ((u - 30) / 24) ** 2 <= 1,
+        (3, "triangular"): lambda v, u: 10 <= v < 50 and 10 <= u <= v,
+        (4, "irregular"): lambda v, u: 5 <= v < 55 and 5 <= u < 55 and (u < 12 or v > 47),
+        (5, "polygon"): lambda v, u: v == 30 and u == 30,
+    }
+    px = spark.createDataFrame([(1, i, v, u) for (i, _), f in inside.items() for v in range(60) for u in range(60)
+                                if f(v, u)], "frame_key long, mask_id long, v int, u int")
+    s = at.shape_features(px).withColumn("kind", at.shape_type(*[F.col(c) for c in (
+        "aspect_ratio", "circularity", "vertices", "solidity")]))
+    got = {r.mask_id: r for r in s.collect()}
+    assert {(i, r.kind) for i, r in got.items()} == set(inside)
+    assert got[1].circularity > .85 and got[5].vertices == 1 and got[5].circularity == 0
+    square = at.outline(np.arange(20), np.zeros(20), np.full(20, 19))
+    assert at.corner_count(square) == 4 and abs(at.outline_circularity(square) - np.pi / 4) < 1e-9
+    star = np.array([(0, 0), (10, 4), (20, 0), (16, 10), (20, 20), (10, 16), (0, 20), (4, 10)], float)
+    assert at.corner_count(star) == 8
+
+
+def test_long_lists_of_routes_are_not_broadcast(spark, monkeypatch):
+    from fleetsight.functions import joins
+    det = spark.createDataFrame([(1, "Robot 7"), (2, "person"), (3, None)], "det_id long, class_name string")
+    routes = routing.class_routes(spark).union(spark.range(500).select(
+        F.concat(F.lit("robot "), F.col("id").cast("string")), F.lit("vehicle")))
+    want = {1: "vehicle", 2: "person", 3: "generic"}
+    few = routing.lookup_branch(det, routes)
+    assert "BroadcastHashJoin" in _plan(few) and {r.det_id: r.branch for r in few.collect()} == want
+    monkeypatch.setattr(joins.checked_broadcast, "__defaults__", (100,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        many = routing.lookup_branch(det, routes)
+        assert "BroadcastHashJoin" not in _plan(many) and {r.det_id: r.branch for r in many.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- plans --------------------------------------------------------------------------------------------
 
 def _plan(df):
